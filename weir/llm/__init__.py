@@ -1 +1 @@
-
+"""Operators for building training data. Nothing else in the library imports this package."""
