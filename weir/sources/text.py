@@ -13,4 +13,4 @@ TOKEN = '"[^"\\r\\n]*"?|[^\\x00-\\x20!"]+'
 def tokens(text: Column) -> Column:
     """Array of tokens of ``text``; quotes around a quoted run are stripped."""
     found = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
-    return F.transform(found, lambda t: F.trim(F.lit('"'), t))
+    return F.transform(found, lambda t: F.trim(t, F.lit('"')))
