@@ -25,6 +25,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.assess(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@_query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weir.llm import secret_scan as s
+
+    out = s.scan_table(documents(spark, sf_dir), keep=["doc_id"])
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_layers")
+
+
 @_query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -36,3 +44,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = b.decode(ids.select("doc_id", "token_ids"), path)
     joined = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weir.llm import substring_dedup as s
+
+    out = s.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
