@@ -101,12 +101,14 @@ def _planes(x: np.ndarray) -> bytes:
 
 
 def pack(bucket: np.ndarray, hashes: np.ndarray | None, docs: np.ndarray, places: np.ndarray | None, width: int = 8, kind: int = 0) -> pa.RecordBatch:
-    """Rows of SCHEMA. The input is in document order, places rising within a document."""
+    """Rows of SCHEMA. The input is in document order. ``hashes`` are numbers, of which ``width`` bytes are kept, or records (n x bytes)."""
+    if not len(bucket):
+        return pa.RecordBatch.from_arrays([pa.array([], t) for t in ARROW.types], schema=ARROW)
     order = np.argsort(bucket, kind="stable")
     bucket, docs = bucket[order], docs[order]
     hashes = None if hashes is None else hashes[order]
     places = None if places is None else places[order]
-    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     rows = []
     for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
         d = docs[lo:hi]
@@ -117,9 +119,14 @@ def pack(bucket: np.ndarray, hashes: np.ndarray | None, docs: np.ndarray, places
             steps = np.diff(p, prepend=0)
             steps[runs] = p[runs]
             gaps = _planes(steps)
-        h = b"" if hashes is None else hashes[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+        if hashes is None:
+            h = b""
+        elif hashes.ndim == 2:
+            h = hashes[lo:hi].tobytes()
+        else:
+            h = hashes[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
         rows.append((int(bucket[lo]), kind, h, d[runs].astype("<i8").tobytes(), _planes(np.diff(np.append(runs, hi - lo))), gaps))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, ARROW.types, strict=True)], schema=ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
 
 
 def _from_planes(b: bytes) -> np.ndarray:
@@ -127,12 +134,14 @@ def _from_planes(b: bytes) -> np.ndarray:
 
 
 def unpack(table: pa.Table, width: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (uint64), documents and places of all rows."""
-    hs, ds, ps = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    """Hashes (uint64, or records of ``width`` bytes if more than 8), documents and places of all rows."""
+    hs, ds, ps = [np.zeros(0, U) if width <= 8 else np.zeros((0, width), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for h, d, c, p in zip(*(table.column(f.name).to_pylist() for f in FIELDS), strict=True):
         counts = _from_planes(c)
         ds.append(np.repeat(np.frombuffer(d, "<i8"), counts))
-        if h:
+        if h and width > 8:
+            hs.append(np.frombuffer(h, np.uint8).reshape(-1, width))
+        elif h:
             full = np.zeros((len(h) // width, 8), np.uint8)
             full[:, :width] = np.frombuffer(h, np.uint8).reshape(-1, width)
             hs.append(full.view("<u8").ravel())

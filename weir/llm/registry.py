@@ -52,3 +52,18 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = s.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@_query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weir.llm import ngram_join as j
+
+    return j.linked(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@_query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weir.llm import suffix_dedup as s
+
+    out = s.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
