@@ -67,3 +67,63 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = s.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weir.llm import preference as p
+
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",").alias(c)
+    out = p.format_pairs(p.with_foreign_reply(documents(spark, sf_dir, "conversations")))
+    return out.select("conv_id", F.col("n_common").cast("bigint").alias("n_common"), "prompt", "chosen_completion", "rejected_completion", spans("chosen_spans"), spans("rejected_spans"))
+
+
+@_query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weir.llm import warc as w
+
+    return w.round_trip(documents(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op7_preference_format"] = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM t),
+l AS (SELECT conv_id, max(k) FILTER (role = 'assistant') AS last FROM n GROUP BY conv_id),
+c AS (SELECT n.*, l.last FROM n JOIN l USING (conv_id) WHERE l.last IS NOT NULL AND k <= l.last),
+r AS (SELECT conv_id - 1 AS conv_id, text AS reply FROM c WHERE k = last),
+b AS (SELECT c.*, coalesce(r.reply, '') AS reply FROM c LEFT JOIN r USING (conv_id)),
+s AS (SELECT conv_id, max(last) AS last, any_value(reply) AS reply,
+             max(text) FILTER (k = last) AS own,
+             coalesce(string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY k) FILTER (k < last), '') AS before,
+             '<|assistant|>' || chr(10) || max(text) FILTER (k = last) || '<|end|>' || chr(10) AS good,
+             '<|assistant|>' || chr(10) || any_value(reply) || '<|end|>' || chr(10) AS bad
+      FROM b GROUP BY conv_id)
+SELECT conv_id, CASE WHEN own = reply THEN last ELSE last - 1 END::BIGINT AS n_common,
+       CASE WHEN own = reply THEN before || good ELSE before END AS prompt,
+       CASE WHEN own = reply THEN '' ELSE good END AS chosen_completion,
+       CASE WHEN own = reply THEN '' ELSE bad END AS rejected_completion,
+       CASE WHEN own = reply THEN '' ELSE '14-' || length(good) END AS chosen_spans,
+       CASE WHEN own = reply THEN '' ELSE '14-' || length(bad) END AS rejected_spans
+FROM s"""
+
+ORACLE_SQL["op8_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS s FROM w, unnest(range(1, len(ws) - 18)) AS t(i)),
+bad AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k
+        FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS rn FROM win) WHERE rn > 1),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+kept AS (SELECT each.doc_id, count(*) FILTER (bad.k IS NOT NULL) AS n_removed,
+                string_agg(word, ' ' ORDER BY each.k) FILTER (bad.k IS NULL) AS text
+         FROM each LEFT JOIN bad ON each.doc_id = bad.doc_id AND each.k = bad.k GROUP BY each.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+ORACLE_SQL["op9_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS holder FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN holder END AS refers_to
+FROM m"""
