@@ -127,3 +127,14 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN holder END AS refers_to
 FROM m"""
+
+
+@_query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weir.llm import decontamination as d
+
+    docs = documents(spark, sf_dir)
+    found = d.contaminated(docs, documents(spark, sf_dir, "benchmark"))
+    out = docs.select("doc_id").join(found, "doc_id", "left")
+    items = F.coalesce("item_ids", F.array().cast("array<bigint>"))
+    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.size(items).cast("bigint").alias("n_items"), items.alias("item_ids"), "similarity")
