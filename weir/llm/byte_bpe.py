@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +30,23 @@ from pyspark.sql import types as T
 from weir.llm.common import chunks
 
 #: Text of a chunk in bytes, and how many distinct pieces a worker remembers.
-TEXT_BYTES = 32 << 20
-MEMORY = 1_000_000
+TEXT_BYTES = 8 << 20
+MEMORY = 200_000
+
+
+@lru_cache(maxsize=2)
+def tokens(path: str) -> dict[int, bytes]:
+    """Tokens by rank."""
+    with open(path, "rb") as f:
+        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, f) if a}
 
 
 class Vocabulary:
-    """Ranks, tokens by rank, and the table of pairs that merge."""
+    """Ranks, and the table of pairs that merge."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
-        self.tokens = {r: t for t, r in self.ranks.items()}
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.ranks = {t: r for r, t in tokens(path).items()}
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         keys, made = [], []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -49,13 +56,13 @@ class Vocabulary:
                     made.append(rank)
         order = np.argsort(np.array(keys, np.int64))
         self.keys = np.array(keys, np.int64)[order]
-        self.made = np.array(made, np.int64)[order]
+        self.made = np.array(made, np.int32)[order]
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank that each pair merges to, -1 if none."""
-        wanted = a << 32 | b
+        wanted = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where(self.keys[at] == wanted, self.made[at], -1)
+        return np.where(self.keys[at] == wanted, self.made[at], np.int32(-1))
 
 
 @lru_cache(maxsize=2)
@@ -79,11 +86,11 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarr
     ends = np.cumsum(sizes)
     tok = vocab.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
     n = len(tok)
-    nxt = np.arange(1, n + 1, dtype=np.int64)
+    nxt = np.arange(1, n + 1, dtype=np.int32)
     nxt[ends - 1] = -1
-    prv = np.arange(-1, n - 1, dtype=np.int64)
+    prv = np.arange(-1, n - 1, dtype=np.int32)
     prv[ends - sizes] = -1
-    rank = np.full(n, -1, np.int64)
+    rank = np.full(n, -1, np.int32)
     left = np.flatnonzero(nxt >= 0)
     rank[left] = vocab.pair_ranks(tok[left], tok[left + 1])
 
@@ -139,39 +146,54 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarr
     return tok[alive], starts
 
 
+class Pieces(dict):
+    """Numbers pieces in the order they are first met."""
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        return n
+
+
 class Encoder:
-    """Encodes texts of many chunks; keeps the ids of up to MEMORY distinct pieces."""
+    """Encodes texts of many chunks; keeps the ids of some MEMORY distinct pieces."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.vocab, self.find, self.known = vocabulary(path), regex.compile(pattern).findall, {}
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > MEMORY:
-            self.known = {}
-        cut = [self.find(t) if t else [] for t in texts]
-        new = list({p for ps in cut for p in ps} - self.known.keys())
-        if new:
-            raw = [p.encode() for p in new]
-            whole = [self.vocab.ranks.get(b) for b in raw]
-            rest = [k for k, w in enumerate(whole) if w is None]
-            for p, w in zip(new, whole, strict=True):
-                if w is not None:
-                    self.known[p] = (w,)
-            if rest:
-                ids, starts = replay([raw[k] for k in rest], self.vocab)
-                ids, starts = ids.tolist(), starts.tolist()
-                for j, k in enumerate(rest):
-                    self.known[new[k]] = tuple(ids[starts[j] : starts[j + 1]])
-        known, out = self.known, []
-        for ps in cut:
-            row: list[int] = []
-            for p in ps:
-                row += known[p]
-            out.append(np.array(row, np.int32))
+        self.vocab, self.find = vocabulary(path), regex.compile(pattern).findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces, self.ids, self.starts = Pieces(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        if len(self.pieces) > MEMORY:
+            self.forget()
+        old, number = len(self.pieces), self.pieces.__getitem__
+        cut = [np.fromiter(map(number, self.find(t) if t else ()), np.int32) for t in texts]
+        self._learn([p.encode() for p in islice(self.pieces, old, None)])
+        sizes, out = np.diff(self.starts), []
+        for row in cut:
+            n = sizes[row]
+            ends = np.cumsum(n)
+            out.append(self.ids[np.repeat(self.starts[row] - ends + n, n) + np.arange(ends[-1] if len(row) else 0)])
         return out
 
+    def _learn(self, raw: list[bytes]) -> None:
+        whole = np.array([self.vocab.ranks.get(b, -1) for b in raw], np.int32)
+        rest = np.flatnonzero(whole < 0)
+        sizes = np.ones(len(raw), np.int64)
+        if len(rest):
+            ids, starts = replay([raw[k] for k in rest.tolist()], self.vocab)
+            sizes[rest] = np.diff(starts)
+        ends = np.cumsum(sizes)
+        new = np.zeros(ends[-1] if len(raw) else 0, np.int32)
+        new[(ends - sizes)[whole >= 0]] = whole[whole >= 0]
+        if len(rest):
+            new[np.repeat((ends - sizes)[rest] - starts[:-1], sizes[rest]) + np.arange(len(ids))] = ids
+        self.starts = np.concatenate((self.starts, self.starts[-1] + ends))
+        self.ids = np.concatenate((self.ids, new))
+
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
@@ -186,7 +208,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
         encoder = _ENCODERS.setdefault((path, pattern), None) or Encoder(path, pattern)
         _ENCODERS[path, pattern] = encoder
         for batch in chunks(batches, text, TEXT_BYTES):
-            rows = encoder.encode(batch.column(text).to_pylist())
+            rows = encoder.encode(v.as_py() for v in batch.column(text))
             offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int32), *rows])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*keep, ids])
@@ -201,9 +223,9 @@ def decode(docs: DataFrame, path: str, ids: str = "token_ids", out: str = "decod
     docs = docs.select(*dict.fromkeys([*keep, ids]))
 
     def run(batches):
-        token = vocabulary(path).tokens.__getitem__
+        token = tokens(path).__getitem__
         for batch in batches:
-            rows = [None if r is None else b"".join(map(token, r)) for r in batch.column(ids).to_pylist()]
+            rows = [b"".join(map(token, r.values.to_numpy().tolist())) if r.is_valid else None for r in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(rows, pa.binary())], [*keep, out])
 
     return docs.mapInArrow(run, schema)
