@@ -200,3 +200,24 @@ def scan_table(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [*keep, *names])
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+
+
+def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each run of overlapping spans replaced by ``[kind]`` of its first span."""
+    out, at = [], 0
+    for start, end, kind in in_order(spans):
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redacted_table(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with secrets of all layers replaced in ``text``; the other columns are as they were."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [redact(t, scan(t)[1]) if t else t for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
