@@ -129,6 +129,13 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m"""
 
 
+@_query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weir.llm import pitman_yor as m
+
+    return m.scored(documents(spark, sf_dir))
+
+
 @_query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weir.llm import decontamination as d
@@ -138,3 +145,6 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = docs.select("doc_id").join(found, "doc_id", "left")
     items = F.coalesce("item_ids", F.array().cast("array<bigint>"))
     return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.size(items).cast("bigint").alias("n_items"), items.alias("item_ids"), "similarity")
+
+
+#: Columns that follow the contract's are the model's own and not in SQL, so op4 is tested instead.
