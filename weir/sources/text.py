@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A quoted run ends at a closing quote or the end of the line; a bare token is
@@ -14,3 +14,13 @@ def tokens(text: Column) -> Column:
     """Array of tokens of ``text``; quotes around a quoted run are stripped."""
     found = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
     return F.transform(found, lambda t: F.trim(t, F.lit('"')))
+
+
+def with_skew(found: Column, word: str = "the", times: int = 2) -> Column:
+    """The replayed form: each token followed by ``times`` copies of ``word``."""
+    return F.flatten(F.transform(found, lambda t: F.array(t, *[F.lit(word)] * times)))
+
+
+def text_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of files as they appear in a folder."""
+    return spark.readStream.text(folder)
