@@ -1,4 +1,5 @@
 import os
+os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")])
 import sys
 
 import pytest

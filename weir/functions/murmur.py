@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 M = np.uint32
 C1, C2 = M(0xCC9E2D51), M(0x1B873593)
@@ -38,7 +39,7 @@ def murmur3_array(values: list[bytes]) -> np.ndarray:
         return (h ^ (h >> M(16))).view(np.int32)
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def murmur3(text: pd.Series) -> pd.Series:
     """Hash of each string; null stays null."""
     there = text.notna()
