@@ -40,7 +40,7 @@ UNICODE_RUN = re.compile(r"(?:[^\s\\]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}))+[
 UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX_RUN = re.compile(r"(?:[0-9A-Fa-f]{2}){16,}")
-PRINTABLE = re.compile(r"[\x09\x0A\x0D\x20-\x7E -�]*")
+PRINTABLE = re.compile(r"[\x09\x0A\x0D\x20-\x7E\u00A0-\uFFFD\U00010000-\U0010FFFF]*")
 MAX_UNPACKED = 16 << 20
 
 
@@ -76,11 +76,10 @@ def _unpacked(raw: bytes) -> str | None:
     if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
         try:
             opened = zlib.decompressobj(zlib.MAX_WBITS | 32)
-            raw = opened.decompress(raw, MAX_UNPACKED)
-            if opened.unconsumed_tail:
-                return None
+            out = opened.decompress(raw, MAX_UNPACKED)
+            return None if opened.unconsumed_tail else _readable(out)
         except zlib.error:
-            return None
+            pass  # two bytes of text can look like a header
     return _readable(raw)
 
 
@@ -116,7 +115,7 @@ def _unicode(run: str) -> list[tuple[str, int, int]]:
             joined.append((chr(0x10000 + ((ord(h) - 0xD800) << 10) + ord(c) - 0xDC00), i0, j))
         else:
             joined.append((c, i, j))
-    return [("�" if "\ud800" <= c <= "\udfff" else c, i, j) for c, i, j in joined]
+    return [("\uFFFD" if "\ud800" <= c <= "\udfff" else c, i, j) for c, i, j in joined]
 
 
 def _layers(text: str):
