@@ -138,3 +138,58 @@ def test_retry_raises_when_used_up():
     with pytest.raises(OSError):
         retry(fail, tries=3, sleep_s=0)
     assert len(calls) == 3
+
+
+def test_take_over_and_neighbours(spark):
+    ring = spark.createDataFrame(RING, "worker string, token long")
+    assert {(r.worker, r.token) for r in recovery.take_over(ring, "A").collect()} == {("C", -1_000_000_000), ("B", 0)}
+    alone = spark.createDataFrame([("A", 5)], "worker string, token long")
+    assert recovery.take_over(alone, "A").collect() == [] and recovery.neighbours(alone, 2).collect() == []
+    assert {(r.worker, r.rank, r.neighbour) for r in recovery.neighbours(ring, 5).collect()} >= {("A", 1, "C"), ("B", 2, "C")}
+
+
+def test_file_passes(spark):
+    from weir.sources.text import passes
+
+    df = spark.createDataFrame([("a b",)], "t string").select(F.inline(passes(F.col("t"), 7)))
+    got = [(r["pass"], r.word) for r in df.collect()]
+    assert got[:4] == [(0, "0"), (0, "a"), (0, "b"), (0, "1")]
+    assert [w for k, w in got if k == 1] == ["1", "a", "the", "the", "b", "the", "the", "2"]
+    assert [w for k, w in got if k == 6][0] == "0"
+
+
+def test_partitioners(spark):
+    from weir.errors import InvalidAppError
+    from weir.plans import partitioners
+
+    out = partitioners.load("every_instance")(spark.range(3), 2)
+    assert out.count() == 6 and {(r._instance, r.p) for r in out.select("_instance", F.spark_partition_id().alias("p")).collect()} == {(0, 0), (1, 1)}
+    assert partitioners.load("weir.plans.partitioners:balanced")(spark.range(3), 2).count() == 3
+    with pytest.raises(InvalidAppError):
+        partitioners.load("none")
+
+
+def test_envelope(spark):
+    row = routing.with_envelope(spark.createDataFrame([("John",)], "w string"), "w").first()
+    assert row._hash == -288588347 and row._sent_at is not None
+
+
+def test_cli(spark, tmp_path, capsys):
+    from weir import cli
+
+    (tmp_path / "g.py").write_text(
+        "from weir.plans.graph import Graph\n"
+        "def build(spark):\n"
+        "    g = Graph()\n"
+        "    g.source('n', lambda s: s.range(3))\n"
+        "    d = g.dynamic_node('out').subscribe('n')\n"
+        "    for k in (1, 2):\n"
+        "        d.alternate(str(k), 1.0, lambda df, k=k: df.selectExpr(f'id * {k} AS id'))\n"
+        "    return g\n"
+    )
+    assert cli.main(["queries"]) == 0 and cli.main(["version"]) == 0
+    assert cli.main(["run", f"{tmp_path}/g.py"]) == 1
+    assert cli.main(["run", f"{tmp_path}/g.py", "--alternate", "out=9"]) == 1
+    assert "AlternateNotFoundError" in capsys.readouterr().out
+    assert cli.main(["run", f"{tmp_path}/g.py", "--alternate", "out=2", "--scale", "out=2", "--out", f"{tmp_path}/o"]) == 0
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/o/out").collect()) == [0, 2, 4]

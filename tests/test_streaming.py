@@ -99,3 +99,17 @@ def test_running_count_survives_restart_and_equals_batch(spark, folder):
     assert sorted(out) == sorted(want)
     batch = state.running_count(spark.read.parquet(f"{path}/in"), "word", "id")
     assert sorted((r.word, r.id, r.n) for r in batch.collect()) == sorted(want)
+
+
+def test_feedback(spark, tmp_path):
+    from weir.streaming.feedback import feedback
+
+    seed = spark.createDataFrame([(k, 0) for k in range(4)], "instance int, data int")
+    q = feedback(seed, lambda df: df.withColumn("data", F.col("data") + 1).where("data <= 3"), f"{tmp_path}/loop", f"{tmp_path}/cp", {"processingTime": "0 seconds"})
+    for _ in range(200):
+        if spark.read.parquet(f"{tmp_path}/loop").count() >= 16:
+            break
+        q.awaitTermination(0.2)
+    q.stop()
+    got = [(r.instance, r.data) for r in spark.read.parquet(f"{tmp_path}/loop").collect()]
+    assert sorted(got) == [(i, d) for i in range(4) for d in range(4)]

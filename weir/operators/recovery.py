@@ -49,3 +49,31 @@ def overloaded(queue: DataFrame, ts: str, length: str, window: str = "30 seconds
     """Windows of time whose 95th percentile queue length asks for help."""
     out = queue.groupBy(F.window(ts, window).alias("w")).agg(F.percentile(length, F.lit(0.95)).alias("p95"))
     return out.select(F.col("w.start").alias("start"), "p95", (F.col("p95") > threshold).alias("ask"))
+
+
+def failed(checkpoints: DataFrame, worker: str, ts: str, period: str, now: Column, missed: int = 3) -> DataFrame:
+    """(worker, last): workers whose last checkpoint is more than ``missed`` periods old."""
+    last = checkpoints.groupBy(worker).agg(F.max(ts).alias("last"))
+    return last.where(F.col("last") + F.expr(f"{missed} * INTERVAL {period}") < now)
+
+
+def take_over(tokens: DataFrame, dead: str) -> DataFrame:
+    """The ring after the dead worker's lower neighbour has moved to its token; alone on the ring, nobody takes over."""
+    near = neighbours(tokens, 1).where(F.col("worker") == dead).select(F.col("neighbour").alias("heir"))
+    place = tokens.where(F.col("worker") == dead).select(F.col("token").alias("dead_token"))
+    alive = tokens.where(F.col("worker") != dead)
+    moved = alive.join(F.broadcast(near), F.col("worker") == F.col("heir"), "left").join(F.broadcast(place))
+    return moved.select("worker", F.when(F.col("heir").isNotNull(), F.col("dead_token")).otherwise(F.col("token")).alias("token"))
+
+
+def state_ratio(deltas: DataFrame, key: str, ts: str, since: Column) -> DataFrame:
+    """(full, delta, ratio): keys in all state, keys changed after ``since``, and their ratio."""
+    per_key = deltas.groupBy(key).agg(F.max(ts).alias("last"))
+    return per_key.agg(F.count("*").alias("full"), F.count_if(F.col("last") > since).alias("delta")).withColumn("ratio", F.col("delta") / F.col("full"))
+
+
+def mapping_delta(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, old, new, change): what to add, remove or move to get from one mapping to the other."""
+    both = old.select(key, F.col(value).alias("old")).join(new.select(key, F.col(value).alias("new")), key, "full")
+    change = F.when(F.col("old").isNull(), F.lit("add")).when(F.col("new").isNull(), F.lit("remove")).when(F.col("old") != F.col("new"), F.lit("move"))
+    return both.withColumn("change", change).where(F.col("change").isNotNull())

@@ -54,3 +54,10 @@ def multicast(df: DataFrame, targets: Column, name: str = "target") -> DataFrame
 def to_instances(df: DataFrame, instance: str, n: int) -> DataFrame:
     """Rows moved so that partition i holds the rows of instance i."""
     return df.repartitionById(n, F.col(instance).cast("int"))
+
+
+def with_envelope(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``_hash`` (standard murmur3 of the key) and ``_sent_at``: what a reduce edge sends along."""
+    from weir.functions.murmur import murmur3
+
+    return df.withColumns({"_hash": murmur3(F.col(key).cast("string")), "_sent_at": F.current_timestamp()})

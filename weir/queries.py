@@ -347,3 +347,87 @@ def placement_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT 'a' AS edge, event_type = 'click' AS took FROM events UNION ALL SELECT 'b', event_type IN ('view', 'click') FROM events) GROUP BY edge""")
 def edge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.edge_metrics(table(spark, sf_dir, "events"), F.col("event_type"), {"a": ["click"], "b": ["view", "click"]})
+
+
+@query("""
+    WITH w AS (SELECT 'w' || (user_id % 10) AS worker, max(ts) AS last FROM events WHERE event_type = 'purchase' GROUP BY 1)
+    SELECT worker, last FROM w WHERE last + 3 * INTERVAL '2 hours' < (SELECT max(ts) FROM events)""")
+def failure_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    saved = e.where("event_type = 'purchase'").select(F.concat(F.lit("w"), F.col("user_id") % 10).alias("worker"), "ts")
+    now = e.agg(F.max("ts")).first()[0]
+    return recovery.failed(saved, "worker", "ts", "'2' HOUR", F.lit(str(now)).cast("timestamp_ntz"))
+
+
+@query("SELECT worker, CASE WHEN worker = 'D' THEN 1000000000 ELSE token END::BIGINT AS token FROM " + _ring_sql(GROWN) + " WHERE worker <> 'C'")
+def take_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovery.take_over(_ring(spark, GROWN), "C")
+
+
+@query("""
+    WITH k AS (SELECT user_id, max(ts) AS last FROM events WHERE event_type = 'signup' GROUP BY user_id),
+    t AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS half FROM events)
+    SELECT count(*)::BIGINT AS "full", count_if(last > half)::BIGINT AS delta, count_if(last > half) / count(*) AS ratio FROM k, t""")
+def state_size_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    return recovery.state_ratio(e.where("event_type = 'signup'"), "user_id", "ts", F.lit(str(low + (high - low) / 2)).cast("timestamp_ntz"))
+
+
+@query(f"""
+    WITH u AS (SELECT DISTINCT user_id, {HASH.format('user_id')} AS h FROM events),
+    o AS (SELECT user_id, {_owner_sql(RING, 'h')} AS old FROM u WHERE user_id % 5 <> 0), n AS (SELECT user_id, {_owner_sql(GROWN, 'h')} AS new FROM u WHERE user_id % 7 <> 0)
+    SELECT * FROM (SELECT user_id, old, new, CASE WHEN old IS NULL THEN 'add' WHEN new IS NULL THEN 'remove' WHEN old <> new THEN 'move' END AS change
+    FROM o FULL JOIN n USING (user_id)) WHERE change IS NOT NULL""")
+def mapping_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    old = routing.with_owner(users.where("user_id % 5 <> 0"), _ring(spark, RING), _hash("user_id"))
+    new = routing.with_owner(users.where("user_id % 7 <> 0"), _ring(spark, GROWN), _hash("user_id"))
+    return recovery.mapping_delta(old, new, "user_id", "worker")
+
+
+@query(f"""
+    WITH t AS ({TOKENS}), n AS (SELECT count(*)::BIGINT AS n FROM documents)
+    SELECT pass, word, sum(n)::BIGINT AS n FROM (
+      SELECT 0 AS pass, word, count(*) AS n FROM t GROUP BY word
+      UNION ALL SELECT p, w, count(*) FROM (SELECT p, unnest([word, 'the', 'the']) AS w FROM t, (VALUES (1), (2)) x(p)) GROUP BY ALL
+      UNION ALL SELECT p, m, n FROM n, (VALUES (0, '0'), (0, '1'), (1, '1'), (1, '2'), (2, '2'), (2, '3')) x(p, m)) GROUP BY ALL""")
+def file_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weir.sources.text import passes
+
+    rows = table(spark, sf_dir, "documents").select(F.inline(passes(F.col("text"), 3)))
+    return rows.groupBy("pass", "word").agg(F.count("*").alias("n"))
+
+
+# --- beyond the graph layer: node bodies are DataFrames, so all of Spark SQL is there -------
+
+
+@query("SELECT n_name AS nation, count(*)::BIGINT AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL")
+def beyond_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return joined.groupBy(F.col("n_name").alias("nation")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def beyond_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT c_custkey, c_nationkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC)::INT AS place FROM customer QUALIFY place <= 3")
+def beyond_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    place = F.rank().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal")))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", place.alias("place")).where("place <= 3")
+
+
+@query("SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def beyond_tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return w.select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def beyond_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")))

@@ -24,3 +24,20 @@ def with_skew(found: Column, word: str = "the", times: int = 2) -> Column:
 def text_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of files as they appear in a folder."""
     return spark.readStream.text(folder)
+
+
+def passes(text: Column, n: int, cycle: int = 6) -> Column:
+    """Array of (pass, word) of ``n`` passes over a text: each is its number's marker, the tokens and the next marker.
+
+    Passes after the first replay the tokens with skew; markers start again after ``cycle``."""
+    found = tokens(text)
+    parts = []
+    for k in range(n):
+        marks = [F.array(F.lit(str(m))) for m in (k % cycle, k % cycle + 1)]
+        row = F.concat(marks[0], found if k == 0 else with_skew(found), marks[1])
+        parts.append(_numbered(row, k))
+    return F.concat(*parts)
+
+
+def _numbered(words: Column, k: int) -> Column:
+    return F.transform(words, lambda w: F.struct(F.lit(k).alias("pass"), w.alias("word")))
