@@ -43,25 +43,50 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Bytes whose words are hashed in one step.
+STEP_BYTES = 1 << 20
+
+
+def _space_after(data: np.ndarray, at: int) -> int:
+    """The first separator at or after ``at``, or the end."""
+    while at < len(data):
+        found = IS_SPACE[data[at : at + 4096]]
+        if found.any():
+            return at + int(found.argmax())
+        at += 4096
+    return len(data)
+
+
 def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, and where each row's words begin (with the end)."""
+    hashes, counts, at = [np.zeros(0, U)], np.zeros(len(offsets) - 1, np.int64), 0
+    while at < len(data):
+        stop = _space_after(data, at + STEP_BYTES)
+        h, rows = _block_words(data[at:stop], offsets - at, lower)
+        hashes.append(h)
+        counts += np.bincount(rows, minlength=len(counts))
+        at = stop
+    return np.concatenate(hashes), np.concatenate(([0], np.cumsum(counts)))
+
+
+def _block_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and rows of the words of a block that begins and ends between words."""
     if lower:
         data = LOWER[data]
     inside = ~IS_SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
-    heads = offsets[:-1][offsets[:-1] < len(data)]
+    heads = offsets[:-1][(offsets[:-1] >= 0) & (offsets[:-1] < len(data))]
     first[heads] = inside[heads]
     starts = np.flatnonzero(first)
-    at = np.cumsum(np.concatenate(([0], np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=len(offsets) - 1)[: len(offsets) - 1])))
     if not len(starts):
-        return np.zeros(0, U), at.astype(np.int64)
+        return np.zeros(0, U), np.zeros(0, np.int64)
     where = np.flatnonzero(inside)
     place = np.searchsorted(where, starts)
     sizes = np.diff(np.append(place, len(where)))
     within = np.arange(len(where)) - np.repeat(place, sizes)
     h = np.add.reduceat(BYTE[data[where]] * powers(STEP_IN_WORD, int(sizes.max()))[within], place)
-    return mixed(h + sizes.astype(U) * STEP_B), at.astype(np.int64)
+    return mixed(h + sizes.astype(U) * STEP_B), np.searchsorted(offsets, starts, "right") - 1
 
 
 def window_hashes(h: np.ndarray, n: int, step: np.uint64) -> np.ndarray:
@@ -90,21 +115,38 @@ def inside_rows(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1][rows] + np.arange(len(rows)) - first[rows], rows
 
 
+def narrow(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of whole numbers, byte by byte: planes of zeros cost next to nothing when Spark compresses them."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def wide(b: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(b, np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<u8").ravel()
+
+
+def steps(ids: np.ndarray) -> bytes:
+    """Ids as differences, which are small where ids rise."""
+    return narrow(np.diff(ids.astype(np.int64), prepend=0).view(U), 8)
+
+
+def from_steps(b: bytes) -> np.ndarray:
+    return np.cumsum(wide(b, 8).view(np.int64))
+
+
 FIELDS = [T.StructField("hashes", T.BinaryType()), T.StructField("docs", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("places", T.BinaryType())]
 #: kind 0: hashes to compare; kind 1: findings that pass through.
 SCHEMA = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), *FIELDS])
 ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(f.name, pa.binary()) for f in FIELDS]])
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
 def pack(bucket: np.ndarray, hashes: np.ndarray | None, docs: np.ndarray, places: np.ndarray | None, width: int = 8, kind: int = 0) -> pa.RecordBatch:
     """Rows of SCHEMA. The input is in document order. ``hashes`` are numbers, of which ``width`` bytes are kept, or records (n x bytes)."""
     if not len(bucket):
         return pa.RecordBatch.from_arrays([pa.array([], t) for t in ARROW.types], schema=ARROW)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 65536 else bucket, kind="stable")  # by radix if it can
     bucket, docs = bucket[order], docs[order]
     hashes = None if hashes is None else hashes[order]
     places = None if places is None else places[order]
@@ -116,29 +158,25 @@ def pack(bucket: np.ndarray, hashes: np.ndarray | None, docs: np.ndarray, places
         gaps = b""
         if places is not None:
             p = places[lo:hi]
-            steps = np.diff(p, prepend=0)
-            steps[runs] = p[runs]
-            gaps = _planes(steps)
+            up = np.diff(p, prepend=0)
+            up[runs] = p[runs]
+            gaps = narrow(up, 4)
         if hashes is None:
             h = b""
         elif hashes.ndim == 2:
             h = hashes[lo:hi].tobytes()
         else:
             h = hashes[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-        rows.append((int(bucket[lo]), kind, h, d[runs].astype("<i8").tobytes(), _planes(np.diff(np.append(runs, hi - lo))), gaps))
+        rows.append((int(bucket[lo]), kind, h, steps(d[runs]), narrow(np.diff(np.append(runs, hi - lo)), 4), gaps))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
 
 
-def _from_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
 def unpack(table: pa.Table, width: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes (uint64, or records of ``width`` bytes if more than 8), documents and places of all rows."""
     hs, ds, ps = [np.zeros(0, U) if width <= 8 else np.zeros((0, width), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for h, d, c, p in zip(*(table.column(f.name).to_pylist() for f in FIELDS), strict=True):
-        counts = _from_planes(c)
-        ds.append(np.repeat(np.frombuffer(d, "<i8"), counts))
+        counts = wide(c, 4).astype(np.int64)
+        ds.append(np.repeat(from_steps(d), counts))
         if h and width > 8:
             hs.append(np.frombuffer(h, np.uint8).reshape(-1, width))
         elif h:
@@ -146,8 +184,8 @@ def unpack(table: pa.Table, width: int = 8) -> tuple[np.ndarray, np.ndarray, np.
             full[:, :width] = np.frombuffer(h, np.uint8).reshape(-1, width)
             hs.append(full.view("<u8").ravel())
         if p:
-            steps = _from_planes(p)
-            sums = np.cumsum(steps)
+            up = wide(p, 4).astype(np.int64)
+            sums = np.cumsum(up)
             heads = np.cumsum(counts) - counts
-            ps.append((sums - np.repeat(sums[heads] - steps[heads], counts)) & 0xFFFFFFFF)  # steps are modulo 2**32
+            ps.append((sums - np.repeat(sums[heads] - up[heads], counts)) & 0xFFFFFFFF)  # steps are modulo 2**32
     return np.concatenate(hs), np.concatenate(ds), np.concatenate(ps)
