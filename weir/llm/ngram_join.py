@@ -7,11 +7,16 @@ and a document with less than three quarters of its shingles shared is done.
 Documents with equal sets are one class from there on. The prefixes of the
 remaining sets are joined on their shingles:
 
-1. Each document meets the smallest document of each of its prefix shingles
-   (a star, linear in the prefixes). Length, positional and suffix filters drop
-   pairs, each remaining pair is verified once, and links make components.
-2. Under each prefix shingle, only pairs of different components are left to
-   try; they pass the same filters and are verified once.
+1. Each document meets, under each of its prefix shingles, the document with the
+   fewest shingles of its own (its pivot; among near copies that is the original
+   or what is nearest to it). Each (document, pivot) is measured once; links make
+   components.
+2. Two documents of different components that share a prefix shingle share its
+   pivot. Either they share a shingle outside the pivot, and then one of the
+   prefix of what each has outside it, whose length follows from what the pivot
+   already explains; or all they share lies in the pivot, and then the smaller of
+   their shares of it must suffice for their sizes. Pairs of either kind pass the
+   length, positional and suffix filters and are verified once.
 
 All pairs within a group of near copies are thus never listed, and no link that
 could join two components is missed.
@@ -146,13 +151,21 @@ def _at_least(nx: Column, ny: Column, percent: int) -> Column:
     return F.ceil(percent * (nx + ny) / F.lit(100 + percent))
 
 
+def _length_fits(nx: Column, ny: Column, percent: int) -> Column:
+    return (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
+
+
+def _bin(n: Column) -> Column:
+    """Sizes within a tenth of each other share a bin or have neighbouring ones."""
+    return F.floor(F.log(F.greatest(n, F.lit(1.0))) / F.log(F.lit(1.1))).cast("int")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Of (x, y, i, j) with i and j the first common place in either order, the linked (x, y)."""
+    """The linked (x, y) of ``pairs``: the suffix filter by hash cells, then the sets themselves."""
     side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("shared").alias(f"shared{s}"), F.col("cells").alias(f"cells{s}"))
     need = _at_least(F.col("nx"), F.col("ny"), percent)
-    by_place = 1 + F.least(F.col("nx") - 1 - F.col("i"), F.col("ny") - 1 - F.col("j"))
     by_cell = F.aggregate(F.zip_with("cellsx", "cellsy", lambda a, b: F.least(a, b)), F.lit(0), lambda a, c: a + c)
-    both = pairs.join(side("x"), "x").join(side("y"), "y").where((by_place >= need) & (by_cell >= need))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").where(by_cell >= need)
     return both.where(F.size(F.array_intersect("sharedx", "sharedy")) >= need).select("x", "y")
 
 
@@ -179,25 +192,45 @@ def linked(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     reps = saved(every.where("shared is not null").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "shared", "cells"), "reps")
     rare = F.col("n") - F.size("shared")
     length = F.col("n") - F.ceil(percent * F.col("n") / F.lit(100)) + 1 - rare
-    prefixes = saved(
-        reps.select("doc_id", "n", rare.alias("rare"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("place", "shingle")).select("doc_id", "n", "shingle", (F.col("rare") + F.col("place")).alias("place")),
-        "prefixes",
-    )
-    fits = (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx"))
-
-    pivots = prefixes.groupBy("shingle").agg(F.min(F.struct("doc_id", "n", "place")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    stars = prefixes.join(pivots, "shingle").select(F.col("p.doc_id").alias("x"), F.col("doc_id").alias("y"), F.col("p.n").alias("nx"), F.col("n").alias("ny"), F.col("p.place").alias("i"), F.col("place").alias("j"))
-    tried = saved(stars.where((F.col("x") != F.col("y")) & fits).groupBy("x", "y").agg(F.min("i").alias("i"), F.min("j").alias("j")), "stars")
-    links = saved(_verified(tried, reps, percent), "links")
+    prefix = F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
+    prefixes = saved(reps.select("doc_id", rare.alias("rare"), F.explode(prefix).alias("shingle")), "prefixes")
+
+    # stars: every (document, pivot), measured once
+    pivots = prefixes.groupBy("shingle").agg(F.min(F.struct("rare", "doc_id")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    pairs = prefixes.join(pivots, "shingle").select("doc_id", F.col("p.doc_id").alias("pivot")).where("doc_id <> pivot").distinct()
+    x = reps.select("doc_id", "n", "shared")
+    y = reps.select(F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("shared").alias("pivot_shared"))
+    outside = F.array_except("shared", "pivot_shared")  # in order, rare first
+    common = F.size("shared") - F.size(outside)
+    must = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / F.lit(100)) - common)
+    first = F.slice(outside, F.lit(1), F.greatest(F.size(outside) - must + 1, F.lit(0)).cast("int"))
+    stars = saved(pairs.join(y, "pivot").join(x, "doc_id").select("doc_id", "pivot", "n", "pivot_n", common.alias("common"), F.size(outside).alias("n_outside"), first.alias("outside")), "stars")
+    links = stars.where(F.col("common") >= _at_least(F.col("n"), F.col("pivot_n"), percent)).select(F.col("pivot").alias("x"), F.col("doc_id").alias("y"))
     found = components(links)
 
-    placed = prefixes.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
-    open_ = saved(placed.join(mixed, "shingle", "left_semi"), "open")
-    side = lambda s, p: open_.select("shingle", F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("place").alias(p), F.col("component").alias(f"c{s}"))
-    pairs = side("x", "i").join(side("y", "j"), "shingle").where((F.col("cx") < F.col("cy")) & fits)
-    rest = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.col("i")).otherwise(F.col("j")).alias("i"), F.when(F.col("x") < F.col("y"), F.col("j")).otherwise(F.col("i")).alias("j"))
-    rest = rest.groupBy("x", "y").agg(F.min("i").alias("i"), F.min("j").alias("j")).join(tried.select("x", "y"), ["x", "y"], "left_anti")
+    # what is left: documents of different components around one pivot
+    placed = stars.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = placed.groupBy("pivot").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("pivot")
+    open_ = saved(placed.join(mixed, "pivot", "left_semi"), "open")
+    side = lambda t, s, *by: t.select(*by, F.struct("doc_id", "n", "common", "component").alias(s))
+    a, b = F.col("a"), F.col("b")
+    ordered = [F.least(a["doc_id"], b["doc_id"]).alias("x"), F.greatest(a["doc_id"], b["doc_id"]).alias("y")]
+    need = _at_least(a["n"], b["n"], percent)
+    apart = (a["component"] != b["component"]) & _length_fits(a["n"], b["n"], percent)
+    # either they share a shingle outside the pivot, and then one of their prefixes there ...
+    out_of = open_.select("*", F.posexplode("outside").alias("place", "shingle"))
+    at = lambda s: F.struct("doc_id", "n", "common", "component", "place", (F.col("n_outside") - 1 - F.col("place")).alias("after")).alias(s)
+    by_place = F.least(a["common"], b["common"]) + F.least(a["place"], b["place"]) + 1 + F.least(a["after"], b["after"])
+    by_shingle = out_of.select("pivot", "shingle", at("a")).join(out_of.select("pivot", "shingle", at("b")), ["pivot", "shingle"])
+    by_shingle = by_shingle.where(apart & (a["doc_id"] < b["doc_id"]) & (by_place >= need)).select(*ordered)
+    # ... or all they share is in the pivot, and the smaller share of the two is enough for their sizes
+    inside = open_.where(100 * F.col("common") >= percent * F.col("n"))
+    far = inside.where(F.col("common") < _at_least(F.col("n"), F.col("pivot_n"), percent))
+    most = F.least(100 * F.col("n") / percent, (100 + percent) * F.col("common") / percent - F.col("n"))
+    bins = F.sequence(_bin(percent * F.col("n") / 100), F.greatest(_bin(percent * F.col("n") / 100), _bin(most)))
+    by_size = side(far.withColumn("bin", F.explode(bins)), "a", "pivot", "bin").join(side(inside.withColumn("bin", _bin(F.col("n"))), "b", "pivot", "bin"), ["pivot", "bin"])
+    by_size = by_size.where(apart & (F.least(a["common"], b["common"]) >= need)).select(*ordered)
+    rest = by_shingle.union(by_size).distinct().join(stars.select(F.least("doc_id", "pivot").alias("x"), F.greatest("doc_id", "pivot").alias("y")), ["x", "y"], "left_anti")
     more = saved(_verified(rest, reps, percent), "links")
     if not more.isEmpty():
         found = components(links.union(more))
