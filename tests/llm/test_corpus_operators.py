@@ -71,6 +71,21 @@ def test_suffix_dedup_of_random_passages(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in out.collect()} == brute.suffix_dedup(texts)
 
 
+def test_anchors_do_not_depend_on_pieces(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice("abc ") for _ in range(r.choice([0, 20, 49, 50, 51, 400, 900]))) for _ in range(12)] + ["z" * 300]
+    data, offsets = packed.flat(packed.pa.array(texts))
+
+    def by_window():
+        return {w: int(a) for a, _, first, last, _ in zip(*suffix_dedup.anchors(data, offsets)) for w in range(first, last + 1)}
+
+    whole = by_window()
+    assert len(whole) == sum(max(0, len(t) - 49) for t in texts)
+    assert all(w <= a <= w + 30 for w, a in whole.items())
+    monkeypatch.setattr(suffix_dedup, "STEP", 64)
+    assert by_window() == whole
+
+
 def test_multikey_order():
     r = np.random.default_rng(2)
     rows = r.integers(0, 3, (500, 19)).astype(np.uint8)
@@ -177,3 +192,19 @@ def test_seats_follow_the_expected_growth():
     # expected tables of a Pitman-Yor restaurant with strength 1, where a new table weighs strength + discount * tables
     u = pitman_yor.seats(np.array([0, 1, 1_000_000]), np.array([1.0, 1.0, 0.0]), 0.5, rng)
     assert u.tolist() == [0, 1, 1] and 4 < t.mean() < 8 and t.min() >= 1
+
+
+def test_single_moves_reach_the_exact_distribution():
+    """A partition of 3 customers weighs weight**tables times the product of (1 - d)(2 - d)... of its tables."""
+    n, w, d = 20_000, 0.7, 0.4
+    small = pitman_yor.SmallTables(np.full(n, 3))
+    rng = np.random.default_rng(2)
+    for _ in range(6):
+        tables = small.sweep(np.full(n, w), d, rng)
+    assert (small.sizes.sum(axis=1) == 3).all()
+    weights = np.array([w * (1 - d) * (2 - d), 3 * w**2 * (1 - d), w**3])
+    assert np.bincount(tables, minlength=4)[1:] / n == pytest.approx(weights / weights.sum(), abs=0.015)
+    mixed = pitman_yor.SmallTables(np.array([0, 1, 2, 8, 9, 5]))
+    for _ in range(20):
+        mixed.sweep(np.full(6, 0.5), d, rng)
+    assert mixed.types.tolist() == [2, 3, 5] and mixed.sizes.sum(axis=1).tolist() == [2, 8, 5]

@@ -41,20 +41,32 @@ from weir.llm.substring_dedup import by_id, intervals
 
 SIZE = 50
 GRAM = 20
-#: Bytes of a text chunk, and of the texts whose suffixes are sampled for splitters.
-CHUNK = 4 << 20
+#: Window starts, and suffixes, that one numpy step works on.
+STEP, STEP_SUFFIXES = 1 << 20, 1 << 14
+#: How many texts are sampled for splitters.
 SAMPLED_DOCS = 2000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, size: int = SIZE, gram: int = GRAM):
-    """(position, hash, first window, last window, row) of each anchor; positions count in ``data``."""
+    """(position, hash, first window, last window, row) of each anchor; positions count in ``data``.
+
+    Long texts are worked on piece by piece; an anchor with windows on both sides of a cut comes twice, with its windows divided."""
+    parts = []
+    for at in range(0, max(1, len(data) - size + 1), STEP):
+        piece = data[at : at + STEP + size - 1]
+        found = _piece_anchors(piece, np.clip(offsets - at, 0, len(piece)), size, gram)
+        parts.append((found[0] + at, found[1], found[2] + at, found[3] + at, found[4]))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _piece_anchors(data: np.ndarray, offsets: np.ndarray, size: int, gram: int):
     wide = size - gram + 1
     windows, rows = P.inside_rows(offsets, size)
     if not len(windows):
         none = np.zeros(0, np.int64)
         return none, none.astype(P.U), none, none, none
     h = P.mixed(P.window_hashes(P.BYTE[data], gram, P.STEP_A))
-    bits = P.U(max(1, int(len(h)).bit_length()))
+    bits = P.U(21)  # for places in a piece, as many in every piece: equal windows must break ties alike
     least = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
     done = 1
     while done < wide:  # least of windows of 1, 2, 4, ... and at last ``wide`` neighbours
@@ -148,7 +160,7 @@ def repeated_anchors(docs: DataFrame, size: int, gram: int, buckets: int) -> Dat
     """(key, grams): hashes of the anchors of each document that other documents have too."""
 
     def hash_chunk(batches):
-        for batch in chunks(batches, "text", CHUNK):
+        for batch in chunks(batches, "text"):
             batch = by_id(batch)
             ids = batch.column("key").to_numpy()
             _, h, _, _, rows = anchors(*P.flat(batch.column("text")), size, gram)
@@ -199,7 +211,7 @@ def splitters(docs: DataFrame, buckets: int, size: int, gram: int) -> np.ndarray
     total = docs.count()
 
     def leading(batches):
-        for batch in chunks(batches, "text", CHUNK):
+        for batch in chunks(batches, "text"):
             data, offsets = P.flat(batch.column("text"))
             at, _, _, _, rows = anchors(data, offsets, size, gram)
             pick = np.random.default_rng(7).permutation(len(at))[: 8 * batch.num_rows]
@@ -211,15 +223,16 @@ def splitters(docs: DataFrame, buckets: int, size: int, gram: int) -> np.ndarray
     return np.array(cuts, f"S{gram}")
 
 
-def marked_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+def marked_windows(texts: DataFrame, size: int = SIZE, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Packed rows of kind 1, grouped by document: starts of windows that a smaller document has."""
-    buckets = partitions(docs.sparkSession)
+    buckets = partitions(texts.sparkSession)
+    docs = texts.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     before = size - gram
     width = before + size + 2
     cuts = splitters(docs, buckets, size, gram)
 
     def suffixes(batches):
-        for batch in chunks(batches, "text", CHUNK):
+        for batch in chunks((b.filter(b.column("grams").is_valid()) for b in batches), "text"):
             batch = by_id(batch)
             ids = batch.column("key").to_numpy()
             data, offsets = P.flat(batch.column("text"))
@@ -238,11 +251,12 @@ def marked_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
                 continue
             at, first, last, rows = at[k], first[k], last[k], rows[k]
             low, high = at - first, at - last
-            reach = np.arange(-before, size)
-            where = at[:, None] + reach
             record = np.zeros((len(k), width), np.uint8)
-            valid = (reach >= -low[:, None]) & (reach < size - high[:, None])
-            record[:, : before + size] = np.where(valid, data[np.clip(where, 0, len(data) - 1)], 0)
+            reach = np.arange(-before, size)
+            for i in range(0, len(k), STEP_SUFFIXES):
+                j = slice(i, i + STEP_SUFFIXES)
+                valid = (reach >= -low[j, None]) & (reach < size - high[j, None])
+                record[j, : before + size] = np.where(valid, data[np.clip(at[j, None] + reach, 0, len(data) - 1)], 0)
             record[:, -2], record[:, -1] = low, high
             d, p = ids[rows], at - offsets[rows]
             whole = np.ascontiguousarray(record).view(f"V{width}").ravel()
@@ -269,9 +283,9 @@ def marked_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
             out.append(pa.Table.from_batches([P.pack(_home(d[at[order]], buckets), None, d[at[order]], starts[order], kind=1)]))
         return pa.concat_tables(out)
 
-    grams = repeated_anchors(docs, size, gram, buckets)
-    joined = docs.join(grams, "key", "left").where("grams is not null").select("key", "text", "grams")
-    return joined.mapInArrow(suffixes, P.SCHEMA).groupBy("bucket").applyInArrow(compare, P.SCHEMA)
+    # a left join, as the last step has one of the same texts: Spark shuffles them once for both
+    joined = texts.join(repeated_anchors(docs, size, gram, buckets).withColumnRenamed("key", key), key, "left")
+    return joined.select(F.col(key).alias("key"), F.col(text).alias("text"), "grams").mapInArrow(suffixes, P.SCHEMA).groupBy("bucket").applyInArrow(compare, P.SCHEMA)
 
 
 def deduplicated(docs: DataFrame, size: int = SIZE, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -279,9 +293,9 @@ def deduplicated(docs: DataFrame, size: int = SIZE, gram: int = GRAM, text: str
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
     keep = [c for c in docs.columns if c not in (*names, "removed")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in names[:3]] + [T.StructField("kept", T.BinaryType())])
-    plain = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    removed = intervals(marked_windows(plain, size, gram), size, "key")
-    joined = docs.select(*keep).join(removed.withColumnRenamed("key", key), key, "left").select(*keep, "removed")
+    texts = docs.select(*keep)
+    removed = intervals(marked_windows(texts, size, gram, text, key), size, "key")
+    joined = texts.join(removed.withColumnRenamed("key", key), key, "left").select(*keep, "removed")
 
     def cut(batches):
         for batch in chunks(batches, text):
