@@ -148,3 +148,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Columns that follow the contract's are the model's own and not in SQL, so op4 is tested instead.
+
+ORACLE_SQL["op3_ngram_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y, a.n = b.n AND o = a.n AS equal FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 75 * (a.n + b.n - o)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x, min(y) AS y FROM r GROUP BY x),
+q AS (SELECT y AS doc_id, min(x) AS x FROM l WHERE equal GROUP BY y)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(c.y, w.doc_id)) AS component_id, coalesce(q.x, w.doc_id) AS class_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = w.doc_id LEFT JOIN q ON q.doc_id = w.doc_id"""
