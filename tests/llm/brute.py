@@ -2,12 +2,21 @@
 
 import collections
 import hashlib
+import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+VOCABULARY = ["wo" + a + b for a in "abcdefghij" for b in "klmnopqrst"]
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCABULARY) for _ in range(n))
+
+
 def sha(x):
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
 

@@ -6,12 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-VOCABULARY = ["wo" + a + b for a in "abcdefghij" for b in "klmnopqrst"]
-
-
-def prose(seed, n):
-    r = random.Random(seed)
-    return " ".join(r.choice(VOCABULARY) for _ in range(n))
+from brute import prose  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -8,7 +8,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
-from conftest import prose
+from brute import prose
 from pyspark.sql import functions as F
 
 from weir.llm import ngram_join, packed, pitman_yor, substring_dedup, suffix_dedup
