@@ -16,6 +16,7 @@ columns pass through, and the statistics' names win over clashing ones.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -166,7 +167,7 @@ def _grow(values, bad, rows, cuts, most):
     return conditions
 
 
-def learn(values: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max_conditions: int = 3, min_precision: float = 0.9, min_covered: int = 3, max_cuts: int = 48) -> DecisionList:
+def learn(values: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max_conditions: int = 3, min_precision: float = 0.9, max_cuts: int = 48) -> DecisionList:
     """Sequential covering. Every third row prunes, the others grow."""
     rules, left = [], np.ones(len(bad), bool)
     prune_row = np.arange(len(bad)) % 3 == 2
@@ -191,7 +192,7 @@ def learn(values: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, m
         rule = Rule(tuple(conditions))
         hit = rule.mask(values, len(bad)) & left
         p, n = int((hit & bad).sum()), int((hit & ~bad).sum())
-        if p + n < min_covered or p < min_precision * (p + n):
+        if p + 1 < min_precision * (p + n + 2):  # Laplace's estimate: a few rows are no proof
             break
         rules.append(Rule(rule.conditions, p / (p + n), p + n))
         left &= ~hit
@@ -218,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         .where(~F.col("__base"))
         .collect()
     )
-    rows.sort(key=lambda r: (hash((r["__key"], 7)) & 0xFFFFFFFF, r["__key"]))
+    rows.sort(key=lambda r: (zlib.crc32(str(r["__key"]).encode()), r["__key"]))  # the order decides which rows prune
     values = {f: np.array([r[f"f_{f}"] for r in rows], float) for f in FEATURES}
     return learn(values, np.array([r["__bad"] for r in rows], bool))
 
