@@ -32,6 +32,7 @@ from weir.llm.common import chunks
 #: Text of a chunk in bytes, and how many distinct pieces a worker remembers.
 TEXT_BYTES = 8 << 20
 MEMORY = 200_000
+LONG = 4 << 20
 
 
 @lru_cache(maxsize=2)
@@ -160,9 +161,13 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.vocab, self.find = vocabulary(path), regex.compile(pattern).findall
+        self.vocab, self.pattern = vocabulary(path), regex.compile(pattern)
         self.forget()
 
+    def find(self, text: str) -> Iterable[str]:
+        """The pieces of a text; those of a long one are not all held at once."""
+        return self.pattern.findall(text) if len(text) < LONG else (m[0] for m in self.pattern.finditer(text))
+
     def forget(self) -> None:
         self.pieces, self.ids, self.starts = Pieces(), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -212,6 +217,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int32), *rows])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*keep, ids])
+        encoder.forget()  # workers wait idle after a task
 
     return docs.mapInArrow(run, schema)
 
