@@ -188,8 +188,10 @@ def components(links: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row per id: doc_id, n_shingles, class_id (smallest id of an equal set), component_id."""
     every = saved(sets(docs, n, percent, text, key), "sets")
-    classes = every.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = saved(every.where("shared is not null").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "shared", "cells"), "reps")
+    # only classes of several documents: a table of its own, so that a join with a class of very many can be split
+    classes = saved(every.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "classes")
+    copies = every.join(classes, ["sig1", "sig2", "n"]).where("doc_id <> rep").select("doc_id")
+    reps = saved(every.where("shared is not null").join(copies, "doc_id", "left_anti").select("doc_id", "n", "shared", "cells"), "reps")
     rare = F.col("n") - F.size("shared")
     length = F.col("n") - F.ceil(percent * F.col("n") / F.lit(100)) + 1 - rare
     prefix = F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
@@ -235,7 +237,8 @@ def linked(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     if not more.isEmpty():
         found = components(links.union(more))
 
-    out = every.join(classes, ["sig1", "sig2", "n"], "left").join(found.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = every.join(classes, ["sig1", "sig2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"))
+    out = out.join(found.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
+    out = out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     nameless = docs.where(F.col(key).isNull()).select(*[F.lit(None).cast("bigint").alias(c) for c in out.columns])
     return out.union(nameless)
