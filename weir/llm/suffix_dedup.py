@@ -12,6 +12,10 @@ the bytes before it that its windows reach.
    the leading bytes of suffixes. Suffixes that start with the same GRAM bytes
    meet in one bucket, as a splitter cuts only between different leading bytes:
    no comparison is left across a boundary.
+   Leads that are frequent in the sample are dealt window by window instead, by
+   the hash of the window (64 bits and the bucket, from a second hash), so that a
+   line or passage of a great many documents is spread over all buckets and
+   equal windows of a chunk are one entry.
 3. Each bucket sorts its suffixes (multikey, eight bytes at a time, only ties go
    on), sorts the bytes before them likewise, and takes common prefix lengths of
    neighbours. For each distance of a window to its anchor, the runs of long
@@ -42,9 +46,11 @@ from weir.llm.substring_dedup import by_id, intervals
 SIZE = 50
 GRAM = 20
 #: Window starts, and suffixes, that one numpy step works on.
-STEP, STEP_SUFFIXES = 1 << 20, 1 << 14
+STEP, STEP_SUFFIXES = 1 << 19, 1 << 13
 #: How many texts are sampled for splitters.
 SAMPLED_DOCS = 2000
+#: Leads of so many sampled suffixes are dealt window by window; how many leads may be.
+FREQUENT, MAX_FREQUENT = 16, 2000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, size: int = SIZE, gram: int = GRAM):
@@ -148,8 +154,19 @@ def match_windows(context: np.ndarray, low: np.ndarray, high: np.ndarray, docs:
     return out
 
 
+def in_smaller(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which entries have an equal key in a smaller document."""
+    order = np.lexsort((docs, keys))
+    k, d = keys[order], docs[order]
+    head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    out = np.zeros(len(keys), bool)
+    out[order] = d > np.repeat(d[head], np.diff(np.append(head, len(k))))
+    return out
+
+
 def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> P.U(32)) * P.U(buckets) >> P.U(32)).astype(np.int64)
+    """Anchors have small hashes, so the hash is mixed again."""
+    return (P.mixed(h ^ P.STEP_B) % P.U(buckets)).astype(np.int64)
 
 
 def _home(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -206,9 +223,25 @@ def repeated_anchors(docs: DataFrame, size: int, gram: int, buckets: int) -> Dat
     return rows.mapInArrow(hash_chunk, P.SCHEMA).groupBy("bucket").applyInArrow(count, P.SCHEMA).groupBy("bucket").applyInArrow(gather, "key long, grams binary")
 
 
-def splitters(docs: DataFrame, buckets: int, size: int, gram: int) -> np.ndarray:
+def _all_leads(size: int, gram: int):
+    def run(batches):
+        for batch in chunks(batches, "text"):
+            data, offsets = P.flat(batch.column("text"))
+            at = np.unique(anchors(data, offsets, size, gram)[0])
+            yield pa.RecordBatch.from_arrays([pa.array([data[p : p + gram].tobytes() for p in at.tolist()], pa.binary())], ["lead"])
+
+    return run
+
+
+def frequent_leads(sample: DataFrame, size: int, gram: int) -> np.ndarray:
+    """Sorted leading strings that at least FREQUENT suffixes of the sample share, MAX_FREQUENT at most; they only steer how suffixes are dealt."""
+    leads = sample.mapInArrow(_all_leads(size, gram), "lead binary").groupBy("lead").agg(F.count("*").alias("n"))
+    top = leads.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "lead").limit(MAX_FREQUENT).collect()
+    return np.array(sorted(bytes(r.lead) for r in top), f"S{gram}")
+
+
+def splitters(sample: DataFrame, buckets: int, size: int, gram: int) -> np.ndarray:
     """Up to buckets - 1 leading strings that cut a sample of suffixes into equal shares; each document gives at most 8 suffixes."""
-    total = docs.count()
 
     def leading(batches):
         for batch in chunks(batches, "text"):
@@ -217,8 +250,7 @@ def splitters(docs: DataFrame, buckets: int, size: int, gram: int) -> np.ndarray
             pick = np.random.default_rng(7).permutation(len(at))[: 8 * batch.num_rows]
             yield pa.RecordBatch.from_arrays([pa.array([data[p : p + gram].tobytes() for p in at[pick].tolist()], pa.binary())], ["lead"])
 
-    sample = docs.where("text is not null").sample(min(1.0, SAMPLED_DOCS / max(total, 1)), seed=11)
-    leads = sorted(bytes(r.lead) for r in sample.select("text").mapInArrow(leading, "lead binary").collect())
+    leads = sorted(bytes(r.lead) for r in sample.mapInArrow(leading, "lead binary").collect())
     cuts = sorted({leads[k * len(leads) // buckets] for k in range(1, buckets)}) if leads else []
     return np.array(cuts, f"S{gram}")
 
@@ -229,7 +261,8 @@ def marked_windows(texts: DataFrame, size: int = SIZE, gram: int = GRAM, text: s
     docs = texts.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     before = size - gram
     width = before + size + 2
-    cuts = splitters(docs, buckets, size, gram)
+    some = docs.where("text is not null").select("text").sample(min(1.0, SAMPLED_DOCS / max(docs.count(), 1)), seed=11)
+    cuts, frequent = splitters(some, buckets, size, gram), frequent_leads(some, size, gram)
 
     def suffixes(batches):
         for batch in chunks((b.filter(b.column("grams").is_valid()) for b in batches), "text"):
@@ -265,15 +298,40 @@ def marked_windows(texts: DataFrame, size: int = SIZE, gram: int = GRAM, text: s
             least = d[head][group]  # rows are by id, so the first of equal records has the smallest
             ship = d == least
             gone = ~ship
+            if len(frequent):
+                hot = frequent[np.minimum(np.searchsorted(frequent, lead), len(frequent) - 1)] == lead
+                yield from windows_of(data, offsets, ids, rows, at, low, high, np.flatnonzero(ship & hot))
+                ship &= ~hot
             yield P.pack(np.searchsorted(cuts, lead[ship], "right"), record[ship], d[ship], p[ship])
             if gone.any():
                 n = (low - high + 1)[gone]
                 starts = np.repeat((p - low)[gone], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 yield P.pack(_home(d[gone], buckets).repeat(n), None, d[gone].repeat(n), starts, kind=1)
 
+    def windows_of(data, offsets, ids, rows, at, low, high, k):
+        """Suffixes with a frequent lead window by window: equal windows meet by their hash, whatever surrounds the rest of the suffix."""
+        n = (low - high + 1)[k]
+        starts = np.repeat((at - low)[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        row = np.repeat(rows[k], n)
+        a, b = (np.zeros(len(starts), P.U) for _ in range(2))
+        for i in range(0, len(starts), STEP_SUFFIXES):
+            x = P.BYTE[data[starts[i : i + STEP_SUFFIXES, None] + np.arange(size)]]
+            a[i : i + STEP_SUFFIXES] = P.mixed((x * P.powers(P.STEP_A, size)).sum(axis=1, dtype=np.uint64))
+            b[i : i + STEP_SUFFIXES] = P.mixed((x * P.powers(P.STEP_B, size)).sum(axis=1, dtype=np.uint64))
+        d, p = ids[row], starts - offsets[row]
+        gone = in_smaller(a, d)
+        yield P.pack((b % P.U(buckets)).astype(np.int64)[~gone], a[~gone], d[~gone], p[~gone], kind=2)
+        yield P.pack(_home(d[gone], buckets), None, d[gone], p[gone], kind=1)
+
     def compare(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
         out = [table.filter(pa.array(kinds == 1))]
+        h, d, p = P.unpack(table.filter(pa.array(kinds == 2)))
+        gone = in_smaller(h, d)
+        if gone.any():
+            d, p = d[gone], p[gone]
+            order = np.lexsort((p, d))
+            out.append(pa.Table.from_batches([P.pack(_home(d[order], buckets), None, d[order], p[order], kind=1)]))
         record, d, p = P.unpack(table.filter(pa.array(kinds == 0)), width=width)
         if len(d) > 1:
             found = match_windows(record[:, :-2], record[:, -2].astype(np.int64), record[:, -1].astype(np.int64), d, before)
