@@ -35,7 +35,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weir.llm import packed as P
 from weir.llm.common import chunks, partitions, saved
