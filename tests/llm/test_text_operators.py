@@ -153,6 +153,26 @@ def test_decontamination(spark, docs, tricky, nothing, max_literal):
     assert decontamination.contaminated(docs, bench.where("false"), max_literal=max_literal).count() == 0
 
 
+def test_decontamination_of_cut_and_block_edits(spark):
+    """Documents that begin or end inside an item, and items with a block of other words: as large as 0.75 allows, and just beyond."""
+    r, items, texts = random.Random(8), {}, []
+    for i in range(24):
+        m = r.randint(15, 60)
+        words, more = brute.prose(f"item {i}", m).split(), brute.prose(f"more {i}", 30).split()
+        items[i] = " ".join(words)
+        shingles = m - 4
+        for lost in {shingles // 4, shingles // 4 + 1}:
+            texts += [words[lost:] + more, more + words[: m - lost]]  # cut by the document's start or end
+        for lost in {shingles // 7, shingles // 7 + 1}:
+            other = [f"other{k}" for k in range(lost)]
+            texts += [more + words[: m - lost] + other + more, more + other + words[lost:] + more]
+            texts.append(more + words[: m // 2 - lost] + other[: max(lost - 4, 0)] + words[m // 2 - lost + max(lost - 4, 0) :] + more)
+    table = {k: " ".join(t) for k, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(table.items()), "doc_id long, text string")
+    got = {x.doc_id: x.item_ids for x in decontamination.contaminated(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == {k: v for k, v in brute.contaminated(table, items).items() if v} and len(got) > len(table) // 2
+
+
 def test_fingerprint_blocks_miss_nothing(spark):
     r = random.Random(5)
     words = [r.getrandbits(63) for _ in range(40)]

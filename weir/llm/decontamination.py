@@ -11,12 +11,14 @@ All of it is DataFrame operations.
    half of them). A multi-index finds every item within RADIUS bits: 64 bits cut
    into RADIUS + 1 blocks agree in at least one block, so the join on a block and
    its value, filtered by the distance, misses none.
-4. Each pair is verified once by the exact similarity of the shingles with
+4. No radius holds every pair of the wanted similarity: a window that a document's
+   end cuts, or a block of other words at an end, moves more bits than scattered
+   edits. So pairs are also joined on the shingles: similar multisets share a
+   shingle among their rarest few (prefixes; rare by the number of items), which
+   misses none at any similarity above 0.
+5. Each pair is verified once by the exact similarity of the shingles with
    their multiplicities as weights: the sum of least over the sum of most.
 
-Five-word similarity of 0.75 leaves at most one word in 35 changed, which moves
-some 5 of the 64 bits; a radius of 11 is three deviations above that.
-
 Defined results: null and empty texts are clean; items of fewer than five words
 or without text are not searched; rows without an id are dropped from the
 matches and are clean in the verdict; repeated rows and repeated items are alike.
@@ -75,6 +77,19 @@ def blocks(fp: Column, radius: int = RADIUS) -> Column:
     return F.array(*out)
 
 
+def prefixes(table: DataFrame, ids: list[str], rarity: DataFrame, similarity: float) -> DataFrame:
+    """``ids``, size, shingle and copy: the rarest shingles of each row, one of which a row at least ``similarity`` alike has among its own.
+
+    The copies of a shingle are numbered, so that multisets are sets. ``rarity`` gives the items of a shingle; a shingle of none is the rarest and meets nothing."""
+    counted = table.select(*ids, F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")).groupBy(*ids, "size", "shingle").agg(F.count("*").alias("n"))
+    ranked = counted.join(rarity, "shingle", "left").select(*ids, "size", F.struct(F.coalesce("items", F.lit(0)).alias("items"), "shingle", "n").alias("one"))
+    listed = ranked.groupBy(*ids, "size").agg(F.array_sort(F.collect_list("one")).alias("all"))
+    copies = F.flatten(F.transform("all", lambda s: F.transform(F.sequence(F.lit(1), s["n"]), lambda k: F.struct(s["items"].alias("items"), s["shingle"].alias("shingle"), k.alias("copy")))))
+    # a row of this size shares at least similarity * size shingles; the small number keeps rounding from cutting one off
+    length = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6).cast("int") + 1
+    return listed.select(*ids, "size", F.inline(F.slice(copies, F.lit(1), length))).where(F.col("items") > 0).drop("items")
+
+
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, radius: int = RADIUS, max_literal: int = MAX_LITERAL) -> DataFrame:
     """(key, item_id, start, stop, similarity): windows of words, stop exclusive, that are nearly an item."""
     bench = items.where(F.col("item_id").isNotNull()).select("item_id", _word_hashes(F.col("text")).alias("words"))
@@ -108,7 +123,13 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "d
     a = fingerprints(classes, ["c1", "c2"], "words").select("c1", "c2", "fp", F.inline(blocks(F.col("fp"), radius)))
     b = fingerprints(bench, ["item_id"], "words").select("item_id", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"), radius)))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius
-    pairs = a.join(b, ["block", "value"]).where(near).select("c1", "c2", "item_id").distinct()
+    close = a.join(b, ["block", "value"]).where(near).select("c1", "c2", "item_id")
+
+    rarity = wanted.groupBy("shingle").agg(F.countDistinct("item_id").alias("items"))
+    of_class = prefixes(classes, ["c1", "c2"], rarity, similarity)
+    of_item = prefixes(bench, ["item_id"], rarity, similarity).withColumnRenamed("size", "item_size")
+    alike = F.least("size", "item_size") >= similarity * F.greatest("size", "item_size") - 1e-6
+    pairs = close.union(of_class.join(of_item, ["shingle", "copy"]).where(alike).select("c1", "c2", "item_id")).distinct()
 
     counted = lambda t, ids, n: t.select(*ids, F.explode("shingles").alias("shingle")).groupBy(*ids, "shingle").agg(F.count("*").alias(n))
     sizes = pairs.join(classes.select("c1", "c2", F.size("shingles").alias("size_c")), ["c1", "c2"]).join(bench.select("item_id", F.size("shingles").alias("size_i")), "item_id")
