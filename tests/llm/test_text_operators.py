@@ -108,6 +108,43 @@ def test_layers_end():
     assert secret_scan.scan(bomb)[1] == secret_scan.scan(bomb)[0]
 
 
+def _b64(x):
+    return base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+
+
+NOISE = bytes(random.Random(2).randrange(256) for _ in range(90))
+WRAPS = {
+    "gzip of gzip": lambda s: _b64(gzip.compress(gzip.compress(s))),
+    "later member": lambda s: _b64(gzip.compress(b"nothing here") + gzip.compress(s)),
+    "behind the member": lambda s: _b64(gzip.compress(b"nothing here") + s),
+    "packed later member": lambda s: _b64(gzip.compress(b"nothing here") + gzip.compress(gzip.compress(s))),
+    "unprintable bytes": lambda s: _b64(b"a\x00b\x0c\x1b" + s + b"\xff\x00"),
+    "lines of 76": lambda s: base64.encodebytes(gzip.compress(NOISE + s)).decode(),
+    "lines of 64": lambda s: "\r\n".join(_b64(b"x" * 35 + s + b" end" * 20)[k : k + 64] for k in range(0, 1000, 64)).strip(),
+    "joined to a name": lambda s: "backup-" + _b64(b"key " + s),
+    "compressed, joined": lambda s: "a/bc_" + _b64(gzip.compress(s)),
+    "odd hex": lambda s: "f" + (b"key " + s).hex(),
+    "odd hex, compressed": lambda s: "0" + gzip.compress(s).hex(),
+    "large": lambda s: _b64(gzip.compress(b"words, " * (3 << 20) + s)),
+}
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
+def test_inner_layers_are_not_lost(wrap):
+    text = f"before {WRAPS[wrap](AT.encode())}\nafter it"
+    spans = secret_scan.scan(text)[1]
+    assert any(k == "access" and a >= 7 and b <= len(text) - 9 for a, b, k in spans)
+    clean = secret_scan.redact(text, spans)
+    assert "access" not in {k for _, _, k in secret_scan.scan(clean)[1]} and clean.startswith("before ")
+
+
+def test_pieces_lose_nothing(monkeypatch):
+    want = secret_scan.scan(_b64(gzip.compress(f"x, {AT}; {SECRET}, ".encode() * 3000)))[1]
+    monkeypatch.setattr(secret_scan, "PIECE", 1000)
+    monkeypatch.setattr(secret_scan, "STEP", 77)
+    assert secret_scan.scan(_b64(gzip.compress(f"x, {AT}; {SECRET}, ".encode() * 3000)))[1] == want != []
+
+
 def test_scan_table(docs, nothing, tricky):
     out = secret_scan.scan_table(docs)
     assert out.count() == docs.count() and secret_scan.scan_table(nothing).count() == 0

@@ -3,26 +3,29 @@
 A layer is a text with, for each of its characters, the span of the original
 text it comes from. Scanning a layer finds three kinds of secrets; unwrapping it
 finds runs in URL escapes, Unicode escapes, base64 and compressed base64 or hex,
-and each decoded run is a new layer. A layer equal to one around it is not
-opened again, so that archives which hold themselves end; every other unwrapping
-makes the text shorter or is bounded, so the worklist reaches a fixpoint.
-
-Defined results: null and empty texts have no spans; a decoded run that is not
-printable text is no layer; a compressed run may unpack to at most
-``MAX_UNPACKED`` bytes (a guard against archive bombs: what is beyond is read as
-not text); spans of inner layers are given as the span of the outermost text
-that encodes them, and equal spans count once.
+and each decoded run is a new layer. Bytes that are no text stay in a layer as
+separators. Base64 broken into lines is joined; a run with '/', '-' or '_' in it
+is also decoded from behind those, and hex from its second digit. Compressed
+bytes are opened until they are not compressed, all members of them. A layer
+equal to one around it is not opened again, so that archives which hold
+themselves end; every other unwrapping makes the text shorter or is finite, so
+the worklist reaches a fixpoint.
+
+Defined results: null and empty texts have no spans; decoded bytes are a layer if
+they are printable text or hold ``LEAST`` neighbouring printable ASCII bytes (no
+secret, wrapped or not, is shorter); compressed runs are read as a stream, in
+layers of about ``PIECE`` bytes cut where no secret or encoded run can lie; spans
+of inner layers are given as the span of the outermost text that encodes them,
+and equal spans count once.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
 import urllib.parse
 import zlib
-from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,9 +42,16 @@ URL_RUN = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 UNICODE_RUN = re.compile(r"(?:[^\s\\]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}))+[^\s\\]*")
 UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-HEX_RUN = re.compile(r"(?:[0-9A-Fa-f]{2}){16,}")
+WRAPPED_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+HEX_RUN = re.compile(r"[0-9A-Fa-f]{32,}")
 PRINTABLE = re.compile(r"[\x09\x0A\x0D\x20-\x7E\u00A0-\uFFFD\U00010000-\U0010FFFF]*")
-MAX_UNPACKED = 16 << 20
+LEAST = 16
+ASCII_RUN = re.compile(rb"[\x09\x0A\x0D\x20-\x7E]{%d,}" % LEAST)
+#: Bytes that no secret and no encoded run has, not even between its lines, and blanks where none can go on.
+APART = re.compile(rb"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F!#$&()*,;<>?@\[\]^`{|}~]|(?<=[A-Za-z0-9])\x20(?=[A-Za-z0-9])|(?<![A-Za-z0-9+/_\r-])\n")
+GZIP = b"\x1f\x8b\x08"
+PIECE = MAX_UNPACKED = 16 << 20
+STEP = 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -64,23 +74,105 @@ def written(spans) -> str:
 
 
 def _readable(raw: bytes) -> str | None:
+    """The bytes as text, undecodable ones as lone surrogates, or None if no secret can be in them."""
     try:
         text = raw.decode("utf-8")
+        if PRINTABLE.fullmatch(text):
+            return text or None
     except UnicodeDecodeError:
+        text = None
+    if not ASCII_RUN.search(raw):
         return None
-    return text if text and PRINTABLE.fullmatch(text) else None
-
-
-def _unpacked(raw: bytes) -> str | None:
-    """Readable text of raw bytes, after one compressed layer if there is one."""
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        try:
-            opened = zlib.decompressobj(zlib.MAX_WBITS | 32)
-            out = opened.decompress(raw, MAX_UNPACKED)
-            return None if opened.unconsumed_tail else _readable(out)
-        except zlib.error:
-            pass  # two bytes of text can look like a header
-    return _readable(raw)
+    return raw.decode("utf-8", "surrogateescape") if text is None else text
+
+
+def _packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
+
+
+def _members(chunks):
+    """What the members of a compressed stream hold, one after another; bytes behind the last one follow as they are. A stream without any comes as it is."""
+    opened, rest, gap = zlib.decompressobj(zlib.MAX_WBITS | 32), b"", b""
+    for chunk in chunks:
+        rest += chunk
+        while rest:
+            if opened is None:
+                rest = rest.lstrip(b"\0")
+                if len(rest) < 3:
+                    break
+                if not _packed(rest):
+                    yield gap + rest
+                    yield from chunks
+                    return
+                opened = zlib.decompressobj(zlib.MAX_WBITS | 32)
+            try:
+                out = opened.decompress(rest, STEP)
+                while out:
+                    gap = b"\0"
+                    yield out
+                    rest = opened.unconsumed_tail
+                    out = b"" if opened.eof else opened.decompress(rest, STEP)
+                rest = opened.unused_data if opened.eof else b""
+            except zlib.error:  # two bytes of text can look like a header
+                yield gap + rest
+                yield from chunks
+                return
+            if opened.eof:
+                opened = None
+    if rest:
+        yield gap + rest
+
+
+def _level(raw: bytes, depth: int):
+    """Chunks of what ``depth`` compressed layers of ``raw`` hold."""
+    chunks = iter([raw])
+    for _ in range(depth):
+        chunks = _members(chunks)
+    return chunks
+
+
+def _pieces(chunks):
+    """The stream in pieces cut at bytes that are apart from any secret; a run without such a byte stays whole."""
+    kept, size = [], 0
+    for chunk in chunks:
+        kept.append(chunk)
+        size += len(chunk)
+        if size >= PIECE and (cuts := [m.end() for m in APART.finditer(chunk)]):
+            yield b"".join([*kept[:-1], chunk[: cuts[-1]]])
+            kept, size = [chunk[cuts[-1] :]], len(chunk) - cuts[-1]
+    yield b"".join(kept)
+
+
+def _unpacked(raw: bytes, seen: frozenset):
+    """Readable texts of the innermost layer of bytes that look compressed."""
+    seen, depth = seen | {hashlib.sha1(raw).digest()}, 0
+    while True:
+        digest, head = hashlib.sha1(), b""
+        for chunk in _level(raw, depth + 1):
+            digest.update(chunk)
+            head = head if len(head) > 2 else head + chunk[:3]
+        if digest.digest() in seen:
+            break
+        seen, depth = seen | {digest.digest()}, depth + 1
+        if not _packed(head):
+            break
+    if depth:
+        for piece in _pieces(_level(raw, depth)):
+            for text, _ in _decoded(piece, seen):
+                yield text
+
+
+def _decoded(raw: bytes, seen: frozenset = frozenset()):
+    """(text, whether it is the bytes themselves) of raw bytes and of the first compressed stream in them."""
+    at = 0 if _packed(raw) else raw.find(GZIP)
+    while at >= 0:
+        opened = False
+        for text in _unpacked(raw[at:], seen) if hashlib.sha1(raw[at:]).digest() not in seen else ():
+            opened = True
+            yield text, False
+        at = -1 if opened else raw.find(GZIP, at + 1)
+    if (text := _readable(raw)) is not None:
+        yield text, True
 
 
 def _url(run: str) -> list[tuple[str, int, int]]:
@@ -129,25 +221,45 @@ def _layers(text: str):
             cells = _unicode(m[0])
             yield "".join(c for c, _, _ in cells), m.start(), m.end(), [(m.start() + i, m.start() + j) for _, i, j in cells]
     for m in BASE64_RUN.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1 or not _mixed_case(run):
-            continue
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except binascii.Error:
-            continue
-        if (inner := _unpacked(raw)) is not None:
+        yield from _base64(m[0], range(m.start(), m.end()))
+    if "\n" in text:
+        for m in WRAPPED_RUN.finditer(text):
+            where = [k for k, c in enumerate(m[0], m.start()) if not c.isspace()]
+            yield from _base64("".join(m[0].split()), where)
+    for m in HEX_RUN.finditer(text):
+        for k in (0, 1):
+            digits = m[0][k : len(m[0]) - (len(m[0]) - k) % 2]
+            raw = bytes.fromhex(digits)
+            for inner, _ in _decoded(raw):
+                yield inner, m.start(), m.end(), None
+
+
+def _base64(whole: str, where):
+    """Layers of a run whose characters are at ``where`` in the text: of all of it, and from behind its '/', '-' and '_'."""
+    run = whole.rstrip("=")
+    if not _mixed_case(run):
+        return
+    plain = run.replace("-", "+").replace("_", "/")
+    starts, ways = [(0, True)], {0}
+    for m in re.finditer("[/_-]", run):
+        k = m.end()
+        if len(run) - k < 16:
+            break
+        if k % 4 not in ways or _packed(binascii.a2b_base64(plain[k : k + 4])):
+            starts.append((k, k % 4 not in ways))
+            ways.add(k % 4)
+    for at, anew in starts:
+        part = plain[at : len(plain) - ((len(plain) - at) % 4 == 1)]
+        raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+        for inner, same in _decoded(raw) if anew else ((text, False) for text in _unpacked(raw, frozenset())):
             place = None
-            if inner.encode() == raw:
+            if same:
                 place, b = [], 0
                 for c in inner:
-                    e = b + len(c.encode())
-                    place.append((m.start() + b // 3 * 4, min(m.end(), m.start() + -(-e // 3) * 4)))
+                    e = b + len(c.encode("utf-8", "surrogateescape"))
+                    place.append((where[at + b // 3 * 4], where[min(len(where), at + -(-e // 3) * 4) - 1] + 1))
                     b = e
-            yield inner, m.start(), m.end(), place
-    for m in HEX_RUN.finditer(text):
-        if (inner := _unpacked(bytes.fromhex(m[0]))) is not None:
-            yield inner, m.start(), m.end(), None
+            yield inner, where[0], where[-1] + 1, place
 
 
 def _mixed_case(run: str) -> bool:
@@ -161,21 +273,26 @@ def scan(text: str | None) -> tuple[list, list, int]:
         return [], [], 0
     base = in_order(base_spans(text))
     found, layers = set(base), 0
-    # a layer, the original span of each of its characters, and the layers around it
-    work = deque([(text, None, frozenset([hashlib.sha1(text.encode()).digest()]))])
+    # layers still to come from a layer, the original span of each of its characters (or the one of all), and the layers around it
+    work = [(_layers(text), None, frozenset([hashlib.sha1(text.encode()).digest()]))]
     while work:
-        layer, place, around = work.popleft()
-        for inner, start, end, cells in _layers(layer):
-            if cells is None:
-                cells = [(start, end)] * len(inner)
-            if place is not None:
-                cells = [(place[i][0], place[j - 1][1]) for i, j in cells]
-            digest = hashlib.sha1(inner.encode("utf-8", "surrogatepass")).digest()
-            if digest in around:
-                continue
-            layers += 1
-            found.update((cells[s][0], cells[e - 1][1], kind) for s, e, kind in base_spans(inner))
-            work.append((inner, cells, around | {digest}))
+        coming, place, around = work[-1]
+        if (layer := next(coming, None)) is None:
+            work.pop()
+            continue
+        inner, start, end, cells = layer
+        if isinstance(place, tuple):
+            cells = place
+        elif cells is None:
+            cells = (start, end) if place is None else (place[start][0], place[end - 1][1])
+        elif place is not None:
+            cells = [(place[i][0], place[j - 1][1]) for i, j in cells]
+        digest = hashlib.sha1(inner.encode("utf-8", "surrogatepass")).digest()
+        if digest in around:
+            continue
+        layers += 1
+        found.update((*(cells if isinstance(cells, tuple) else (cells[s][0], cells[e - 1][1])), kind) for s, e, kind in base_spans(inner))
+        work.append((_layers(inner), cells, around | {digest}))
     return base, in_order(found), layers
 
 
