@@ -21,7 +21,10 @@ All of it is DataFrame operations.
 
 Defined results: null and empty texts are clean; items of fewer than five words
 or without text are not searched; rows without an id are dropped from the
-matches and are clean in the verdict; repeated rows and repeated items are alike.
+matches and are clean in the verdict; repeated rows and repeated items are alike;
+of items that share an id the one with the least word hashes counts; texts and
+items may be as long as an array; extra columns play no part; without documents
+or without items nothing is found.
 """
 
 from __future__ import annotations
@@ -50,19 +53,15 @@ def _shingles(hashes: Column) -> Column:
 
 
 def fingerprints(table: DataFrame, ids: list[str], hashes: str) -> DataFrame:
-    """``ids`` and fp, the SimHash of the words in ``hashes``. Sixteen sums hold four counts of 16 bits each."""
-    w = F.col("__w")
-
-    def spread(g: int) -> Column:
-        x = F.shiftrightunsigned(w, 4 * g)
-        lane = lambda k: F.shiftleft(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(1).cast("bigint")), 16 * k)
-        return lane(0).bitwiseOR(lane(1)).bitwiseOR(lane(2)).bitwiseOR(lane(3))
-
-    sums = table.select(*ids, F.explode(hashes).alias("__w")).groupBy(*ids).agg(F.count("*").alias("__n"), *[F.sum(spread(g)).alias(f"__s{g}") for g in range(BITS // 4)])
+    """``ids`` and fp, the SimHash of the words in ``hashes``. Each of 32 sums holds the counts of two bits; an array has fewer than 2**31 words, so neither can overflow."""
+    one, half = F.lit(1).cast("bigint"), BITS // 2
+    bit = lambda b: F.shiftrightunsigned("__w", b).bitwiseAND(one)
+    both = lambda b: bit(b).bitwiseOR(F.shiftleft(bit(b + half), half))
+    sums = table.select(*ids, F.explode(hashes).alias("__w")).groupBy(*ids).agg(F.count("*").alias("__n"), *[F.sum(both(b)).alias(f"__s{b}") for b in range(half)])
     fp = F.lit(0).cast("bigint")
     for b in range(BITS):
-        ones = F.shiftrightunsigned(F.col(f"__s{b // 4}"), 16 * (b % 4)).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
-        fp = fp.bitwiseOR(F.when(2 * ones > F.col("__n"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
+        ones = F.shiftrightunsigned(f"__s{b % half}", half * (b // half)).bitwiseAND(F.lit((1 << half) - 1).cast("bigint"))
+        fp = fp.bitwiseOR(F.when(2 * ones > F.col("__n"), F.shiftleft(one, b)).otherwise(F.lit(0).cast("bigint")))
     return sums.select(*ids, fp.alias("fp"))
 
 
