@@ -2,7 +2,10 @@
 
 import base64
 import gzip
+import itertools
 import random
+import re
+import time
 import urllib.parse
 
 import brute
@@ -153,6 +156,57 @@ def test_scan_table(docs, nothing, tricky):
     assert secret_scan.redacted_table(docs).columns == docs.columns
 
 
+def test_long_unbroken_texts_take_linear_time():
+    """Millions of characters without a blank, with escapes, base64 and lines around them."""
+    noise = _b64(bytes(random.Random(4).randbytes(400_000)))
+    texts = ["a" * 2_000_000 + "%41", "日" * 700_000 + "%41\\u0041", "ab%41c\\u0041" * 100_000, noise * 3 + "\n%41", "x\n" + noise, "\x1f\x8b\x08" * 50_000]
+    began = time.process_time()
+    for t in texts:
+        assert secret_scan.scan(f"{t} {AT}")[1][-1] == (len(t) + 1, len(t) + 21, "access")
+    assert time.process_time() - began < 30
+
+
+SIMPLE_WRAPS = {
+    "url": lambda s: urllib.parse.quote(s, safe="") + "%21",
+    "unicode": lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+    "base64": lambda s: _b64(s),
+    "gzip": lambda s: _b64(gzip.compress(s.encode())),
+    "hex": lambda s: s.encode().hex(),
+    "lines": lambda s: base64.encodebytes(s.encode()).decode(),
+}
+
+
+def test_recall_of_planted_layers():
+    """Each kind of secret in each order of up to three wraps: all are found, inside what encodes them (a run of hex digits is itself one of the kinds)."""
+    found = total = 0
+    for order in [*itertools.product(SIMPLE_WRAPS, repeat=2), *itertools.permutations(SIMPLE_WRAPS, 3)]:
+        for secret, kind in ((AT, "access"), (SECRET, "assign"), ("0123456789abcdef0123", "hex")):
+            inner = f"key {secret} end"
+            for w in order:
+                inner = SIMPLE_WRAPS[w](inner)
+            text = f"before {inner}\nafter"
+            total += 1
+            found += any(k == kind and 7 <= a < b <= len(text) - 5 for a, b, k in secret_scan.scan(text)[1])
+    assert found == total, (found, total)
+
+
+def test_base_spans_of_a_whole_table(spark, sf001):
+    """Open-ended patterns, then the lengths, as the definition has it."""
+    kinds = [
+        (re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 12),
+        (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
+        (re.compile(r"[0-9a-f]+"), 0, 16),
+    ]
+    table = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in secret_scan.scan_table(table, keep=["doc_id"]).collect()}
+    rows = table.collect()
+    assert len(rows) == len(got) and sum(r.n_assign + r.n_access + r.n_hex for r in got.values()) > 0
+    for r in rows:
+        spans = [(m.start(), k, m.end()) for k, (p, g, n) in enumerate(kinds) for m in p.finditer(r.text or "") if m.end(g) - m.start(g) >= n]
+        assert got[r.doc_id].base_spans == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert [got[r.doc_id][f"n_{k}"] for k in secret_scan.KINDS] == [sum(s[1] == k for s in spans) for k in range(3)]
+
+
 @pytest.fixture(scope="module")
 def reference():
     with open(RANKS, "rb") as f:
@@ -210,6 +264,35 @@ def test_decontamination_of_cut_and_block_edits(spark):
     assert got == {k: v for k, v in brute.contaminated(table, items).items() if v} and len(got) > len(table) // 2
 
 
+def test_decontamination_of_very_long_texts(spark):
+    """An item of 150,000 words, with a word changed in a document of more."""
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**6)}" for _ in range(150_000)]
+    edited = ["x"] * 500 + words[:70_000] + ["changed"] + words[70_001:] + ["y"] * 500
+    rows, items = [(1, " ".join(edited)), (3, " ".join(reversed(words)))], [(1, " ".join(words))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {x.doc_id: x.item_ids for x in decontamination.contaminated(docs, bench).collect()} == {1: [1]}
+
+
+def test_recall_of_edited_items(spark):
+    """Items with words replaced, dropped and put in at random: found wherever brute force finds them."""
+    r, texts, items = random.Random(11), {}, {}
+    for i in range(40):
+        words = brute.prose(f"edited {i}", r.randint(20, 120)).split()
+        items[i] = " ".join(words)
+        for share in (0.005, 0.01, 0.02, 0.04):
+            copy = []
+            for w in words:
+                x = r.random()
+                copy += [] if x < share / 3 else [w, "put"] if x < 2 * share / 3 else ["new"] if x < share else [w]
+            texts[len(texts)] = " ".join(brute.prose(f"before {len(texts)}", 30).split() + copy + ["after"] * 3)
+    want = {k: v for k, v in brute.contaminated(texts, items).items() if v}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x.item_ids for x in decontamination.contaminated(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert not set(got) - set(want) and len(want) > 90
+    assert sum(got.get(k) == v for k, v in want.items()) >= 0.9 * len(want), (len(got), len(want))
+
+
 def test_fingerprint_blocks_miss_nothing(spark):
     r = random.Random(5)
     words = [r.getrandbits(63) for _ in range(40)]

@@ -16,7 +16,10 @@ they are printable text or hold ``LEAST`` neighbouring printable ASCII bytes (no
 secret, wrapped or not, is shorter); compressed runs are read as a stream, in
 layers of about ``PIECE`` bytes cut where no secret or encoded run can lie; spans
 of inner layers are given as the span of the outermost text that encodes them,
-and equal spans count once.
+and equal spans count once. Work grows with the length of a text, also of one
+without a blank; rows are scanned one by one, so repeated rows, rows without an
+id and extra columns come through as they are, columns named like a result are
+replaced, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ import hashlib
 import re
 import urllib.parse
 import zlib
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -38,11 +43,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 NAMES = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
-URL_RUN = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-UNICODE_RUN = re.compile(r"(?:[^\s\\]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}))+[^\s\\]*")
-UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+#: Runs never give back what they took, so that each text is walked through once, however long it is unbroken.
+URL_RUN = re.compile(r"(?:[^\s%]++|%[0-9A-Fa-f]{2})++")
+UNICODE_RUN = re.compile(r"(?:[^\s\\]++|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})++")
+UNICODE_ESCAPE = re.compile(r"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-WRAPPED_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+WRAPPED_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{32,}")
 PRINTABLE = re.compile(r"[\x09\x0A\x0D\x20-\x7E\u00A0-\uFFFD\U00010000-\U0010FFFF]*")
 LEAST = 16
@@ -52,6 +58,8 @@ APART = re.compile(rb"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F!#$&()*,;<>?@\[\]^`{|}~]|(?
 GZIP = b"\x1f\x8b\x08"
 PIECE = MAX_UNPACKED = 16 << 20
 STEP = 1 << 20
+#: Bytes that must decompress before all that follow are decoded.
+PROBE = 3 << 10
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -90,6 +98,15 @@ def _packed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
 
 
+def _opens(raw: bytes) -> bool:
+    """Whether the first bytes decompress without an error."""
+    try:
+        zlib.decompressobj(zlib.MAX_WBITS | 32).decompress(raw[:PROBE], STEP)
+    except zlib.error:
+        return False
+    return True
+
+
 def _members(chunks):
     """What the members of a compressed stream hold, one after another; bytes behind the last one follow as they are. A stream without any comes as it is."""
     opened, rest, gap = zlib.decompressobj(zlib.MAX_WBITS | 32), b"", b""
@@ -167,7 +184,7 @@ def _decoded(raw: bytes, seen: frozenset = frozenset()):
     at = 0 if _packed(raw) else raw.find(GZIP)
     while at >= 0:
         opened = False
-        for text in _unpacked(raw[at:], seen) if hashlib.sha1(raw[at:]).digest() not in seen else ():
+        for text in _unpacked(raw[at:], seen) if _opens(raw[at : at + PROBE + 1]) and hashlib.sha1(raw[at:]).digest() not in seen else ():
             opened = True
             yield text, False
         at = -1 if opened else raw.find(GZIP, at + 1)
@@ -175,96 +192,109 @@ def _decoded(raw: bytes, seen: frozenset = frozenset()):
         yield text, True
 
 
-def _url(run: str) -> list[tuple[str, int, int]]:
-    """Pieces of the decoded run: text, and the characters of the run each comes from."""
-    out, at = [], 0
-    for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", run):
-        out += [(c, k, k + 1) for k, c in enumerate(run[at : m.start()], at)]
-        raw = urllib.parse.unquote_to_bytes(m[0])
-        try:
-            i = m.start()
-            for c in raw.decode("utf-8"):
-                n = 3 * len(c.encode())
-                out.append((c, i, i + n))
-                i += n
-        except UnicodeDecodeError:
-            out += [(c, m.start() + k, m.start() + k + 1) for k, c in enumerate(m[0])]
-        at = m.end()
-    return out + [(c, k, k + 1) for k, c in enumerate(run[at:], at)]
+#: A decoded text, and for each of its characters where in the text around it begins and ends what it comes from.
+Cells = tuple[np.ndarray, np.ndarray]
 
 
-def _unicode(run: str) -> list[tuple[str, int, int]]:
-    out, at = [], 0
+def _url(run: str) -> tuple[str, Cells]:
+    text, starts, ends, at = [], array("i"), array("i"), 0
+    for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", run):
+        stop = m.end()
+        try:
+            inner, i = urllib.parse.unquote_to_bytes(m[0]).decode("utf-8"), m.start()
+        except UnicodeDecodeError:  # stays as it is
+            inner, i = "", stop
+        text += [run[at : i if inner else stop], inner]
+        starts.extend(range(at, i))
+        ends.extend(range(at + 1, i + 1))
+        for c in inner:
+            starts.append(i)
+            i += 3 * len(c.encode())
+            ends.append(i)
+        at = stop
+    text.append(run[at:])
+    starts.extend(range(at, len(run)))
+    ends.extend(range(at + 1, len(run) + 1))
+    return "".join(text), (np.array(starts, np.int64), np.array(ends, np.int64))
+
+
+def _unicode(run: str) -> tuple[str, Cells]:
+    text, starts, ends, at = [], array("i"), array("i"), 0
     for m in UNICODE_ESCAPE.finditer(run):
-        out += [(c, k, k + 1) for k, c in enumerate(run[at : m.start()], at)]
-        out.append((chr(int(m[1] or m[2], 16)), m.start(), m.end()))
-        at = m.end()
-    out += [(c, k, k + 1) for k, c in enumerate(run[at:], at)]
-    joined = []
-    for c, i, j in out:  # escapes of a surrogate pair are one character
-        if joined and "\ud800" <= joined[-1][0] <= "\udbff" and "\udc00" <= c <= "\udfff":
-            h, i0, _ = joined.pop()
-            joined.append((chr(0x10000 + ((ord(h) - 0xD800) << 10) + ord(c) - 0xDC00), i0, j))
+        text.append(run[at : m.start()])
+        starts.extend(range(at, m.start()))
+        ends.extend(range(at + 1, m.start() + 1))
+        if m[1]:  # two escapes of a surrogate pair are one character
+            c = chr(0x10000 + ((int(m[1], 16) & 0x3FF) << 10) + (int(m[2], 16) & 0x3FF))
         else:
-            joined.append((c, i, j))
-    return [("\uFFFD" if "\ud800" <= c <= "\udfff" else c, i, j) for c, i, j in joined]
+            c = chr(int(m[3] or m[4], 16))
+        text.append("\uFFFD" if "\ud800" <= c <= "\udfff" else c)
+        starts.append(m.start())
+        ends.append(m.end())
+        at = m.end()
+    text.append(run[at:])
+    starts.extend(range(at, len(run)))
+    ends.extend(range(at + 1, len(run) + 1))
+    return "".join(text), (np.array(starts, np.int64), np.array(ends, np.int64))
 
 
 def _layers(text: str):
-    """(decoded text, start, end, place): place gives the characters of ``text`` that each decoded character comes from, or None if only the whole run is known."""
-    if "%" in text:
-        for m in URL_RUN.finditer(text):
-            cells = _url(m[0])
-            yield "".join(c for c, _, _ in cells), m.start(), m.end(), [(m.start() + i, m.start() + j) for _, i, j in cells]
-    if "\\" in text:
-        for m in UNICODE_RUN.finditer(text):
-            cells = _unicode(m[0])
-            yield "".join(c for c, _, _ in cells), m.start(), m.end(), [(m.start() + i, m.start() + j) for _, i, j in cells]
+    """(decoded text, start, end, cells) of each encoded run at start:end; cells is None if only the whole run is known."""
+    for mark, runs, opened in (("%", URL_RUN, _url), ("\\", UNICODE_RUN, _unicode)):
+        if mark in text:
+            for m in runs.finditer(text):
+                if mark in m[0]:
+                    inner, (starts, ends) = opened(m[0])
+                    if inner != m[0]:
+                        yield inner, m.start(), m.end(), (starts + m.start(), ends + m.start())
     for m in BASE64_RUN.finditer(text):
-        yield from _base64(m[0], range(m.start(), m.end()))
+        yield from _base64(m[0], np.arange(m.start(), m.end()))
     if "\n" in text:
         for m in WRAPPED_RUN.finditer(text):
-            where = [k for k, c in enumerate(m[0], m.start()) if not c.isspace()]
+            where = np.array([k for k, c in enumerate(m[0], m.start()) if not c.isspace()])
             yield from _base64("".join(m[0].split()), where)
     for m in HEX_RUN.finditer(text):
         for k in (0, 1):
             digits = m[0][k : len(m[0]) - (len(m[0]) - k) % 2]
-            raw = bytes.fromhex(digits)
-            for inner, _ in _decoded(raw):
+            for inner, _ in _decoded(bytes.fromhex(digits)):
                 yield inner, m.start(), m.end(), None
 
 
-def _base64(whole: str, where):
+def _byte_sizes(text: str) -> np.ndarray:
+    """UTF-8 bytes of each character; a lone surrogate stands for one undecodable byte."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where((c < 0x80) | ((c >= 0xDC80) & (c <= 0xDCFF)), 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4)))
+
+
+def _base64(whole: str, where: np.ndarray):
     """Layers of a run whose characters are at ``where`` in the text: of all of it, and from behind its '/', '-' and '_'."""
     run = whole.rstrip("=")
-    if not _mixed_case(run):
-        return
     plain = run.replace("-", "+").replace("_", "/")
+
+    def bytes_from(at: int, most: int | None = None) -> bytes:
+        part = plain[at:most]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        return binascii.a2b_base64(part + "=" * (-len(part) % 4))
+
     starts, ways = [(0, True)], {0}
     for m in re.finditer("[/_-]", run):
         k = m.end()
         if len(run) - k < 16:
             break
-        if k % 4 not in ways or _packed(binascii.a2b_base64(plain[k : k + 4])):
-            starts.append((k, k % 4 not in ways))
+        if k % 4 not in ways:
+            starts.append((k, True))
             ways.add(k % 4)
+        elif _packed(binascii.a2b_base64(plain[k : k + 4])) and _opens(bytes_from(k, k + PROBE // 3 * 4)):
+            starts.append((k, False))
     for at, anew in starts:
-        part = plain[at : len(plain) - ((len(plain) - at) % 4 == 1)]
-        raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+        raw = bytes_from(at)
         for inner, same in _decoded(raw) if anew else ((text, False) for text in _unpacked(raw, frozenset())):
-            place = None
+            cells = None
             if same:
-                place, b = [], 0
-                for c in inner:
-                    e = b + len(c.encode("utf-8", "surrogateescape"))
-                    place.append((where[at + b // 3 * 4], where[min(len(where), at + -(-e // 3) * 4) - 1] + 1))
-                    b = e
-            yield inner, where[0], where[-1] + 1, place
-
-
-def _mixed_case(run: str) -> bool:
-    """Base64 of 12 or more bytes of text is never letters of one case only."""
-    return not (run.islower() and run.isalpha() or run.isupper() and run.isalpha() or run[1:].islower() and run.isalpha())
+                ends = np.cumsum(_byte_sizes(inner))
+                begins = np.concatenate(([0], ends[:-1]))
+                cells = where[at + begins // 3 * 4], where[np.minimum(len(where), at + -(-ends // 3) * 4) - 1] + 1
+            yield inner, int(where[0]), int(where[-1]) + 1, cells
 
 
 def scan(text: str | None) -> tuple[list, list, int]:
@@ -272,7 +302,7 @@ def scan(text: str | None) -> tuple[list, list, int]:
     if not text:
         return [], [], 0
     base = in_order(base_spans(text))
-    found, layers = set(base), 0
+    found, done, layers = set(base), set(), 0
     # layers still to come from a layer, the original span of each of its characters (or the one of all), and the layers around it
     work = [(_layers(text), None, frozenset([hashlib.sha1(text.encode()).digest()]))]
     while work:
@@ -281,18 +311,22 @@ def scan(text: str | None) -> tuple[list, list, int]:
             work.pop()
             continue
         inner, start, end, cells = layer
-        if isinstance(place, tuple):
-            cells = place
-        elif cells is None:
-            cells = (start, end) if place is None else (place[start][0], place[end - 1][1])
-        elif place is not None:
-            cells = [(place[i][0], place[j - 1][1]) for i, j in cells]
+        if place is None:
+            span = (start, end)
+        elif isinstance(place[0], int):
+            span, cells = place, None
+        else:
+            span = (int(place[0][start]), int(place[1][end - 1]))
+            cells = cells and (place[0][cells[0]], place[1][cells[1] - 1])
         digest = hashlib.sha1(inner.encode("utf-8", "surrogatepass")).digest()
-        if digest in around:
+        # the same layer of the same stretch also comes by unwrapping in another order
+        same = (digest, span, cells is None)
+        if digest in around or same in done:
             continue
+        done.add(same)
         layers += 1
-        found.update((*(cells if isinstance(cells, tuple) else (cells[s][0], cells[e - 1][1])), kind) for s, e, kind in base_spans(inner))
-        work.append((_layers(inner), cells, around | {digest}))
+        found.update(((int(cells[0][s]), int(cells[1][e - 1])) if cells else span) + (kind,) for s, e, kind in base_spans(inner))
+        work.append((_layers(inner), cells or span, around | {digest}))
     return base, in_order(found), layers
 
 
