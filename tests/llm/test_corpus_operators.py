@@ -1,9 +1,6 @@
 """Operators that compare documents: joins, deduplication and the language model."""
 
-import collections
-import math
 import random
-import zlib
 
 import brute
 import numpy as np
@@ -11,7 +8,7 @@ import pytest
 from brute import prose
 from pyspark.sql import functions as F
 
-from weir.llm import ngram_join, packed, pitman_yor, substring_dedup, suffix_dedup
+from weir.llm import ngram_join, packed, substring_dedup, suffix_dedup
 
 
 def test_packed_round_trip():
@@ -141,70 +138,3 @@ def test_components(spark):
         parent[max(p, q)] = min(p, q)
     got = {x.doc_id: x.component for x in ngram_join.components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {v: find(v) for v in parent}
-
-
-def test_language_model(docs, tricky, nothing):
-    got = {r.doc_id: r for r in pitman_yor.scored(docs.dropDuplicates(["doc_id"])).collect()}
-    tokens = {i: brute.WORD.findall((t or "").translate(brute.LOWER)) + [None] for i, t in tricky.items()}
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tricky}
-    count = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
-    n, v = count.total(), len(count)
-    assert set(got) == set(tricky)
-    for i, ws in tokens.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(w in count for w in ws), n)
-        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
-        assert r.score < 0 and r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
-    assert pitman_yor.scored(nothing).count() == 0
-
-
-def test_probabilities_sum_to_one(spark):
-    """Over all known words and one unknown, after any context."""
-    vocabulary = ["a", "b", "c", "d"]
-    r = random.Random(1)
-    texts = {i: " ".join(r.choices(vocabulary, [8, 4, 2, 1], k=50)) for i in range(40)}
-    probes = {1000 + k: t for k, t in enumerate(["", *vocabulary, "zzz"])}  # one word, or the end
-    probes = {i: t for i, t in probes.items() if i >= 1000}
-    ids, i = {}, 10_000
-    for t in probes.values():
-        while zlib.crc32(str(i).encode()) % 10:
-            i += 1
-        ids[i] = t
-        i += 1
-    rows = [*texts.items(), *ids.items()]
-    got = {ids[x.doc_id]: x for x in pitman_yor.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.doc_id in ids}
-    # a probe of one word is P(word | start) * P(end | word); the latter is below 1, so the words alone stay below 1
-    total = 10 ** got[""].score + sum(10 ** got[w].score for w in [*vocabulary, "zzz"])
-    assert 0 < total < 1
-
-
-def test_model_beats_base_on_held_out(spark):
-    out = pitman_yor.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
-    r = out.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert r.s > 0.9 * r.b
-    again = out.where("held_out").agg(F.sum("score").alias("s")).first()
-    assert again.s == pytest.approx(r.s)
-
-
-def test_seats_follow_the_expected_growth():
-    rng = np.random.default_rng(0)
-    t = pitman_yor.seats(np.full(4000, 300), np.full(4000, 1.0), 0.5, rng)
-    # expected tables of a Pitman-Yor restaurant with strength 1, where a new table weighs strength + discount * tables
-    u = pitman_yor.seats(np.array([0, 1, 1_000_000]), np.array([1.0, 1.0, 0.0]), 0.5, rng)
-    assert u.tolist() == [0, 1, 1] and 4 < t.mean() < 8 and t.min() >= 1
-
-
-def test_single_moves_reach_the_exact_distribution():
-    """A partition of 3 customers weighs weight**tables times the product of (1 - d)(2 - d)... of its tables."""
-    n, w, d = 20_000, 0.7, 0.4
-    small = pitman_yor.SmallTables(np.full(n, 3))
-    rng = np.random.default_rng(2)
-    for _ in range(6):
-        tables = small.sweep(np.full(n, w), d, rng)
-    assert (small.sizes.sum(axis=1) == 3).all()
-    weights = np.array([w * (1 - d) * (2 - d), 3 * w**2 * (1 - d), w**3])
-    assert np.bincount(tables, minlength=4)[1:] / n == pytest.approx(weights / weights.sum(), abs=0.015)
-    mixed = pitman_yor.SmallTables(np.array([0, 1, 2, 8, 9, 5]))
-    for _ in range(20):
-        mixed.sweep(np.full(6, 0.5), d, rng)
-    assert mixed.types.tolist() == [2, 3, 5] and mixed.sizes.sum(axis=1).tolist() == [2, 8, 5]

@@ -45,16 +45,29 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors and the driver share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    """A new folder below spark.checkpoint.dir, which all executors and the driver share. On a local master only, the warehouse stands in for it."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: lineage ends here."""
+#: Spark's setting that removes a query's shuffle files when the query has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder (partitioned ``by`` a column) and read again: lineage ends here, and shuffles that led to it are freed."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

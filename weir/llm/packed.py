@@ -127,6 +127,31 @@ def wide(b: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def blob(*arrays: np.ndarray) -> bytes:
+    """Arrays of non-negative whole numbers (or 64-bit patterns), each as planes of its widest number's bytes, compressed together."""
+    head, planes = [len(arrays)], []
+    for a in arrays:
+        a = np.asarray(a).astype("<u8")
+        width = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        head += [len(a), width]
+        planes.append(narrow(a, width))
+    raw = np.array(head, "<u8").tobytes() + b"".join(planes)
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def unblob(data: bytes) -> list[np.ndarray]:
+    raw = _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    at, out = 8 + 16 * n, []
+    for length, width in np.frombuffer(raw, "<u8", 2 * n, 8).reshape(n, 2).tolist():
+        out.append(wide(raw[at : at + length * width], width) if width else np.zeros(length, U))
+        at += length * width
+    return out
+
+
 def steps(ids: np.ndarray) -> bytes:
     """Ids as differences, which are small where ids rise."""
     return narrow(np.diff(ids.astype(np.int64), prepend=0).view(U), 8)

@@ -1,34 +1,49 @@
-"""LM scoring: a hierarchical Pitman-Yor model over words.
-
-The restaurant of a context (the class of the word before, one of CONTEXTS hash
-classes) seats the words that follow it; a word that opens a table there sends a
-customer to the parent restaurant, which all contexts share and which seats
-words over a uniform base. Seating is sampled by blocked Gibbs sweeps: the
-customers of one (context, word) stand up together and sit down again one by one
-by the Chinese restaurant rule, given the rest. Predictive probabilities of
-several sweeps are averaged.
-
-Words are dealt to buckets by hash, so that a bucket holds every context of its
-words and with them the words' parent customers. What a sweep needs of a
-context's other tables is estimated from the bucket's share (buckets are random
-sets of words); after the last sweep the exact totals are summed over buckets and
-scores use only those. Words that are frequent in a bounded sample of texts are
-dealt by word and context instead, and their parent tables, a bounded list, are
-seated on the driver. Two jobs run, both over all texts: the first ships a count
-for each (context, word) of a chunk and gives the totals, the second ships each
-document's tokens, samples the same seating again (types are sorted and the
-seeds fixed), and adds up the documents' scores.
-
-Runs of customers: the first EXACT of a type sit one by one; beyond, runs of a
-sixteenth of those seated draw their new tables from a binomial.
-
-Defined results: null and empty texts have one token, the end; a document whose
-remainder is held out adds nothing to the model; an empty table gives an empty
-result; rows without an id are left out; rows that share an id are one document.
+"""LM scoring: a hierarchical Pitman-Yor model over words, with contexts of two words.
+
+The restaurant of a context (the two words before) seats the words that follow;
+a word that opens a table there sends a customer to the restaurant of the last
+word alone, which all contexts that end in it share, and tables there send
+customers to the root, which all words share and which seats over a uniform base
+of the known words and one unknown. Contexts are the words themselves (64-bit
+hashes); there are as many restaurants as the training texts have contexts.
+
+Seating is kept as the number of tables of each type, a dish in a restaurant. A
+Gibbs sweep draws each type's tables anew from their exact conditional given all
+others: for c customers, t tables have weight S(c, t) * product over k < t of
+(strength + discount * (others' tables + k)) * p ** t, with S the generalized
+Stirling numbers of the discount and p the parent's probability of the dish
+(``stirling.draw``; the same law for all c). All types of a sweep are drawn at
+once, given the totals and parents of the sweep before. Predictive probabilities
+of the kept sweeps are averaged. Random numbers are hashes of type and sweep, so
+a score does not depend on partitions, buckets or the order of rows.
+
+Jobs, each of whose results is a table in the shared folder:
+
+1. ``start``: every (context, word) of a chunk goes, with its training count, to
+   the bucket of the context's last word. A bucket keeps what sweeps need and
+   sends each word's customers at the root to the word's bucket.
+2. Per sweep, ``root_step``: buckets of words seat the root, and answer; then
+   ``sweep_step``: buckets of contexts draw their two levels and send again.
+   Totals of the root are exact sums over all buckets.
+3. ``score``: the types come again, with the documents that have them; a bucket
+   scores each type once and adds up for the documents of each chunk, and the
+   sums of a chunk meet in one row a document.
+
+A last word with more than HOT_TOKENS estimated tokens is split by the word
+before it: its contexts stay whole, and its own restaurant is seated in the
+buckets of the words that follow it, from exact sums of its parts. The estimate
+comes from a share of all texts and steers only what is computed where.
+
+Defined results: every row is returned, repeated rows each; rows that share an id
+are documents of their own; a null or empty text has one token, the end; rows
+without an id are scored but not learned from, and their held_out is null; an
+empty table gives an empty result; without training rows every probability is
+that of the base; texts may be of any length; other columns play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from dataclasses import dataclass
 
@@ -38,411 +53,565 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm import packed as P
-from weir.llm.common import chunks, partitions
-from weir.llm.substring_dedup import by_id
+from weir.llm.common import chunks, saved
+from weir.llm.stirling import draw
 
-CONTEXTS = 4096
-#: Discount and strength of the context restaurants and of their parent.
-D, THETA, D1, THETA1 = 0.8, 1.0, 0.6, 10.0
+#: Discounts and strengths of the root, of one word and of two.
+DISCOUNTS, STRENGTHS = (0.6, 0.75, 0.8), (10.0, 1.0, 1.0)
 BURN_IN, SAMPLES = 2, 2
-EXACT = 64
-#: Types of up to so many customers have their tables kept one by one.
-SMALL = 8
-#: Frequent words: found in at most SAMPLED_DOCS texts, at most MAX_HOT of them.
-SAMPLED_DOCS, MAX_HOT = 2000, 2000
-#: Buckets for each shuffle partition; a task holds one at a time.
-BUCKETS = 3
-CUTS = 16
 SEED = 20240501
-LOW40 = P.U((1 << 40) - 1)
+#: Bytes of text whose types make a bucket, and estimated tokens that split a last word.
+BUCKET_BYTES, HOT_TOKENS = 12 << 20, 2_000_000
+#: Share of the rows that words are counted in for that estimate.
+HOT_SHARE = 0.02
 END, START = P.U(0xE2D0E2D0E2D0E2D0), P.U(0x57A2757A2757A275)
+#: Scores are added up in units of 2**-32, as whole numbers, so that no order of adding matters.
+UNIT = 2.0**32
 
-FIELDS = ("words", "runs", "contexts", "counts", "docs", "doc_runs", "held")
-ARROW = pa.schema([("bucket", pa.int32()), *[(f, pa.binary()) for f in FIELDS]])
-SCHEMA = "bucket int, " + ", ".join(f"{f} binary" for f in FIELDS)
+ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("source", pa.int32()), ("a", pa.float64()), ("b", pa.float64()), ("data", pa.binary()), ("chunk", pa.binary())])
+SCHEMA = "kind string, bucket int, source int, a double, b double, data binary, chunk binary"
+
+
+def rows_of(rows: list[tuple]) -> pa.Table:
+    """Rows of (kind, bucket, source, a, b, data, chunk)."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(ARROW)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW.types, strict=True)], schema=ARROW)
 
 
 def is_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
-def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word hash and context class of each token, the ends included."""
+@dataclass
+class Plan:
+    """How types are dealt: the number of buckets, and the hot last words (sorted hashes) with their parts."""
+
+    buckets: int
+    hot: np.ndarray
+    parts: np.ndarray
+
+    def hot_number(self, v: np.ndarray) -> np.ndarray:
+        """Place in ``hot``, -1 if not there."""
+        if not len(self.hot):
+            return np.full(len(v), -1)
+        at = np.minimum(np.searchsorted(self.hot, v), len(self.hot) - 1)
+        return np.where(self.hot[at] == v, at, -1)
+
+    def bucket(self, v: np.ndarray, x: np.ndarray) -> np.ndarray:
+        at = self.hot_number(v)
+        h = P.mixed(v)
+        if (at >= 0).any():
+            part = P.mixed(x ^ P.STEP_A) % self.parts[at].astype(P.U)
+            h = np.where(at >= 0, P.mixed(v + (part + P.U(1)) * P.STEP_B), h)
+        return ((h >> P.U(32)) * P.U(self.buckets) >> P.U(32)).astype(np.int64)
+
+    def home(self, w: np.ndarray) -> np.ndarray:
+        """The bucket of a word at the root; rises with the hash."""
+        return ((w >> P.U(32)) * P.U(self.buckets) >> P.U(32)).astype(np.int64)
+
+
+def heads(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def sizes(head: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(head, n))
+
+
+def triple_key(v: np.ndarray, w: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """One number for each (v, w, x) of numbers below ``n``, in their order."""
+    pair = v.astype(np.int64) * n + w
+    if n >= 2_000_000:  # three would not fit in 63 bits: pairs are numbered first
+        pair = np.unique(pair, return_inverse=True)[1]
+    return pair * n + x
+
+
+# --- from texts to types ----------------------------------------------------
+
+
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of a chunk, and of each token its row, and the numbers of its word and of the two before."""
     h, at = P.hashed_words(*P.flat(batch.column("text")), lower=True)
     n = np.diff(at) + 1
     row = np.repeat(np.arange(len(n)), n)
     last = np.cumsum(n) - 1
-    word = np.full(len(row), END, np.uint64)
+    word = np.full(len(row) + 1, END, P.U)
     inside = np.ones(len(row), bool)
     inside[last] = False
-    word[inside] = h
-    before = np.full(len(row), START, np.uint64)
-    before[1:] = word[:-1]
-    before[last - n + 1] = START
-    return row, word, (P.mixed(before ^ P.STEP_B) >> P.U(64 - CONTEXTS.bit_length() + 1)).astype(np.int64)
+    word[:-1][inside] = h
+    word[-1] = START
+    names, number = np.unique(word, return_inverse=True)
+    w, start, first = number[:-1], number[-1], last - n + 1
+    v, x = np.empty_like(w), np.empty_like(w)
+    v[1:], x[2:] = w[:-1], w[:-2]
+    v[first] = x[first] = start
+    x[(first + 1)[n > 1]] = start
+    return names, row, v, w, x
 
 
-def _bucket(word: np.ndarray, context: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    """By word, or by word and context if the word is in ``hot`` (sorted hashes)."""
-    w = (word >> P.U(32)) * P.U(buckets) >> P.U(32)
-    at = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
-    both = P.mixed(word ^ P.mixed(context.astype(P.U))) % P.U(buckets)
-    return np.where(hot[at] == word, both, w).astype(np.uint16 if buckets < 65536 else np.int64)
+def ship(plan: Plan, with_rows: bool):
+    """Packed types of each chunk for each bucket; ``with_rows`` the rows that have them too, and a head with the chunk's ids."""
 
+    def run(batches):
+        for batch in chunks(batches, "text"):
+            ids = batch.column("key").to_pylist()
+            train = np.array([i is not None and not is_held_out(i) for i in ids], bool)
+            names, row, v, w, x = _tokens(batch)
+            key = triple_key(v, w, x, len(names))
+            order = np.lexsort((row, key)) if with_rows else np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            head = heads(key)
+            count = np.add.reduceat(train[row].astype(np.int64), head) if len(head) else head
+            many = sizes(head, len(key))
+            v, w, x = v[order][head], w[order][head], x[order][head]
+            bucket = plan.bucket(names[v], names[x])
+            by = np.argsort(bucket, kind="stable")
+            chunk, out = b"", []
+            if with_rows:
+                data, offsets = P.flat(batch.column("text"))
+                chunk = hashlib.blake2b(repr(ids).encode() + offsets.tobytes() + data.tobytes(), digest_size=16).digest()
+                known = np.array([i or 0 for i in ids], np.int64)
+                there = np.array([i is not None for i in ids], np.int64)
+                tokens = np.bincount(row, minlength=len(ids))
+                out.append(("head", int.from_bytes(chunk[:4]) % plan.buckets, 0, 0.0, 0.0, P.blob(known.view(P.U), there, tokens), chunk))
+            cut = heads(bucket[by])
+            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(by)][: len(cut)], strict=True):
+                k = by[lo:hi]
+                used, local, times = np.unique(np.concatenate((v[k], w[k], x[k])), return_inverse=True, return_counts=True)
+                frequent = np.argsort(-times, kind="stable")  # small numbers for frequent words
+                rank = np.empty_like(frequent)
+                rank[frequent] = np.arange(len(frequent))
+                a, b, c = np.split(rank[local], 3)
+                run_ = heads(a)
+                fields = [names[used[frequent]], a[run_], sizes(run_, len(a)), b, c, count[k]]
+                if with_rows:
+                    m = many[k]
+                    at = np.repeat(head[k], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    fields += [m, row[at]]
+                out.append(("types", int(bucket[k[0]]), 0, 0.0, 0.0, P.blob(*fields), chunk))
+            yield from rows_of(out).to_batches()
 
-def _heads(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return run
 
 
-def _batch(rows: list) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(ARROW)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW.types, strict=True)], schema=ARROW)
+@dataclass
+class Bucket:
+    """Distinct types of a bucket in order of (last word, word, word before): numbers in ``names``, and training counts."""
 
+    names: np.ndarray
+    v: np.ndarray
+    w: np.ndarray
+    x: np.ndarray
+    count: np.ndarray
+    of: list[np.ndarray]  # of each packed row, the type of each of its entries
 
-def ship_types(hot: np.ndarray, buckets: int):
-    """Rows of (context, word) counts in the training texts of a chunk."""
 
-    def run(batches):
-        for batch in chunks(batches, "text"):
-            train = np.array([not is_held_out(i) for i in batch.column("key").to_pylist()], bool)
-            row, word, context = _tokens(batch)
-            keep = train[row]
-            word, context = word[keep], context[keep]
-            order = np.lexsort((context, word))
-            word, context = word[order], context[order]
-            head = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])))) if len(word) else np.zeros(0, np.int64)
-            count = np.diff(np.append(head, len(word)))
-            word, context = word[head], context[head]
-            bucket = _bucket(word, context, hot, buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, word, context, count = bucket[order], word[order], context[order], count[order]
-            cuts, rows = _heads(bucket), []
-            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)][: len(cuts)], strict=True):
-                w = word[lo:hi]
-                h = _heads(w)
-                rows.append((int(bucket[lo]), P.narrow(w[h], 5), P.narrow(np.diff(np.append(h, hi - lo)), 4), P.narrow(context[lo:hi], 2), P.narrow(count[lo:hi], 4), b"", b"", b""))
-            yield _batch(rows)
+def merged(data: list[list[np.ndarray]]) -> Bucket:
+    names, number = np.unique(np.concatenate([d[0] for d in data]), return_inverse=True)
+    vs, ws, xs, at = [], [], [], 0
+    for d in data:
+        local = number[at : at + len(d[0])]
+        at += len(d[0])
+        vs.append(np.repeat(local[d[1].astype(np.int64)], d[2].astype(np.int64)))
+        ws.append(local[d[3].astype(np.int64)])
+        xs.append(local[d[4].astype(np.int64)])
+    v, w, x = map(np.concatenate, (vs, ws, xs))
+    key = triple_key(v, w, x, len(names))
+    _, first, of = np.unique(key, return_index=True, return_inverse=True)
+    count = np.bincount(of, np.concatenate([d[5] for d in data]).astype(np.float64), len(first)).astype(np.int64)
+    return Bucket(names, v[first], w[first], x[first], count, np.split(of, np.cumsum([len(x) for x in xs])[:-1]))
 
-    return run
 
+# --- the seating of a bucket --------------------------------------------------
 
-def ship_tokens(hot: np.ndarray, buckets: int):
-    """Rows of the (context, word) counts of each document of a chunk."""
 
-    def run(batches):
-        for batch in chunks(batches, "text"):
-            batch = by_id(batch)
-            ids = batch.column("key").to_numpy()
-            held = np.array([is_held_out(i) for i in ids.tolist()], np.uint8)
-            row, word, context = _tokens(batch)
-            order = np.lexsort((context, word, row))
-            row, word, context = row[order], word[order], context[order]
-            head = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]) | (row[1:] != row[:-1])))) if len(word) else np.zeros(0, np.int64)
-            count = np.diff(np.append(head, len(word)))
-            row, word, context = row[head], word[head], context[head]
-            bucket = _bucket(word, context, hot, buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, row, word, context, count = bucket[order], row[order], word[order], context[order], count[order]
-            cuts, rows = _heads(bucket), []
-            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)][: len(cuts)], strict=True):
-                names, number = np.unique(word[lo:hi] & LOW40, return_inverse=True)
-                h = _heads(row[lo:hi])
-                d = row[lo:hi][h]
-                rows.append((int(bucket[lo]), P.narrow(names, 5), P.narrow(number, 4), P.narrow(context[lo:hi], 2), P.narrow(count[lo:hi], 4), P.steps(ids[d]), P.narrow(np.diff(np.append(h, hi - lo)), 4), held[d].tobytes()))
-            yield _batch(rows)
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return P.mixed(v * P.STEP_A + w)
 
-    return run
+
+def uniform(key: np.ndarray, sweep: int, level: int) -> np.ndarray:
+    salt = P.mixed(np.array([SEED + 3 * sweep + level], P.U))
+    return ((P.mixed(key ^ salt) >> P.U(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-def seats(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after ``count`` customers of each dish sat down by the Chinese restaurant rule.
-
-    ``weight`` is what a new table weighs: strength and the other tables' discounts, times the dish's base probability."""
-    tables = np.minimum(count, 1).astype(np.int64)
-    live = np.flatnonzero(count > 1)
-    at = 1
-    while len(live):
-        step = 1 if at < EXACT else max(1, at // 16)
-        left = np.minimum(count[live] - at, step)
-        t = tables[live]
-        own = weight[live]
-        p = own / (own + at - discount * t)
-        tables[live] = t + (rng.random(len(live)) < p if step == 1 else rng.binomial(left, p))
-        at += step
-        live = live[count[live] > at]
-    return tables
-
-
-class SmallTables:
-    """Table sizes of the types with 2 to SMALL customers, for Gibbs moves of single customers. All sit at one table at first."""
-
-    def __init__(self, count: np.ndarray):
-        self.types = np.flatnonzero((count > 1) & (count <= SMALL))
-        self.count = count[self.types]
-        self.sizes = np.zeros((len(self.types), SMALL), np.int8)
-        self.sizes[:, 0] = self.count
-
-    def sweep(self, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-        """As many moves as a type has customers: a random one leaves its table and is seated again by the Chinese restaurant rule. Gives the tables."""
-        own = weight[self.types]
-        for k in range(SMALL):
-            r = np.flatnonzero(self.count > k)
-            if not len(r):
-                break
-            sizes, each = self.sizes[r], np.arange(len(r))
-            leaves = (np.cumsum(sizes, axis=1) <= (rng.random(len(r)) * self.count[r])[:, None]).sum(axis=1)
-            sizes[each, leaves] -= 1
-            upto = np.cumsum(np.where(sizes > 0, sizes - discount, 0.0), axis=1)
-            sits = (upto <= (rng.random(len(r)) * (upto[:, -1] + own[r]))[:, None]).sum(axis=1)
-            sits = np.where(sits == SMALL, (sizes == 0).argmax(axis=1), sits)
-            sizes[each, sits] += 1
-            self.sizes[r] = sizes
-        return (self.sizes > 0).sum(axis=1)
+@dataclass
+class Seats:
+    """What sweeps need of a bucket. A pair is a word after a last word; types with one customer have one table for good.
+
+    Pairs of last words that are not hot and have more than one customer are ``live`` here; those of hot
+    last words are seated at the root's buckets; the others have one customer and one table."""
+
+    words: np.ndarray  # hashes of the words that follow anything here, sorted
+    still: np.ndarray  # customers at the root that pairs of one customer send, of each word
+    v_still: np.ndarray  # pairs of one customer, of each last word
+    live_v: np.ndarray
+    live_w: np.ndarray
+    live_ones: np.ndarray  # types of one customer in a live pair
+    live_key: np.ndarray
+    hot_v: np.ndarray  # places in Plan.hot
+    hot_w: np.ndarray
+    hot_ones: np.ndarray
+    type_pair: np.ndarray  # of each type of several customers its pair: live ones, then hot ones
+    type_context: np.ndarray
+    type_count: np.ndarray
+    type_key: np.ndarray
+    context_ones: np.ndarray  # types of one customer, of each context of such types
+
+    def packed(self) -> bytes:
+        return P.blob(*self.__dict__.values())
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Seats:
+        hashes = {"words", "live_key", "type_key"}
+        return cls(**{k: a if k in hashes else a.astype(np.int64) for k, a in zip(cls.__dataclass_fields__, P.unblob(data), strict=True)})
+
+    def customers(self, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of live and of hot pairs, given the tables of types."""
+        n = len(self.live_v)
+        sums = np.bincount(self.type_pair, tables, n + len(self.hot_v)).astype(np.int64)
+        return self.live_ones + sums[:n], self.hot_ones + sums[n:]
+
+    def requests(self, plan: Plan, bucket: int, tables: np.ndarray, pair_tables: np.ndarray) -> list[tuple]:
+        """Customers for the root and for hot last words, a row for each bucket of words."""
+        at_root = self.still + np.bincount(self.live_w, pair_tables, len(self.words)).astype(np.int64)
+        _, hot = self.customers(tables)
+        home = plan.home(self.words)
+        cut = heads(home)
+        out = []
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(home)][: len(cut)], strict=True):
+            a, b = np.searchsorted(self.hot_w, (lo, hi))
+            out.append(("request", int(home[lo]), bucket, 0.0, 0.0, P.blob(self.words[lo:hi], at_root[lo:hi], self.hot_v[a:b], self.hot_w[a:b] - lo, hot[a:b]), b""))
+        return out
 
 
 @dataclass
-class Types:
-    """The types of a bucket: distinct words, each type's word number, context and training count."""
+class Places:
+    """Of each type of a bucket: its pair and context, and where these are in Seats (live and hot numbers are -1 where there is none)."""
 
-    names: np.ndarray
-    word: np.ndarray
+    pair: np.ndarray
     context: np.ndarray
-    count: np.ndarray
-    hot: np.ndarray  # which names are dealt by word and context
-
-
-def sample(types: Types, buckets: int, seed: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each kept sweep: tables of each type, and customers and tables of each word at the parent (this bucket's part)."""
-    rng = np.random.default_rng(seed)
-    c, n = types.count, len(types.names)
-    scale = np.where(types.hot, float(buckets), 1.0)  # a frequent word's contexts are spread over all buckets
-    tables, out, small, large = np.minimum(c, 1), [], SmallTables(c), np.where(c > SMALL, c, 0)
-    parent_tables = np.zeros(n, np.int64)
-    for sweep in range(BURN_IN + SAMPLES):
-        customers = np.bincount(types.word, tables, n)
-        full = customers * scale
-        words = max(1.0, float((full > 0).sum())) * buckets
-        share = np.where(types.hot, 1.0, float(buckets))  # a frequent word is counted once, the others stand for all buckets
-        if sweep == 0:
-            parent_tables = np.minimum(customers, 1).astype(np.int64)
-        total_c, total_t = float((full * share).sum()), float((parent_tables * share).sum())
-        parent_tables = seats(full.astype(np.int64), np.full(n, (THETA1 + D1 * total_t) / (words + 1.0)), D1, rng)
-        total_t = float((parent_tables * share).sum())
-        base = (np.maximum(full - D1 * parent_tables, 0.0) + (THETA1 + D1 * total_t) / (words + 1.0)) / (THETA1 + total_c)
-        of_context = np.bincount(types.context, tables, CONTEXTS) * buckets
-        weight = (THETA + D * of_context[types.context]) * base[types.word]
-        tables = seats(large, weight, D, rng)
-        tables[c == 1] = 1
-        tables[small.types] = small.sweep(weight, D, rng)
-        if sweep >= BURN_IN:
-            out.append((tables, np.bincount(types.word, tables, n).astype(np.int64), parent_tables))
-    return out
-
-
-def _key(word: np.ndarray, context: bytes) -> np.ndarray:
-    return word << P.U(12) | P.wide(context, 2)
-
-
-def _sorted_types(key: np.ndarray, count: np.ndarray, hot40: np.ndarray) -> tuple[Types, np.ndarray]:
-    """Types in order of word and context, and the type of each entry."""
-    distinct, of = np.unique(key, return_inverse=True)
-    names, number = np.unique(distinct >> P.U(12), return_inverse=True)
-    at = np.minimum(np.searchsorted(hot40, names), len(hot40) - 1)
-    total = np.bincount(of, count, len(distinct)).astype(np.int64)
-    return Types(names, number, (distinct & P.U(0xFFF)).astype(np.int64), total, hot40[at] == names), of
-
-
-def _trained(types: Types) -> Types:
-    """Only the types that training has, so that both jobs sample alike."""
-    use = types.count > 0
-    names, number = np.unique(types.word[use], return_inverse=True)
-    return Types(types.names[names], number, types.context[use], types.count[use], types.hot[names])
-
-
-#: Places of the totals: per sweep the tables of each context, then scalars, then frequent words.
-SCALARS = 4  # customers and tables at the parent of a sweep, training tokens, distinct words
-
-
-def _rows(table: pa.Table, fields: tuple[str, ...]):
-    """The packed columns row by row."""
-    for k in range(table.num_rows):
-        yield tuple(table.column(f)[k].as_py() for f in fields)
-
-
-def totals(hot: np.ndarray, buckets: int):
-    """The sums of a bucket in slots, cut into CUTS rows; equal cuts of all buckets are added up."""
-    hot40 = np.sort(hot & LOW40)
+    pair_word: np.ndarray
+    pair_v: np.ndarray
+    pair_live: np.ndarray
+    pair_hot: np.ndarray
+    pair_trained: np.ndarray
+    several: np.ndarray  # types with more than one customer
+
+
+def seated(b: Bucket, plan: Plan) -> tuple[Seats, Places, np.ndarray]:
+    """The seats of a bucket, places of its types, and which last words (by number in ``Places.pair_v``) they have."""
+    n = len(b.names)
+    head = heads(b.v, b.w)
+    pair = np.repeat(np.arange(len(head)), sizes(head, len(b.v)))
+    pv, pw = b.v[head], b.w[head]
+    v_numbers, v_of = np.unique(pv, return_inverse=True)
+    words, w_of = np.unique(pw, return_inverse=True)
+    one, several = b.count == 1, b.count > 1
+    ones = np.bincount(pair, one, len(head)).astype(np.int64)
+    more = np.bincount(pair, several, len(head)) > 0
+    hot_v = plan.hot_number(b.names[pv])
+    hot = hot_v >= 0
+    live = ~hot & (more | (ones > 1))
+    still = ~hot & ~more & (ones == 1)
+    live_at, hot_at = np.flatnonzero(live), np.flatnonzero(hot)
+    hot_at = hot_at[np.lexsort((hot_v[hot_at], w_of[hot_at]))]  # by word, as requests are cut
+    live_number, hot_number = np.full(len(head), -1), np.full(len(head), -1)
+    live_number[live_at], hot_number[hot_at] = np.arange(len(live_at)), np.arange(len(hot_at))
+    _, context = np.unique(b.v.astype(np.int64) * n + b.x, return_inverse=True)
+    context_used, type_context = np.unique(context[several], return_inverse=True)
+    s = Seats(
+        words=b.names[words],
+        still=np.bincount(w_of[still], minlength=len(words)),
+        v_still=np.bincount(v_of[still], minlength=len(v_numbers)),
+        live_v=v_of[live_at],
+        live_w=w_of[live_at],
+        live_ones=ones[live_at],
+        live_key=pair_key(b.names[pv[live_at]], b.names[pw[live_at]]),
+        hot_v=hot_v[hot_at],
+        hot_w=w_of[hot_at],
+        hot_ones=ones[hot_at],
+        type_pair=np.where(hot[pair[several]], len(live_at) + hot_number[pair[several]], live_number[pair[several]]),
+        type_context=type_context,
+        type_count=b.count[several],
+        type_key=P.mixed(pair_key(b.names[b.v[several]], b.names[b.w[several]]) * P.STEP_B + b.names[b.x[several]]),
+        context_ones=np.bincount(context, one)[context_used].astype(np.int64) if len(context_used) else context_used,
+    )
+    return s, Places(pair, context, w_of, v_of, live_number, hot_number, (ones > 0) | more, several), v_numbers
 
-    def run(table: pa.Table) -> pa.Table:
-        keys, counts = [], []
-        for w, r, k, c in _rows(table, ("words", "runs", "contexts", "counts")):
-            keys.append(_key(np.repeat(P.wide(w, 5), P.wide(r, 4).astype(np.int64)), k))
-            counts.append(P.wide(c, 4).astype(np.int32))
-        types, _ = _sorted_types(np.concatenate(keys), np.concatenate(counts), hot40)
-        values = np.zeros(slots(len(hot40)))
-        values[: CONTEXTS] = np.bincount(types.context, types.count, CONTEXTS)
-        plain = ~types.hot
-        word_count = np.bincount(types.word, types.count, len(types.names))
-        values[CONTEXTS : CONTEXTS + 2] = types.count.sum(), plain.sum()
-        place = np.searchsorted(hot40, types.names[types.hot])
-        values[CONTEXTS + 2 + place] = word_count[types.hot]
-        at = CONTEXTS + 2 + len(hot40)
-        for tables, customers, parents in sample(types, buckets, SEED + table.column("bucket")[0].as_py()):
-            values[at : at + CONTEXTS] = np.bincount(types.context, tables, CONTEXTS)
-            values[at + CONTEXTS : at + CONTEXTS + 2] = customers[plain].sum(), parents[plain].sum()
-            values[at + CONTEXTS + 2 + place] = customers[types.hot]
-            at += CONTEXTS + 2 + len(hot40)
-        cuts = [v.astype("<f8").tobytes() for v in np.array_split(values, CUTS)]
-        return pa.table({"cut": pa.array(range(CUTS), pa.int32()), "value": pa.array(cuts, pa.binary())})
 
-    return run
+@dataclass
+class Totals:
+    """Exact sums over all buckets: customers and tables at the root and of hot last words."""
 
+    root: tuple[float, float]
+    hot: np.ndarray  # n x 2
+    outcomes: float  # known words and one unknown
 
-def sum_cut(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(v.as_py(), "<f8") for v in table.column("value"))
-    return pa.table({"cut": table.column("cut").slice(0, 1).cast(pa.int32()), "value": pa.array([total.tobytes()], pa.binary())})
+    def at_root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        c, t = self.root
+        return (customers - DISCOUNTS[0] * tables + (STRENGTHS[0] + DISCOUNTS[0] * t) / self.outcomes) / (STRENGTHS[0] + c)
 
 
-def slots(n_hot: int) -> int:
-    return (1 + SAMPLES) * (CONTEXTS + 2 + n_hot)
+def shrunk(level: int, own_c, own_t, all_c, all_t, below) -> np.ndarray:
+    """A restaurant's probability of a dish; without customers its parent's."""
+    d, s = DISCOUNTS[level], STRENGTHS[level]
+    return np.where(all_c > 0, (own_c - d * own_t + (s + d * all_t) * below) / (s + all_c), below)
 
 
 @dataclass
-class Model:
-    """Exact totals: all that scoring needs besides a bucket's own types."""
+class Answer:
+    """From the root's buckets: probability at the root of each word, and customers and tables of hot pairs."""
 
-    buckets: int
-    hot40: np.ndarray
-    of_context: np.ndarray  # training tokens after each context
-    tokens: float
-    distinct: float
-    hot_count: np.ndarray
-    tables: list[np.ndarray]  # per kept sweep: tables of each context
-    parent: list[tuple[float, float]]  # customers and tables at the parent
-    hot_parent: list[tuple[np.ndarray, np.ndarray]]  # customers and tables of frequent words
+    root: np.ndarray
+    hot: np.ndarray
 
     @classmethod
-    def of(cls, values: np.ndarray, hot40: np.ndarray, buckets: int) -> Model:
-        n, block = len(hot40), CONTEXTS + 2 + len(hot40)
-        rng = np.random.default_rng(SEED - 1)
-        hot_count = values[CONTEXTS + 2 : block]
-        distinct = values[CONTEXTS + 1] + (hot_count > 0).sum()
-        tables, parent, hot_parent = [], [], []
-        for s in range(SAMPLES):
-            v = values[(s + 1) * block : (s + 2) * block]
-            customers = v[CONTEXTS + 2 :]
-            total_t = v[CONTEXTS + 1] + np.minimum(customers, 1).sum()
-            own = seats(customers.astype(np.int64), np.full(n, (THETA1 + D1 * total_t) / (distinct + 1)), D1, rng)
-            tables.append(v[:CONTEXTS])
-            parent.append((v[CONTEXTS] + customers.sum(), v[CONTEXTS + 1] + own.sum()))
-            hot_parent.append((customers, own))
-        return cls(buckets, hot40, values[:CONTEXTS], values[CONTEXTS], distinct, hot_count, tables, parent, hot_parent)
-
-    def log_probabilities(self, types: Types, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each type: the training count of its word, and log10 of the averaged probability."""
-        trained = _trained(types)
-        use = types.count > 0
-        at = np.searchsorted(types.names, trained.names)
-        word_count = np.bincount(types.word, types.count, len(types.names))
-        place = np.searchsorted(self.hot40, types.names[types.hot])
-        word_count[types.hot] = self.hot_count[place]
-        mean = np.zeros(len(types.word))
-        n_context = self.of_context[types.context]
-        for s, (tables, customers, parents) in enumerate(sample(trained, self.buckets, seed)):
-            c1, t1 = np.zeros(len(types.names)), np.zeros(len(types.names))
-            c1[at], t1[at] = customers, parents
-            c1[types.hot], t1[types.hot] = self.hot_parent[s][0][place], self.hot_parent[s][1][place]
-            total_c, total_t = self.parent[s]
-            p1 = (np.maximum(c1 - D1 * t1, 0.0) + (THETA1 + D1 * total_t) / (self.distinct + 1)) / (THETA1 + total_c)
-            own = np.zeros(len(types.word))
-            own[use] = types.count[use] - D * tables
-            more = THETA + D * self.tables[s][types.context]
-            mean += np.where(n_context > 0, (own + more * p1[types.word]) / (THETA + n_context), p1[types.word])
-        return word_count[types.word].astype(np.int64), np.log10(mean / SAMPLES)
-
-
-PART = pa.schema([("group", pa.int32()), *[(f, pa.binary()) for f in ("docs", "runs", "n", "known", "score")]])
-PARTS = "group int, docs binary, runs binary, n binary, known binary, score binary"
-#: Scores travel in units of 2**-18, three bytes each.
-UNIT = 2.0**18
-
-
-def score_bucket(model: Model, groups: int):
-    """For each document's words in a bucket: how often, the word's training count and the log10 probability, as packed rows by document group.
-
-    Sums over a bucket would not be smaller: with many buckets a document has few words in each."""
+    def of(cls, rows: list[tuple[int, bytes]], totals: Totals) -> Answer:
+        parts = [P.unblob(data) for _, data in sorted(rows)]
+        customers, tables, hot_c, hot_t = (np.concatenate([p[k] for p in parts] + [np.zeros(0, P.U)]).astype(np.float64) for k in range(4))
+        return cls(totals.at_root(customers, tables), np.stack((hot_c, hot_t), axis=1))
+
+
+def pair_probabilities(s: Seats, tables: np.ndarray, pair_tables: np.ndarray, answer: Answer, totals: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of live and then hot pairs the probability after the last word; and the last words' customers and tables."""
+    live, _ = s.customers(tables)
+    c = s.v_still + np.bincount(s.live_v, live, len(s.v_still))
+    t = s.v_still + np.bincount(s.live_v, pair_tables, len(s.v_still))
+    here = shrunk(1, live, pair_tables, c[s.live_v], t[s.live_v], answer.root[s.live_w])
+    of_hot = totals.hot[s.hot_v]
+    there = shrunk(1, answer.hot[:, 0], answer.hot[:, 1], of_hot[:, 0], of_hot[:, 1], answer.root[s.hot_w])
+    return np.concatenate((here, there)), c, t
+
+
+# --- tasks ----------------------------------------------------------------------
+
+
+def _of_kind(table: pa.Table, kind: str) -> list[tuple]:
+    """(source, data, chunk) of the rows of a kind."""
+    rows = table.filter(pa.array([k == kind for k in table.column("kind").to_pylist()], pa.bool_()))
+    return list(zip(*(rows.column(c).to_pylist() for c in ("source", "data", "chunk")), strict=True))
+
+
+def start(plan: Plan):
+    """A bucket's seats, its first seating (one table a type), requests, and training counts: all, distinct, starts and hot words."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, counts, docs, trained = [], [], [], []
-        for w, r, k, c, d, dr, h in _rows(table, FIELDS):
-            keys.append(_key(P.wide(w, 5)[P.wide(r, 4).astype(np.int32)], k))
-            counts.append(P.wide(c, 4).astype(np.int32))
-            runs = P.wide(dr, 4).astype(np.int64)
-            docs.append(np.repeat(P.from_steps(d), runs))
-            trained.append(counts[-1] * np.repeat(np.frombuffer(h, np.uint8) == 0, runs))
-        count, doc = np.concatenate(counts), np.concatenate(docs)
-        types, of = _sorted_types(np.concatenate(keys), np.concatenate(trained), model.hot40)
-        del keys, counts, docs, trained
-        known, score = model.log_probabilities(types, SEED + table.column("bucket")[0].as_py())
-        group = (P.mixed(doc.astype(P.U)) % P.U(groups)).astype(np.int64)
-        order = np.lexsort((doc, group))
-        group, doc, n, of = group[order], doc[order], count[order], of[order]
-        cuts, rows = _heads(group), []
-        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)][: len(cuts)], strict=True):
-            h = _heads(doc[lo:hi])
-            t = of[lo:hi]
-            units = np.rint(-score[t] * UNIT).astype(np.int64)
-            rows.append((int(group[lo]), P.steps(doc[lo:hi][h]), P.narrow(np.diff(np.append(h, hi - lo)), 4), P.narrow(n[lo:hi], 4), P.narrow(known[t], 5), P.narrow(units, 3)))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PART.types, strict=True)], schema=PART)
+        bucket = table.column("bucket")[0].as_py()
+        b = merged([P.unblob(data) for _, data, _ in _of_kind(table, "types")])
+        s, _, v_numbers = seated(b, plan)
+        tables, pair_tables = np.ones(len(s.type_count), np.int64), np.ones(len(s.live_v), np.int64)
+        used, v_of = np.unique(b.v, return_inverse=True)
+        counts = np.bincount(v_of, b.count, len(used))
+        hashes = b.names[used]
+        number = plan.hot_number(hashes)
+        plain = (number < 0) & (hashes != START)
+        out = [
+            ("seats", bucket, 0, 0.0, 0.0, s.packed(), b""),
+            ("seating", bucket, 0, 0.0, 0.0, P.blob(tables, pair_tables), b""),
+            ("sum", -1, 0, float(counts[plain].sum()), float((counts[plain] > 0).sum()), b"", b""),
+            ("sum", -2, 0, float(counts[(hashes == START) & (number < 0)].sum()), 0.0, b"", b""),
+            *[("sum", int(k), 0, float(c), 0.0, b"", b"") for k, c in zip(number[number >= 0], counts[number >= 0], strict=True)],
+            *s.requests(plan, bucket, tables, pair_tables),
+        ]
+        return rows_of(out)
 
     return run
 
 
-def add_up(tokens: float, distinct: float):
-    """The sums of each document of a group."""
+def root_step(plan: Plan, sweep: int, before: Totals | None, outcomes: float):
+    """The root's tables of a bucket of words and those of hot pairs, given the sweep before; without one, one table each."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = []
-        for d, r, n, c, s in _rows(table, ("docs", "runs", "n", "known", "score")):
-            runs, times = P.wide(r, 4).astype(np.int64), P.wide(n, 4).astype(np.float64)
-            heads, known = np.cumsum(runs) - runs, P.wide(c, 5).astype(np.float64)
-            values = (times, times * (known > 0), times * np.log10((known + 0.1) / (tokens + 0.1 * (distinct + 1))), times * P.wide(s, 3) / -UNIT)
-            parts.append((P.from_steps(d), [np.add.reduceat(v, heads) for v in values]))
-        ids, row = np.unique(np.concatenate([d for d, _ in parts]), return_inverse=True)
-        n, known, base, score = (np.bincount(row, np.concatenate([v[k] for _, v in parts]), len(ids)) for k in range(4))
-        return pa.table({"doc_id": ids, "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "base_score": base, "score": score})
+        bucket = table.column("bucket")[0].as_py()
+        asked = [(source, P.unblob(data)) for source, data, _ in _of_kind(table, "request")]
+        words, of = np.unique(np.concatenate([d[0] for _, d in asked]), return_inverse=True)
+        places = np.split(of, np.cumsum([len(d[0]) for _, d in asked])[:-1])
+        n = max(len(plan.hot), 1)
+        keys = [places[k][d[3].astype(np.int64)] * n + d[2].astype(np.int64) for k, (_, d) in enumerate(asked)]
+        hot, hot_of = np.unique(np.concatenate(keys), return_inverse=True)
+        hot_places = np.split(hot_of, np.cumsum([len(k) for k in keys])[:-1])
+        hot_c = np.bincount(hot_of, np.concatenate([d[4] for _, d in asked]).astype(np.float64), len(hot)).astype(np.int64)
+        hot_v, hot_w = hot % n, hot // n
+        hot_t = np.minimum(hot_c, 1)
+        last = [P.unblob(data) for _, data, _ in _of_kind(table, "root")]
+        if before is not None:
+            c_, t_, _, hot_t_ = (a.astype(np.int64) for a in last[0])
+            p = before.at_root(c_, t_)[hot_w]
+            strength = STRENGTHS[1] + DISCOUNTS[1] * (before.hot[hot_v, 1] - hot_t_)
+            hot_t = draw(hot_c, strength, p, DISCOUNTS[1], uniform(pair_key(plan.hot[hot_v], words[hot_w]) if len(hot) else hot.astype(P.U), sweep, 1))
+        c = np.bincount(of, np.concatenate([d[1] for _, d in asked]).astype(np.float64), len(words)).astype(np.int64) + np.bincount(hot_w, hot_t, len(words)).astype(np.int64)
+        t = np.minimum(c, 1)
+        if before is not None:
+            t = draw(c, STRENGTHS[0] + DISCOUNTS[0] * (before.root[1] - t_), np.full(len(c), 1.0 / outcomes), DISCOUNTS[0], uniform(P.mixed(words), sweep, 0))
+        out = [("root", bucket, 0, 0.0, 0.0, P.blob(c, t, hot_c, hot_t), b""), ("sum", -1, 0, float(c.sum()), float(t.sum()), b"", b"")]
+        for v in np.unique(hot_v).tolist():
+            out.append(("sum", v, 0, float(hot_c[hot_v == v].sum()), float(hot_t[hot_v == v].sum()), b"", b""))
+        for k, (source, _) in enumerate(asked):
+            w, h = places[k], hot_places[k]
+            out.append(("answer", source, bucket, 0.0, 0.0, P.blob(c[w], t[w], hot_c[h], hot_t[h]), b""))
+        return rows_of(out)
 
     return run
 
 
-def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of words with at least a MAX_HOT-th of the tokens of a bounded sample, and the end."""
-    total = docs.count()
+def sweep_step(plan: Plan, sweep: int, totals: Totals):
+    """The tables of a bucket's contexts and live pairs, given the sweep before, and its requests."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        s = Seats.unpacked(_of_kind(table, "seats")[0][1])
+        tables, pair_tables = (a.astype(np.int64) for a in P.unblob(_of_kind(table, "seating")[0][1]))
+        answer = Answer.of([(source, data) for source, data, _ in _of_kind(table, "answer")], totals)
+        p, _, v_tables = pair_probabilities(s, tables, pair_tables, answer, totals)
+        of_context = s.context_ones + np.bincount(s.type_context, tables, len(s.context_ones))
+        new = draw(s.type_count, STRENGTHS[2] + DISCOUNTS[2] * (of_context[s.type_context] - tables), p[s.type_pair], DISCOUNTS[2], uniform(s.type_key, sweep, 2))
+        live, _ = s.customers(new)
+        new_pairs = draw(live, STRENGTHS[1] + DISCOUNTS[1] * (v_tables[s.live_v] - pair_tables), answer.root[s.live_w], DISCOUNTS[1], uniform(s.live_key, sweep, 1))
+        return rows_of([("seating", bucket, 0, 0.0, 0.0, P.blob(new, new_pairs), b""), *s.requests(plan, bucket, new, new_pairs)])
+
+    return run
+
+
+def score(plan: Plan, samples: list[Totals], counts: np.ndarray, tokens: float, outcomes: float):
+    """The sums of each chunk's documents over a bucket: known tokens, base and model scores in units. Heads pass."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = [("head", 0, 0, 0.0, 0.0, data, chunk) for _, data, chunk in _of_kind(table, "head")]
+        shipped = [(P.unblob(data), chunk) for _, data, chunk in _of_kind(table, "types")]
+        if not shipped:
+            return rows_of(out)
+        b = merged([d for d, _ in shipped])
+        s, at, v_numbers = seated(b, plan)
+        one = np.bincount(at.context, b.count == 1)
+        customers = np.bincount(at.context, b.count)
+        mean = np.zeros(len(b.v))
+        v_hot = plan.hot_number(b.names[v_numbers])
+        for k, totals in enumerate(samples):
+            tables, pair_tables = (a.astype(np.int64) for a in P.unblob(_of_kind(table, f"seating{k}")[0][1]))
+            answer = Answer.of([(source, data) for source, data, _ in _of_kind(table, f"answer{k}")], totals)
+            p, c, t = pair_probabilities(s, tables, pair_tables, answer, totals)
+            below = answer.root[at.pair_word]
+            single = at.pair_trained.astype(np.float64)  # of pairs that are neither live nor hot
+            p1 = shrunk(1, single, single, c[at.pair_v], t[at.pair_v], below)
+            p1 = np.where(at.pair_live >= 0, p[at.pair_live], p1) if len(s.live_v) else p1
+            p1 = np.where(at.pair_hot >= 0, p[len(s.live_v) + at.pair_hot * (at.pair_hot >= 0)], p1) if len(s.hot_v) else p1
+            of_context = one.astype(np.float64)
+            of_context += np.bincount(at.context[at.several], tables, len(one))
+            own = np.minimum(b.count, 1).astype(np.float64)
+            own[at.several] = tables
+            mean += shrunk(2, b.count, own, customers[at.context], of_context[at.context], p1[at.pair])
+        units = np.rint(-np.log10(mean / len(samples)) * UNIT)
+        v_count = np.bincount(at.pair_v[at.pair], b.count, len(v_numbers))
+        v_count = np.where(v_hot >= 0, counts[v_hot], v_count) if len(plan.hot) else v_count
+        is_word = b.names[v_numbers] != START  # the word before a token stands for its own base score
+        base = np.where(is_word, np.rint(-np.log10((v_count + 0.1) / (tokens + 0.1 * outcomes)) * UNIT), 0.0)[at.pair_v[at.pair]]
+        known = (is_word & (v_count > 0))[at.pair_v[at.pair]].astype(np.float64)
+        for (d, chunk), of in zip(shipped, b.of, strict=True):
+            types = np.repeat(of, d[6].astype(np.int64))
+            docs, row = np.unique(d[7].astype(np.int64), return_inverse=True)
+            sums = [np.bincount(row, x[types], len(docs)).astype(np.int64) for x in (known, base, units)]
+            out.append(("part", 0, 0, 0.0, 0.0, P.blob(docs, *sums), chunk))
+        return rows_of(out)
+
+    return run
+
+
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def add_up(trained_docs: float, tokens: float, outcomes: float):
+    """A row for each document of a chunk. Chunks of equal content meet here, so what is added up is divided by how many they are."""
+
+    def run(table: pa.Table) -> pa.Table:
+        same = [data for _, data, _ in _of_kind(table, "head")]
+        ids, there, n = P.unblob(same[0])
+        sums = np.zeros((3, len(ids)), np.int64)
+        for _, data, _ in _of_kind(table, "part"):
+            docs, *values = P.unblob(data)
+            for k in range(3):
+                sums[k, docs.astype(np.int64)] += values[k].astype(np.int64)
+        sums //= len(same)
+        end = np.log10((trained_docs + 0.1) / (tokens + 0.1 * outcomes))
+        columns = [
+            pa.array(ids.view(np.int64), mask=there == 0),
+            pa.array(n.astype(np.int64)),
+            pa.array(sums[0] + (trained_docs > 0)),
+            pa.array(end - sums[1] / UNIT),
+            pa.array(-sums[2] / UNIT),
+        ]
+        out = pa.Table.from_arrays([c.cast(t) for c, t in zip(columns, RESULT.types, strict=True)], schema=RESULT)
+        return pa.concat_tables([out] * len(same))
+
+    return run
+
+
+# --- the jobs -------------------------------------------------------------------
+
+
+def plan_of(rows: DataFrame, bucket_bytes: int, hot_tokens: int, hot_share: float) -> Plan:
+    """Buckets by bytes of text, and words before others that a share of the rows says are above ``hot_tokens``."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def words(batches):
         for batch in chunks(batches, "text"):
-            _, word, _ = _tokens(batch)
-            names, n = np.unique(word, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["word", "n"])
-
-    found = docs.sample(min(1.0, SAMPLED_DOCS / max(total, 1)), seed=5).mapInArrow(words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "word").limit(MAX_HOT).collect()
-    n = max(1, found.agg(F.sum("n")).first()[0] or 0)
-    return np.unique(np.array([r.word for r in top if MAX_HOT * r.n >= n] + [END.view(np.int64)], np.int64).view(np.uint64))
-
-
-def scored(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every document."""
-    spark = docs.sparkSession
-    buckets = BUCKETS * partitions(spark)
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    hot = frequent_words(rows)
-    hot40 = np.sort(hot & LOW40)
-    sums = rows.mapInArrow(ship_types(hot, buckets), SCHEMA).groupBy("bucket").applyInArrow(totals(hot, buckets), "cut int, value binary")
-    cuts = sums.groupBy("cut").applyInArrow(sum_cut, "cut int, value binary").collect()
-    values = np.concatenate([np.frombuffer(bytes(r.value), "<f8") for r in sorted(cuts, key=lambda r: r.cut)]) if cuts else np.zeros(slots(len(hot40)))
-    model = Model.of(values, hot40, buckets)
-    parts = rows.mapInArrow(ship_tokens(hot, buckets), SCHEMA).groupBy("bucket").applyInArrow(score_bucket(model, partitions(spark)), PARTS)
-    out = parts.groupBy("group").applyInArrow(add_up(model.tokens, model.distinct), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+            names, _, v, _, _ = _tokens(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(v, minlength=len(names)))], ["word", "n"])
+
+    sample = rows.sample(hot_share, seed=5) if hot_share < 1 else rows
+    found = sample.mapInArrow(words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > hot_tokens * hot_share)
+    hot = sorted((int(r.word) % 2**64, r.n) for r in found.collect())
+    parts = [int(n / hot_share // hot_tokens) + 1 for _, n in hot]
+    return Plan(max(1, -(-total // bucket_bytes)), np.array([w for w, _ in hot], P.U), np.array(parts, np.int64))
+
+
+def _sums(table: DataFrame, n_hot: int) -> dict[int, tuple[float, float]]:
+    """Sums of (a, b): -1, -2 and one for each hot word."""
+    found = {r.bucket: (r.a, r.b) for r in table.where("kind = 'sum'").groupBy("bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
+    return {k: found.get(k, (0.0, 0.0)) for k in range(-2, n_hot)}
+
+
+def _kinds(table: DataFrame, *kinds: str, named: str = "") -> DataFrame:
+    """Rows of some kinds, ``named`` behind their kind."""
+    return table.where(F.col("kind").isin(*kinds)).withColumn("kind", F.concat("kind", F.lit(named))).select(*ARROW.names)
+
+
+def scored(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES, hot_tokens: int = HOT_TOKENS, hot_share: float = HOT_SHARE) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row."""
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    plan = plan_of(rows, bucket_bytes, hot_tokens, hot_share)
+    keep = lambda df, what: saved(df, what, by="kind")
+
+    first = keep(rows.mapInArrow(ship(plan, False), SCHEMA).groupBy("bucket").applyInArrow(start(plan), SCHEMA), "seats")
+    sums = _sums(first, len(plan.hot))
+    counts = np.array([sums[k][0] for k in range(len(plan.hot))])
+    start_at = plan.hot_number(np.array([START]))[0]
+    trained_docs = sums[-2][0] if start_at < 0 else counts[start_at]
+    words = np.delete(counts, start_at) if start_at >= 0 else counts
+    tokens = sums[-1][0] + words.sum() + trained_docs
+    outcomes = sums[-1][1] + float((words > 0).sum()) + (trained_docs > 0) + 1.0
+
+    seats, seating, kept, before, root = _kinds(first, "seats"), first, [], None, None
+    for sweep in range(BURN_IN + SAMPLES + 1):
+        if sweep:
+            known = [seats, _kinds(seating, "seating"), _kinds(root, "answer")]
+            seating = keep(known[0].union(known[1]).union(known[2]).groupBy("bucket").applyInArrow(sweep_step(plan, sweep, before), SCHEMA), "seating")
+        asked = _kinds(seating, "request") if root is None else _kinds(seating, "request").union(_kinds(root, "root"))
+        root = keep(asked.groupBy("bucket").applyInArrow(root_step(plan, sweep, before, outcomes), SCHEMA), "root")
+        sums = _sums(root, len(plan.hot))
+        before = Totals(sums[-1], np.array([sums[k] for k in range(len(plan.hot))]).reshape(-1, 2), outcomes)
+        if sweep > BURN_IN:
+            kept.append((_kinds(seating, "seating", named=str(len(kept))), _kinds(root, "answer", named=str(len(kept))), before))
+
+    parts = rows.mapInArrow(ship(plan, True), SCHEMA)
+    for seated_, answers, _ in kept:
+        parts = parts.union(seated_).union(answers)
+    scores = parts.groupBy("bucket").applyInArrow(score(plan, [t for *_, t in kept], counts, tokens, outcomes), SCHEMA)
+    out = scores.groupBy("chunk").applyInArrow(add_up(trained_docs, tokens, outcomes), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(model.tokens)).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(tokens)).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
