@@ -58,6 +58,12 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def discard(df: DataFrame, part: str = "") -> None:
+    """Delete what ``saved`` wrote for ``df``, or the files of one partition (``column=value``), when no later step reads it."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{df._saved_at}/{part}".rstrip("/"))  # the store may be any that Spark reads
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def saved(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder (partitioned ``by`` a column) and read again: lineage ends here, and shuffles that led to it are freed."""
     spark = df.sparkSession
@@ -68,7 +74,9 @@ def saved(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
 def chunks(batches: Iterator, text: str, limit: int = CHUNK_BYTES) -> Iterator:

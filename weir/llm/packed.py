@@ -120,11 +120,13 @@ def narrow(x: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def wide(b: bytes, width: int) -> np.ndarray:
+def wide(b: bytes, width: int, size: int = 8) -> np.ndarray:
+    """Numbers of ``size`` bytes each."""
     raw = np.frombuffer(b, np.uint8).reshape(width, -1)
-    out = np.zeros((raw.shape[1], 8), np.uint8)
-    out[:, :width] = raw.T
-    return out.view("<u8").ravel()
+    out = np.zeros((raw.shape[1], size), np.uint8)
+    for k in range(width):
+        out[:, k] = raw[k]
+    return out.view(f"<u{size}").ravel()
 
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
@@ -143,11 +145,13 @@ def blob(*arrays: np.ndarray) -> bytes:
 
 
 def unblob(data: bytes) -> list[np.ndarray]:
+    """The arrays, unsigned and no wider than their numbers need."""
     raw = _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
     n = int.from_bytes(raw[:8], "little")
     at, out = 8 + 16 * n, []
     for length, width in np.frombuffer(raw, "<u8", 2 * n, 8).reshape(n, 2).tolist():
-        out.append(wide(raw[at : at + length * width], width) if width else np.zeros(length, U))
+        size = next(s for s in (1, 2, 4, 8) if s >= width)
+        out.append(wide(raw[at : at + length * width], width, size) if width else np.zeros(length, np.uint8))
         at += length * width
     return out
 

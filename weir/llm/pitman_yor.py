@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm import packed as P
-from weir.llm.common import chunks, saved
+from weir.llm.common import chunks, discard, saved
 from weir.llm.stirling import draw
 
 #: Discounts and strengths of the root, of one word and of two.
@@ -61,12 +61,14 @@ DISCOUNTS, STRENGTHS = (0.6, 0.75, 0.8), (10.0, 1.0, 1.0)
 BURN_IN, SAMPLES = 2, 2
 SEED = 20240501
 #: Bytes of text whose types make a bucket, and estimated tokens that split a last word.
-BUCKET_BYTES, HOT_TOKENS = 12 << 20, 2_000_000
+BUCKET_BYTES, HOT_TOKENS = 8 << 20, 2_000_000
 #: Share of the rows that words are counted in for that estimate.
 HOT_SHARE = 0.02
 END, START = P.U(0xE2D0E2D0E2D0E2D0), P.U(0x57A2757A2757A275)
 #: Scores are added up in units of 2**-32, as whole numbers, so that no order of adding matters.
 UNIT = 2.0**32
+#: Types that are scored in one step.
+STEP = 1 << 18
 
 ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("source", pa.int32()), ("a", pa.float64()), ("b", pa.float64()), ("data", pa.binary()), ("chunk", pa.binary())])
 SCHEMA = "kind string, bucket int, source int, a double, b double, data binary, chunk binary"
@@ -139,7 +141,7 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """The distinct words of a chunk, and of each token its row, and the numbers of its word and of the two before."""
     h, at = P.hashed_words(*P.flat(batch.column("text")), lower=True)
     n = np.diff(at) + 1
-    row = np.repeat(np.arange(len(n)), n)
+    row = np.repeat(np.arange(len(n), dtype=np.int32), n)
     last = np.cumsum(n) - 1
     word = np.full(len(row) + 1, END, P.U)
     inside = np.ones(len(row), bool)
@@ -147,6 +149,7 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     word[:-1][inside] = h
     word[-1] = START
     names, number = np.unique(word, return_inverse=True)
+    number = number.astype(np.int32)
     w, start, first = number[:-1], number[-1], last - n + 1
     v, x = np.empty_like(w), np.empty_like(w)
     v[1:], x[2:] = w[:-1], w[:-2]
@@ -164,7 +167,7 @@ def ship(plan: Plan, with_rows: bool):
             train = np.array([i is not None and not is_held_out(i) for i in ids], bool)
             names, row, v, w, x = _tokens(batch)
             key = triple_key(v, w, x, len(names))
-            order = np.lexsort((row, key)) if with_rows else np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, row = key[order], row[order]
             head = heads(key)
             count = np.add.reduceat(train[row].astype(np.int64), head) if len(head) else head
@@ -213,17 +216,22 @@ class Bucket:
 
 
 def merged(data: list[list[np.ndarray]]) -> Bucket:
-    names, number = np.unique(np.concatenate([d[0] for d in data]), return_inverse=True)
+    names, number = np.unique(np.concatenate([d[0].astype(P.U) for d in data]), return_inverse=True)
+    number = number.astype(np.int32)
     vs, ws, xs, at = [], [], [], 0
     for d in data:
         local = number[at : at + len(d[0])]
         at += len(d[0])
-        vs.append(np.repeat(local[d[1].astype(np.int64)], d[2].astype(np.int64)))
-        ws.append(local[d[3].astype(np.int64)])
-        xs.append(local[d[4].astype(np.int64)])
+        vs.append(np.repeat(local[d[1]], d[2].astype(np.int64)))
+        ws.append(local[d[3]])
+        xs.append(local[d[4]])
     v, w, x = map(np.concatenate, (vs, ws, xs))
     key = triple_key(v, w, x, len(names))
-    _, first, of = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(key)
+    head = heads(key[order])
+    of, first = np.empty(len(key), np.int32), order[head]
+    of[order] = np.repeat(np.arange(len(head), dtype=np.int32), sizes(head, len(key)))
+    del key, order
     count = np.bincount(of, np.concatenate([d[5] for d in data]).astype(np.float64), len(first)).astype(np.int64)
     return Bucket(names, v[first], w[first], x[first], count, np.split(of, np.cumsum([len(x) for x in xs])[:-1]))
 
@@ -269,7 +277,7 @@ class Seats:
     @classmethod
     def unpacked(cls, data: bytes) -> Seats:
         hashes = {"words", "live_key", "type_key"}
-        return cls(**{k: a if k in hashes else a.astype(np.int64) for k, a in zip(cls.__dataclass_fields__, P.unblob(data), strict=True)})
+        return cls(**{k: a.astype(P.U if k in hashes else np.int64) for k, a in zip(cls.__dataclass_fields__, P.unblob(data), strict=True)})
 
     def customers(self, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of live and of hot pairs, given the tables of types."""
@@ -430,7 +438,7 @@ def root_step(plan: Plan, sweep: int, before: Totals | None, outcomes: float):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         asked = [(source, P.unblob(data)) for source, data, _ in _of_kind(table, "request")]
-        words, of = np.unique(np.concatenate([d[0] for _, d in asked]), return_inverse=True)
+        words, of = np.unique(np.concatenate([d[0].astype(P.U) for _, d in asked]), return_inverse=True)
         places = np.split(of, np.cumsum([len(d[0]) for _, d in asked])[:-1])
         n = max(len(plan.hot), 1)
         keys = [places[k][d[3].astype(np.int64)] * n + d[2].astype(np.int64) for k, (_, d) in enumerate(asked)]
@@ -505,7 +513,9 @@ def score(plan: Plan, samples: list[Totals], counts: np.ndarray, tokens: float,
             of_context += np.bincount(at.context[at.several], tables, len(one))
             own = np.minimum(b.count, 1).astype(np.float64)
             own[at.several] = tables
-            mean += shrunk(2, b.count, own, customers[at.context], of_context[at.context], p1[at.pair])
+            for lo in range(0, len(mean), STEP):
+                j = slice(lo, lo + STEP)
+                mean[j] += shrunk(2, b.count[j], own[j], customers[at.context[j]], of_context[at.context[j]], p1[at.pair[j]])
         units = np.rint(-np.log10(mean / len(samples)) * UNIT)
         v_count = np.bincount(at.pair_v[at.pair], b.count, len(v_numbers))
         v_count = np.where(v_hot >= 0, counts[v_hot], v_count) if len(plan.hot) else v_count
@@ -531,6 +541,7 @@ def add_up(trained_docs: float, tokens: float, outcomes: float):
     def run(table: pa.Table) -> pa.Table:
         same = [data for _, data, _ in _of_kind(table, "head")]
         ids, there, n = P.unblob(same[0])
+        ids = ids.astype(P.U)
         sums = np.zeros((3, len(ids)), np.int64)
         for _, data, _ in _of_kind(table, "part"):
             docs, *values = P.unblob(data)
@@ -586,6 +597,7 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_byte
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     plan = plan_of(rows, bucket_bytes, hot_tokens, hot_share)
     keep = lambda df, what: saved(df, what, by="kind")
+    drop = lambda table, *kinds: [discard(table, f"kind={k}") for k in kinds]
 
     first = keep(rows.mapInArrow(ship(plan, False), SCHEMA).groupBy("bucket").applyInArrow(start(plan), SCHEMA), "seats")
     sums = _sums(first, len(plan.hot))
@@ -599,15 +611,22 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_byte
     seats, seating, kept, before, root = _kinds(first, "seats"), first, [], None, None
     for sweep in range(BURN_IN + SAMPLES + 1):
         if sweep:
-            known = [seats, _kinds(seating, "seating"), _kinds(root, "answer")]
-            seating = keep(known[0].union(known[1]).union(known[2]).groupBy("bucket").applyInArrow(sweep_step(plan, sweep, before), SCHEMA), "seating")
+            known = seats.union(_kinds(seating, "seating")).union(_kinds(root, "answer"))
+            last, seating = seating, keep(known.groupBy("bucket").applyInArrow(sweep_step(plan, sweep, before), SCHEMA), "seating")
+            if sweep <= BURN_IN + 1:  # was not kept
+                drop(last, "seating")
+                drop(root, "answer")
         asked = _kinds(seating, "request") if root is None else _kinds(seating, "request").union(_kinds(root, "root"))
-        root = keep(asked.groupBy("bucket").applyInArrow(root_step(plan, sweep, before, outcomes), SCHEMA), "root")
+        last, root = root, keep(asked.groupBy("bucket").applyInArrow(root_step(plan, sweep, before, outcomes), SCHEMA), "root")
+        drop(seating, "request")
+        if last is not None:
+            drop(last, "root")
         sums = _sums(root, len(plan.hot))
         before = Totals(sums[-1], np.array([sums[k] for k in range(len(plan.hot))]).reshape(-1, 2), outcomes)
         if sweep > BURN_IN:
             kept.append((_kinds(seating, "seating", named=str(len(kept))), _kinds(root, "answer", named=str(len(kept))), before))
 
+    drop(first, "seats")
     parts = rows.mapInArrow(ship(plan, True), SCHEMA)
     for seated_, answers, _ in kept:
         parts = parts.union(seated_).union(answers)

@@ -111,7 +111,7 @@ def _many(c: int, strength: float, p: float, d: float, u: float) -> int:
 
     low, high = 1, c
     while high - low >= GRID:
-        t = np.unique(np.rint(np.geomspace(low, high, 40)).astype(np.int64)) if low * 4 < high else np.unique(np.linspace(low, high, 40).astype(np.int64))
+        t = np.unique(np.rint(np.geomspace(low, high, 24)).astype(np.int64)) if low * 4 < high else np.unique(np.linspace(low, high, 24).astype(np.int64))
         w = weight(t)
         near = np.flatnonzero(w > w.max() - FAR)
         new = int(t[max(near[0] - 1, 0)]), int(t[min(near[-1] + 1, len(t) - 1)])
@@ -120,7 +120,7 @@ def _many(c: int, strength: float, p: float, d: float, u: float) -> int:
         low, high = new
     step = -(-(high - low + 1) // GRID)
     t = np.arange(low, high + 1, step)
-    w = weight(t)
+    w = weight(np.minimum(t + (step - 1) // 2, c))  # the middle stands for a step
     upto = np.cumsum(np.exp(w - w.max()))
     x = u * upto[-1]
     k = int(np.searchsorted(upto, x, "right"))
