@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,96 @@ def test_feedback(spark, tmp_path):
     q.stop()
     got = [(r.instance, r.data) for r in spark.read.parquet(f"{tmp_path}/loop").collect()]
     assert sorted(got) == [(i, d) for i in range(4) for d in range(4)]
+
+
+def counter(word="count"):
+    g = Graph("counter")
+    g.source("words", lambda s: s.createDataFrame([], "id long, word string"))
+    n = g.dynamic_node("mark").subscribe("words")
+    n.alternate("plain", 1.0, lambda df: df)
+    n.alternate("upper", 1.0, lambda df: df.withColumn("word", F.upper("word")))
+    n.use("plain")
+    g.node(word, lambda df: df.groupBy("word").agg(F.count("*").alias("n"))).reduce("mark", "word")
+    return g
+
+
+def test_reduce_nodes_count_on_over_batches_and_restarts(spark, folder):
+    path, put = folder
+    engine, seen = Engine(spark), {}
+    sinks = {"count": lambda df, i: seen.update({r.word: r.n for r in df.collect()})}
+    run = lambda: engine.submit("count", counter(), {"words": stream(spark, path)}, sinks, f"{path}/cp", ONCE)
+    run()
+    engine.wait("count")
+    assert seen == {"a": 3, "b": 3, "c": 3}
+    put("b", [(9, "a"), (10, "z")])
+    run()
+    engine.wait("count")
+    assert seen == {"a": 4, "b": 3, "c": 3, "z": 1}
+    put("c", [(11, "a")])
+    engine.switch_alternate("count", "mark", "upper")
+    run()
+    engine.wait("count")
+    assert seen["A"] == 1 and seen["a"] == 4
+    g = counter()
+    g.source("more", lambda s: s.createDataFrame([(1, "x")], "id long, word string"))
+    g.nodes["count"].reduce("more", "word")
+    with pytest.raises(InvalidAppError):
+        engine.submit("mixed", g, {"words": stream(spark, path)}, sinks, f"{path}/cp2", ONCE)
+
+
+def test_running_reduce_takes_a_switch(spark, folder):
+    path, put = folder
+    engine, seen = Engine(spark), {}
+    engine.submit("live", counter(), {"words": stream(spark, path)}, {"count": lambda df, i: seen.update({r.word: r.n for r in df.collect()})}, f"{path}/live", {"processingTime": "0 seconds"})
+
+    def until(ready):
+        for _ in range(300):
+            if ready():
+                return
+            time.sleep(0.1)
+        raise AssertionError(seen)
+
+    until(lambda: seen.get("a") == 3)
+    engine.switch_alternate("live", "mark", "upper")
+    put("b", [(20, "a")])
+    until(lambda: seen.get("A") == 1)
+    engine.kill("live")
+
+
+def test_static_sources_come_whole_and_signals_reach_bodies(spark, folder):
+    path, put = folder
+    g = Graph("static")
+    g.source("words", lambda s: s.createDataFrame([], "id long, word string"))
+    g.source("table", lambda s: s.createDataFrame([(100, "t"), (101, "t")], "id long, word string"))
+    g.node("all", lambda df, signal: df.withColumn("signal", F.lit(signal).cast("string"))).subscribe("words").subscribe("table")
+    engine, seen = Engine(spark), []
+    run = lambda: engine.submit("s", g, {"words": stream(spark, path)}, {"all": lambda df, i: seen.extend((r.word, r.signal) for r in df.collect())}, f"{path}/cp", ONCE)
+    run()
+    engine.wait("s")
+    assert len(seen) == 11 and seen.count(("t", None)) == 2
+    engine.signal("s", "all", "go")
+    put("b", [(9, "z")])
+    run()
+    engine.wait("s")
+    assert seen[11:] == [("z", "go")]
+
+
+def test_control_from_another_process(spark, folder, tmp_path, capsys):
+    from weir import cli
+
+    path, put = folder
+    control = f"{tmp_path}/control"
+    engine, seen, signals = Engine(spark, control), [], []
+    engine.submit("app", greeter(), {"words": stream(spark, path)}, {"plain": lambda df, i: seen.extend(r.out for r in df.collect())}, f"{path}/cp", ONCE, {"greet": signals.append})
+    engine.wait("app")
+    assert cli.main(["status", control, "app"]) == 0 and capsys.readouterr().out.strip() in ("RUNNING", "STARTING")
+    assert cli.main(["switch", control, "app", "greet", "welcome"]) == cli.main(["signal", control, "app", "greet", "hi"]) == cli.main(["scale", control, "app", "greet", "1"]) == 0
+    put("b", [(9, "z")])
+    engine.poll("app")
+    engine.submit("app", engine.apps["app"].graph, {"words": stream(spark, path)}, {"plain": lambda df, i: seen.extend(r.out for r in df.collect())}, f"{path}/cp", ONCE, {"greet": signals.append})
+    engine.wait("app")
+    assert seen[-1] == "Welcome z" and signals == ["hi"] and engine.apps["app"].graph.nodes["greet"].instances == 2
+    cli.main(["kill", control, "app"])
+    engine.poll("app")
+    assert engine.status("app") is Status.TERMINATED and engine.control.reported("app") == "TERMINATED"
+    assert cli.main(["status", control, "none"]) == 1

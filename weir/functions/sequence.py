@@ -1,9 +1,10 @@
 """Order without a single task: sequence numbers, running folds and last values over a numeric key.
 
-A window without partitions would pull every row into one task. Here the key's
-range is cut into equal cells (a function of the key alone, so retries agree),
-each cell is ordered on its own, and what came before a cell is a window over the
-small table of cells.
+A window without partitions would pull every row into one task. Here the rows are
+cut into cells at quantiles of the key (a function of the key alone, so retries
+agree, and an outlier moves no other row), each cell is ordered on its own, and
+what came before a cell is a window over the small table of cells. Rows of equal
+keys are ordered by a hash of all their columns.
 """
 
 from __future__ import annotations
@@ -15,14 +16,34 @@ from pyspark.sql import functions as F
 CELL_ROWS, MAX_CELLS = 100_000, 10_000
 
 
+#: How many bounds one step of the search for a cell compares.
+FAN = 32
+
+
 def cell_of(df: DataFrame, key: str, cell_rows: int = CELL_ROWS) -> Column:
-    """The cell of each row of ``df``; null keys are in cell -1, before all others."""
-    low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    if low is None:
-        return F.lit(-1).cast("bigint")
-    cells = min(MAX_CELLS, max(1, n // cell_rows))
-    width = max(1, -(-(high - low + 1) // cells))
-    return F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("bigint")
+    """The cell of each row of ``df``: how many quantiles of the key are at or below it; null keys are in cell -1, before all others."""
+    cells = min(MAX_CELLS, df.count() // cell_rows)
+    bounds = sorted(set(df.approxQuantile(key, [k / cells for k in range(1, cells)], 0.2 / cells))) if cells > 1 else []
+    k = F.col(key).cast("double")
+    if not bounds:
+        return F.when(k.isNull(), -1).otherwise(0).cast("bigint")
+    table = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")
+    steps = [1]
+    while steps[-1] * FAN <= len(bounds):
+        steps.append(steps[-1] * FAN)
+    at = F.lit(0)
+    for step in reversed(steps):  # as many whole steps further as have bounds at or below the key
+        at = at + step * _ends_below(table, at, step, FAN if step == steps[-1] else FAN - 1, k)
+    return F.when(k.isNull(), -1).otherwise(at).cast("bigint")
+
+
+def _ends_below(table: Column, at: Column, step: int, n: int, k: Column) -> Column:
+    ends = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.get(table, at + j * step - 1))
+    return F.size(F.filter(ends, lambda b: b <= k))
+
+
+def _in_order(df: DataFrame, key: str) -> list[Column]:
+    return [F.col(key), F.xxhash64(*[c for c in df.columns if not c.startswith("__")])]
 
 
 def _before(cells: DataFrame, by: list[str], value: Column) -> DataFrame:
@@ -37,7 +58,7 @@ def with_sequence(df: DataFrame, key: str, name: str = "seq", cell_rows: int = C
     """``df`` with ``name``: 1, 2, ... in order of the numeric ``key``."""
     df = df.withColumn("__cell", cell_of(df, key, cell_rows))
     cells = _before(df.groupBy("__cell").agg(F.count("*").alias("__n")), [], F.sum("__n"))
-    here = F.row_number().over(Window.partitionBy("__cell").orderBy(key)).cast("bigint")
+    here = F.row_number().over(Window.partitionBy("__cell").orderBy(*_in_order(df, key))).cast("bigint")
     numbered = df.join(F.broadcast(cells.select("__cell", "__before")), "__cell")
     return numbered.withColumn(name, here + F.coalesce("__before", F.lit(0))).drop("__cell", "__before")
 
@@ -48,7 +69,7 @@ def running(df: DataFrame, by: str, key: str, total: str, name: str, cell_rows:
     The running fold of a sum-like state: whole cells are pre-aggregated, so a hot key is spread over its cells."""
     df = df.withColumn("__cell", cell_of(df, key, cell_rows)).withColumn("__by", F.col(by))
     cells = _before(df.groupBy("__by", "__cell").agg(F.sum(total).alias("__n")), ["__by"], F.sum("__n"))
-    here = F.sum(total).over(Window.partitionBy("__by", "__cell").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    here = F.sum(total).over(Window.partitionBy("__by", "__cell").orderBy(*_in_order(df, key)).rowsBetween(Window.unboundedPreceding, 0))
     cells = cells.select(F.col("__by").alias("__b"), F.col("__cell").alias("__c"), "__before")
     joined = df.withColumn("__here", here).join(cells, F.col("__by").eqNullSafe(F.col("__b")) & (F.col("__cell") == F.col("__c")))
     return joined.withColumn(name, F.col("__here") + F.coalesce("__before", F.lit(0))).drop("__cell", "__by", "__here", "__b", "__c", "__before")
@@ -59,5 +80,5 @@ def last_before(df: DataFrame, key: str, value: Column, name: str, cell_rows: in
     df = df.withColumn("__cell", cell_of(df, key, cell_rows)).withColumn("__value", value)
     lasts = df.groupBy("__cell").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(key))).alias("__last"))
     cells = _before(lasts, [], F.last("__last", ignorenulls=True)).select("__cell", "__before")
-    here = F.last("__value", ignorenulls=True).over(Window.partitionBy("__cell").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    here = F.last("__value", ignorenulls=True).over(Window.partitionBy("__cell").orderBy(*_in_order(df, key)).rowsBetween(Window.unboundedPreceding, 0))
     return df.join(F.broadcast(cells), "__cell").withColumn(name, F.coalesce(here, "__before")).drop("__cell", "__value", "__before")

@@ -21,6 +21,8 @@ def iterate(seed: DataFrame, body: Callable[[DataFrame], DataFrame], rounds: int
     spark = seed.sparkSession
     if rounds > cut_every and not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     for k in range(1, rounds + 1):
         seed = body(seed)

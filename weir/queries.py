@@ -7,18 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weir.functions.murmur import murmur3
 from weir.operators import control, loops, metrics, placement, recovery, routing, split_merge, state
 from weir.plans.compile import run_batch
 from weir.plans.graph import Graph
 from weir.sources import words as word_sources
 from weir.sources.tables import table
-from weir.sources.text import tokens, with_skew
+from weir.sources.text import replayed_counts, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-NAMES = ["John", "Jane", "Maverick", "Alok", "Jack"]
-BOYS, GIRLS = ["John", "James", "Sherlock"], ["Irene", "Molly"]
+FRUITS = ["quince", "fig", "medlar", "plum", "sloe"]
+NORTH, SOUTH = ["bilberry", "rowan", "sloe"], ["olive", "carob"]
 #: A ring of three workers, and the same after a fourth joins.
 RING = [("A", -1_000_000_000), ("B", 0), ("C", 1_000_000_000)]
 GROWN = [*RING, ("D", 500_000_000)]
@@ -62,17 +63,17 @@ def _hash(c: str) -> Column:
 # --- sources ---------------------------------------------------------------
 
 
-@query("SELECT i AS id, ['John', 'Jane', 'Maverick', 'Alok', 'Jack'][i % 5 + 1] AS word FROM range(1000) t(i)")
+@query("SELECT i AS id, ['quince', 'fig', 'medlar', 'plum', 'sloe'][i % 5 + 1] AS word FROM range(1000) t(i)")
 def word_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_sources.words(spark, NAMES, 1000)
+    return word_sources.words(spark, FRUITS, 1000)
 
 
 @query("""
-    SELECT i AS id, CASE WHEN i % 2 = 0 THEN 'boys' ELSE 'girls' END AS stream,
-           CASE WHEN i % 2 = 0 THEN ['John', 'James', 'Sherlock'][(i // 2) % 3 + 1] ELSE ['Irene', 'Molly'][(i // 2) % 2 + 1] END AS word
+    SELECT i AS id, CASE WHEN i % 2 = 0 THEN 'north' ELSE 'south' END AS stream,
+           CASE WHEN i % 2 = 0 THEN ['bilberry', 'rowan', 'sloe'][(i // 2) % 3 + 1] ELSE ['olive', 'carob'][(i // 2) % 2 + 1] END AS word
     FROM range(1000) t(i)""")
 def two_stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_sources.two_streams(spark, "boys", "girls", BOYS, GIRLS, 1000).withColumnRenamed("_stream", "stream")
+    return word_sources.two_streams(spark, "north", "south", NORTH, SOUTH, 1000).withColumnRenamed("_stream", "stream")
 
 
 @query(f"SELECT word, count(*)::BIGINT AS n FROM ({TOKENS}) GROUP BY word")
@@ -82,8 +83,7 @@ def file_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest([word, 'the', 'the']) AS word FROM ({TOKENS})) GROUP BY word")
 def file_replay_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
-    skewed = with_skew(tokens(F.col("text")))
-    return table(spark, sf_dir, "documents").select(F.explode(skewed).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return replayed_counts(file_tokens(spark, sf_dir))
 
 
 # --- nodes -----------------------------------------------------------------
@@ -151,13 +151,38 @@ def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_batch(g, spark)["all"]
 
 
-@query("""
-    SELECT c_name AS name, ((row_number() OVER (ORDER BY c_custkey) - 1) % 2)::INT AS instance, 'round_robin' AS edge FROM customer
-    UNION ALL SELECT s_name, (s_suppkey % 2)::INT, 'reduce' FROM supplier""")
+#: murmur3 of the eight digits of a number, as SQL: two words of four bytes, then the length.
+MURMUR_SQL = """
+    d AS (SELECT *, list_transform(string_split(digits, ''), lambda c: ascii(c)::HUGEINT) AS b FROM keys),
+    k AS (SELECT *, (b[1] + b[2] * 256 + b[3] * 65536 + b[4] * 16777216) * 3432918353 % 4294967296 AS k1,
+                    (b[5] + b[6] * 256 + b[7] * 65536 + b[8] * 16777216) * 3432918353 % 4294967296 AS k2 FROM d),
+    r AS (SELECT *, (k1 * 32768 % 4294967296 + k1 // 131072) * 461845907 % 4294967296 AS x1, (k2 * 32768 % 4294967296 + k2 // 131072) * 461845907 % 4294967296 AS x2 FROM k),
+    h1 AS (SELECT *, ((x1 * 8192 % 4294967296 + x1 // 524288) * 5 + 3864292196) % 4294967296 AS y1 FROM r),
+    h2 AS (SELECT *, xor(y1, x2) AS z FROM h1),
+    h3 AS (SELECT *, xor(((z * 8192 % 4294967296 + z // 524288) * 5 + 3864292196) % 4294967296, 8::HUGEINT) AS f FROM h2),
+    f1 AS (SELECT *, xor(f, f // 65536) * 2246822507 % 4294967296 AS f_ FROM h3),
+    f2 AS (SELECT *, xor(f_, f_ // 8192) * 3266489909 % 4294967296 AS f__ FROM f1),
+    m AS (SELECT *, xor(f__, f__ // 65536) AS u FROM f2),
+    hashed AS (SELECT *, (CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END)::BIGINT AS h FROM m)"""
+
+
+def _digits(c: str) -> Column:
+    return F.lpad(F.col(c).cast("string"), 8, "0")
+
+
+@query(f"""
+    WITH keys AS (SELECT s_name AS name, lpad(s_suppkey::VARCHAR, 8, '0') AS digits FROM supplier), {MURMUR_SQL}
+    SELECT c_name AS name, ((row_number() OVER (ORDER BY c_custkey) - 1) % 2)::INT AS instance, NULL::INT AS hash FROM customer
+    UNION ALL SELECT name, (((h % 2) + 2) % 2)::INT, h::INT FROM hashed""")
 def merge_mixed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt = routing.round_robin(table(spark, sf_dir, "customer"), "c_custkey", 2).select(F.col("c_name").alias("name"), "instance", F.lit("round_robin").alias("edge"))
-    keyed = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 2).cast("int").alias("instance"), F.lit("reduce").alias("edge"))
-    return dealt.unionByName(keyed)
+    """One node that reads one predecessor round robin and another by key, whose envelope carries the key's murmur3."""
+    g = Graph("mixed")
+    g.source("customers", lambda s: table(s, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name")))
+    g.source("suppliers", lambda s: table(s, sf_dir, "supplier").select(_digits("s_suppkey").alias("key"), F.col("s_name").alias("name")))
+    node = g.node("print", lambda df: df.select("name", F.coalesce("instance", F.pmod("_hash", F.lit(2))).cast("int").alias("instance"), F.col("_hash").alias("hash")))
+    node.subscribe_with("customers", lambda df, n: routing.round_robin(df, "c_custkey", n))
+    node.reduce("suppliers", "key", envelope=lambda df: routing.with_envelope(df, "key")).parallelism(2)
+    return run_batch(g, spark)["print"]
 
 
 # --- dispersion ------------------------------------------------------------
@@ -181,6 +206,16 @@ def ring_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.with_owner(table(spark, sf_dir, "events"), _ring(spark, RING), _hash("user_id")).select("event_id", "worker")
 
 
+@query(f"""
+    WITH keys AS (SELECT DISTINCT user_id, lpad(user_id::VARCHAR, 8, '0') AS digits FROM events), {MURMUR_SQL}
+    SELECT event_id, h::INT AS hash, {_owner_sql(RING, 'h')} AS worker FROM events JOIN hashed USING (user_id)""")
+def ring_owner_murmur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owner on the ring by the standard hash; each key is hashed once."""
+    keys = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("hash", murmur3(_digits("user_id")))
+    owned = routing.with_owner(keys, _ring(spark, RING), F.col("hash"))
+    return table(spark, sf_dir, "events").join(owned, "user_id").select("event_id", "hash", "worker")
+
+
 @query("""
     WITH c AS (SELECT event_id AS seq, 'w' || (user_id % 7) AS worker, (event_id * 31 % 11)::BIGINT AS token FROM events),
     r AS (SELECT token, worker, row_number() OVER (PARTITION BY token ORDER BY seq DESC) AS t, row_number() OVER (PARTITION BY worker ORDER BY seq DESC) AS w FROM c)
@@ -298,6 +333,16 @@ def loop_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loops.counted_loop(spark, 4, 50)
 
 
+@query("SELECT user_id, count(*)::BIGINT * 4 AS n, sum(event_id * 4 + 10)::BIGINT AS total FROM events GROUP BY user_id")
+def loop_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node that reads itself for three rounds, and a reduce node that reads all rounds."""
+    g = Graph("loop")
+    g.source("events", lambda s: table(s, sf_dir, "events").select("user_id", F.col("event_id").alias("data")))
+    g.node("loop", lambda df: df.withColumn("data", F.col("data") + 1)).subscribe("events").feedback("loop", 3)
+    g.node("sums", lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("data").alias("total"))).reduce("loop", "user_id")
+    return run_batch(g, spark)["sums"]
+
+
 # --- elasticity ------------------------------------------------------------
 
 
@@ -375,15 +420,14 @@ def state_size_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH u AS (SELECT DISTINCT user_id, {HASH.format('user_id')} AS h FROM events),
-    o AS (SELECT user_id, {_owner_sql(RING, 'h')} AS old FROM u WHERE user_id % 5 <> 0), n AS (SELECT user_id, {_owner_sql(GROWN, 'h')} AS new FROM u WHERE user_id % 7 <> 0)
+    WITH u AS (SELECT user_id, {HASH.format('user_id')} AS h, bool_or(event_type = 'purchase') AS buys FROM events GROUP BY ALL),
+    o AS (SELECT user_id, {_owner_sql(RING, 'h')} AS old FROM u), n AS (SELECT user_id, {_owner_sql(GROWN, 'h')} AS new FROM u WHERE buys)
     SELECT * FROM (SELECT user_id, old, new, CASE WHEN old IS NULL THEN 'add' WHEN new IS NULL THEN 'remove' WHEN old <> new THEN 'move' END AS change
     FROM o FULL JOIN n USING (user_id)) WHERE change IS NOT NULL""")
 def mapping_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    old = routing.with_owner(users.where("user_id % 5 <> 0"), _ring(spark, RING), _hash("user_id"))
-    new = routing.with_owner(users.where("user_id % 7 <> 0"), _ring(spark, GROWN), _hash("user_id"))
-    return recovery.mapping_delta(old, new, "user_id", "worker")
+    buyers = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id").distinct()
+    return recovery.mapping_delta(routing.with_owner(users, _ring(spark, RING), _hash("user_id")), routing.with_owner(buyers, _ring(spark, GROWN), _hash("user_id")), "user_id", "worker")
 
 
 @query(f"""
@@ -431,3 +475,51 @@ def beyond_tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def beyond_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")))
+
+
+@query("SELECT event_id, unnest([time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') - INTERVAL '1 hour']) AS start FROM events")
+def beyond_sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.window("ts", "2 hours", "1 hour")
+    return table(spark, sf_dir, "events").select("event_id", w.alias("w")).select("event_id", F.col("w.start").alias("start"))
+
+
+@query("""
+    WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '30 minutes', true)::INT AS new FROM events),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+    SELECT user_id, min(ts) AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
+def beyond_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("SELECT e.event_id, p.event_id AS purchase FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.event_id >= p.event_id")
+def beyond_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its user's latest purchase at or before it: one shuffle by user, no pairs."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return table(spark, sf_dir, "events").select("event_id", F.last(bought, ignorenulls=True).over(w).alias("purchase"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def beyond_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+
+
+@query("SELECT c_nationkey AS nation FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def beyond_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).exceptAll(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")))
+
+
+@query("SELECT (props->>'k')::BIGINT AS n, count(*)::BIGINT AS events FROM events GROUP BY 1")
+def beyond_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.get_json_object("props", "$.k").cast("bigint").alias("n")
+    return table(spark, sf_dir, "events").groupBy(n).agg(F.count("*").alias("events"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def beyond_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each partition keeps its hundred, and those meet."""
+    return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_totalprice").limit(100)

@@ -21,6 +21,12 @@ def with_skew(found: Column, word: str = "the", times: int = 2) -> Column:
     return F.flatten(F.transform(found, lambda t: F.array(t, *[F.lit(word)] * times)))
 
 
+def replayed_counts(counts: DataFrame, word: str = "the", times: int = 2) -> DataFrame:
+    """What counting the replayed form gives, from (word, n) of the plain tokens: no copy of a token is ever a row."""
+    rows = counts.union(counts.agg(F.sum("n").alias("n")).where(F.col("n") > 0).select(F.lit(word).alias("word"), (F.col("n") * times).alias("n")))
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def text_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of files as they appear in a folder."""
     return spark.readStream.text(folder)

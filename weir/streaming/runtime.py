@@ -1,10 +1,18 @@
 """Applications: graphs that run on streams, with status, signals, switching, scaling and stop.
 
-Each streaming source is one query. Its micro-batches pass the compiled graph as
-bounded DataFrames in one ``foreachBatch``, so that splits read their input once
-and every sink of a batch is written before the batch counts as done. Control
-rows are looked up at the start of each batch. Stateful nodes belong upstream, in
-the source's DataFrame (``streaming.state``).
+Sinks without a reduce edge on their way share one query for each streaming
+source. Its micro-batches pass the compiled graph as bounded DataFrames in one
+``foreachBatch``, so that splits read their input once and every sink of a batch
+is written before the batch counts as done. Control rows are looked up at the
+start of each batch. A source of the graph that is not a stream comes whole, with
+the first batch.
+
+A sink behind a reduce edge is a query of its own: the graph is compiled on the
+streaming DataFrames, so that a reduce node's aggregation is Spark's, with its
+state in the state store and the checkpoint, and counts go on from batch to batch
+and over restarts. The sink gets the groups that changed. Its plan is fixed while
+it runs: a switch, a scaling or a signal restarts the query from its checkpoint.
+Such a sink cannot also read a source that is not a stream.
 """
 
 from __future__ import annotations
@@ -41,8 +49,9 @@ class App:
     teardown: dict[str, Callable[[], None]]
     queries: dict[str, StreamingQuery] = field(default_factory=dict)
     handled: dict[str, float] = field(default_factory=dict)
+    restart: dict[str, Callable[[], StreamingQuery]] = field(default_factory=dict)
     stopped: bool = False
-    lock: threading.Lock = field(default_factory=threading.Lock)
+    lock: threading.RLock = field(default_factory=threading.RLock)
 
 
 class Rates(StreamingQueryListener):
@@ -72,8 +81,8 @@ class Rates(StreamingQueryListener):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession):
-        self.spark, self.control, self.apps, self.rates = spark, ControlTable(), {}, Rates()
+    def __init__(self, spark: SparkSession, control_folder: str | None = None):
+        self.spark, self.control, self.apps, self.rates = spark, ControlTable(control_folder), {}, Rates()
         spark.streams.addListener(self.rates)
 
     def submit(
@@ -95,30 +104,75 @@ class Engine:
             self._node(graph, node)
         if not inputs or not sinks:
             raise InvalidAppError("an application needs a streaming input and a sink")
+        keyed = [s for s in sinks if any(e.kind == "reduce" for n in graph.upstream(s) for e in graph.nodes[n].edges)]
+        for s in keyed:
+            if still := [n for n in graph.upstream(s) if graph.nodes[n].source is not None and n not in inputs]:
+                raise InvalidAppError(f"{s} is behind a reduce edge and reads {', '.join(still)}, which is not a stream")
         app = self.apps[name] = App(graph, sinks, on_signal or {}, teardown or {})
-        for source, df in inputs.items():
-            writer = df.writeStream.queryName(f"{name}.{source}").option("checkpointLocation", f"{checkpoint}/{source}")
-            app.queries[source] = writer.foreachBatch(self._batch(name, app, source, df)).trigger(**(trigger or {"processingTime": "1 second"})).start()
+        every = trigger or {"processingTime": "1 second"}
+        self._apply_controls(name, app)
+        for k, (source, df) in enumerate(inputs.items()):
+            if plain := [s for s in sinks if s not in keyed]:
+                writer = df.writeStream.queryName(f"{name}.{source}").option("checkpointLocation", f"{checkpoint}/{source}")
+                app.queries[source] = writer.foreachBatch(self._batch(name, app, source, set(inputs), plain, k == 0)).trigger(**every).start()
+        for s in keyed:
+
+            def begin(s=s) -> StreamingQuery:
+                df = compile_graph(graph, self.spark, dict(inputs))[s]
+                writer = df.writeStream.queryName(f"{name}.{s}").option("checkpointLocation", f"{checkpoint}/{s}.keyed").outputMode("update")
+                return writer.foreachBatch(sinks[s]).trigger(**every).start()
+
+            app.restart[s] = begin
+            app.queries[s] = begin()
+        self.control.report(name, self.status(name).value)
         return app
 
-    def _batch(self, name: str, app: App, source: str, streamed: DataFrame) -> Sink:
-        schemas = {s: streamed.schema for s in [source]}
-
+    def _batch(self, name: str, app: App, source: str, streams: set[str], sinks: list[str], first: bool) -> Sink:
         def run(batch: DataFrame, batch_id: int) -> None:
             with app.lock:
                 self._apply_controls(name, app)
                 spark = batch.sparkSession
-                others = {n.name: n.source(spark).limit(0) for n in app.graph.nodes.values() if n.source is not None and n.name not in schemas}
-                outputs = compile_graph(app.graph, spark, {source: batch, **others})
+                others = {}
+                for n in app.graph.nodes.values():
+                    if n.source is not None and n.name != source:
+                        rows = n.source(spark)
+                        others[n.name] = rows if first and batch_id == 0 and n.name not in streams else rows.limit(0)
                 batch.persist()
                 try:
-                    for node, sink in app.sinks.items():
-                        sink(outputs[node], batch_id)
+                    outputs = compile_graph(app.graph, spark, {source: batch, **others})
+                    for node in sinks:
+                        app.sinks[node](outputs[node], batch_id)
                 finally:
                     batch.unpersist()
+            self.control.report(name, self.status(name).value)
 
         return run
 
+    def poll(self, name: str) -> None:
+        """Take the control rows that other processes sent; batches do it too. Restarts what has a fixed plan."""
+        app = self._app(name)
+        for row in self.control.receive(name):
+            if row.kind == "kill":
+                self.kill(name)
+            elif row.kind == "signal":
+                self.signal(name, row.node, row.payload)
+            elif row.kind == "alternate":
+                self.switch_alternate(name, row.node, row.payload)
+            elif row.kind == "scale":
+                self.scale(name, row.node, row.payload)
+        if not app.stopped:
+            self.control.report(name, self.status(name).value)
+
+    def _changed(self, name: str, node: str) -> None:
+        """Restart the running queries of fixed plan that ``node`` is part of."""
+        app = self._app(name)
+        for s, begin in app.restart.items():
+            if node in app.graph.upstream(s) and app.queries[s].isActive:
+                app.queries[s].stop()
+                with app.lock:
+                    self._apply_controls(name, app)
+                app.queries[s] = begin()
+
     def _apply_controls(self, name: str, app: App) -> None:
         for node in app.graph.nodes.values():
             if (c := self.control.get(name, node.name, "alternate")) and node.active != c.payload:
@@ -128,6 +182,7 @@ class Engine:
             c = self.control.get(name, node.name, "signal")
             if c and app.handled.get(node.name) != c.at:
                 app.handled[node.name] = c.at
+                node.signal = c.payload
                 if handler := app.on_signal.get(node.name):
                     handler(c.payload)
 
@@ -144,15 +199,17 @@ class Engine:
         return found
 
     def signal(self, name: str, node: str, payload: object) -> None:
-        """Every instance of the node sees the latest payload before its next batch."""
-        self._node(self._app(name).graph, node)
-        self.control.put(name, node, "signal", payload)
+        """The node's handler and its body, on all instances, see the latest payload from the next batch on."""
+        found = self._node(self._app(name).graph, node)
+        self.control.put(name, found.name, "signal", payload)
+        self._changed(name, found.name)
 
     def switch_alternate(self, name: str, node: str, alternate: str) -> None:
         found = self._node(self._app(name).graph, node)
         if alternate not in found.alternates:
             raise AlternateNotFoundError(f"{node} has no alternate {alternate}")
         self.control.put(name, found.name, "alternate", alternate)
+        self._changed(name, found.name)
 
     def scale(self, name: str, node: str, change: int) -> int:
         """More or fewer instances from the next batch on; gives the new number."""
@@ -162,6 +219,7 @@ class Engine:
         if n > self.spark.sparkContext.defaultParallelism:
             raise InsufficientResourcesError(f"{n} instances asked for, {self.spark.sparkContext.defaultParallelism} cores")
         self.control.put(name, found.name, "scale", n)
+        self._changed(name, found.name)
         return n
 
     def status(self, name: str) -> Status:
@@ -186,6 +244,7 @@ class Engine:
         for hook in app.teardown.values():
             hook()
         self.control.drop(name)
+        self.control.report(name, Status.TERMINATED.value)
 
     @staticmethod
     def ping(text: str) -> str:
