@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,27 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of text that make a bucket of a large table, and the least that do where there are shuffle partitions to fill.
+LARGE_BUCKET, SMALL_BUCKET = 64 << 20, 2 << 20
+
+
+def bucket_count(docs: DataFrame, text: str = "text") -> int:
+    """How many buckets the packed rows of ``docs`` are dealt to: by the bytes of its texts, so that a bucket does not grow with the input."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(1, -(-total // LARGE_BUCKET), min(partitions(docs.sparkSession), -(-total // SMALL_BUCKET)))
+
+
+def per_bucket(rows: DataFrame, buckets: int, run: Callable[[pa.Table], pa.Table], schema, column: str = "bucket") -> DataFrame:
+    """``run`` of all rows of each bucket together: a partition, and so a task, for every bucket, without a sort."""
+
+    def task(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    return rows.repartitionById(buckets, F.col(column)).mapInArrow(task, schema)
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors and the driver share. On a local master only, the warehouse stands in for it."""
     top = spark.conf.get("spark.checkpoint.dir", None)
@@ -94,6 +117,4 @@ def chunks(batches: Iterator, text: str, limit: int = CHUNK_BYTES) -> Iterator:
 
 
 def _byte_lengths(column) -> list:
-    import pyarrow.compute as pc
-
     return pc.binary_length(column).to_pylist()

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm import packed as P
-from weir.llm.common import chunks, discard, saved
+from weir.llm.common import chunks, discard, per_bucket, saved
 from weir.llm.stirling import draw
 
 #: Discounts and strengths of the root, of one word and of two.
@@ -61,14 +61,14 @@ DISCOUNTS, STRENGTHS = (0.6, 0.75, 0.8), (10.0, 1.0, 1.0)
 BURN_IN, SAMPLES = 2, 2
 SEED = 20240501
 #: Bytes of text whose types make a bucket, and estimated tokens that split a last word.
-BUCKET_BYTES, HOT_TOKENS = 8 << 20, 2_000_000
+BUCKET_BYTES, HOT_TOKENS = 12 << 20, 2_000_000
 #: Share of the rows that words are counted in for that estimate.
 HOT_SHARE = 0.02
 END, START = P.U(0xE2D0E2D0E2D0E2D0), P.U(0x57A2757A2757A275)
 #: Scores are added up in units of 2**-32, as whole numbers, so that no order of adding matters.
 UNIT = 2.0**32
-#: Types that are scored in one step.
-STEP = 1 << 18
+#: Types that are scored in one step, and bytes of text that make a chunk.
+STEP, CHUNK = 1 << 18, 12 << 20
 
 ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("source", pa.int32()), ("a", pa.float64()), ("b", pa.float64()), ("data", pa.binary()), ("chunk", pa.binary())])
 SCHEMA = "kind string, bucket int, source int, a double, b double, data binary, chunk binary"
@@ -162,7 +162,7 @@ def ship(plan: Plan, with_rows: bool):
     """Packed types of each chunk for each bucket; ``with_rows`` the rows that have them too, and a head with the chunk's ids."""
 
     def run(batches):
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             ids = batch.column("key").to_pylist()
             train = np.array([i is not None and not is_held_out(i) for i in ids], bool)
             names, row, v, w, x = _tokens(batch)
@@ -174,7 +174,8 @@ def ship(plan: Plan, with_rows: bool):
             many = sizes(head, len(key))
             v, w, x = v[order][head], w[order][head], x[order][head]
             bucket = plan.bucket(names[v], names[x])
-            by = np.argsort(bucket, kind="stable")
+            by = np.argsort(bucket.astype(np.uint16) if plan.buckets < 65536 else bucket, kind="stable")
+            rank = np.zeros(len(names), np.int32)
             chunk, out = b"", []
             if with_rows:
                 data, offsets = P.flat(batch.column("text"))
@@ -186,13 +187,13 @@ def ship(plan: Plan, with_rows: bool):
             cut = heads(bucket[by])
             for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(by)][: len(cut)], strict=True):
                 k = by[lo:hi]
-                used, local, times = np.unique(np.concatenate((v[k], w[k], x[k])), return_inverse=True, return_counts=True)
-                frequent = np.argsort(-times, kind="stable")  # small numbers for frequent words
-                rank = np.empty_like(frequent)
-                rank[frequent] = np.arange(len(frequent))
-                a, b, c = np.split(rank[local], 3)
+                a, b, c = v[k], w[k], x[k]
+                times = sum(np.bincount(y, minlength=len(names)) for y in (a, b, c))
+                used = np.flatnonzero(times)
+                used = used[np.argsort(-times[used])]  # small numbers for frequent words
+                rank[used] = np.arange(len(used), dtype=np.int32)
                 run_ = heads(a)
-                fields = [names[used[frequent]], a[run_], sizes(run_, len(a)), b, c, count[k]]
+                fields = [names[used], rank[a[run_]], sizes(run_, len(a)), rank[b], rank[c], count[k]]
                 if with_rows:
                     m = many[k]
                     at = np.repeat(head[k], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
@@ -599,7 +600,9 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_byte
     keep = lambda df, what: saved(df, what, by="kind")
     drop = lambda table, *kinds: [discard(table, f"kind={k}") for k in kinds]
 
-    first = keep(rows.mapInArrow(ship(plan, False), SCHEMA).groupBy("bucket").applyInArrow(start(plan), SCHEMA), "seats")
+    each = lambda df, step: per_bucket(df, plan.buckets, step, SCHEMA)
+
+    first = keep(each(rows.mapInArrow(ship(plan, False), SCHEMA), start(plan)), "seats")
     sums = _sums(first, len(plan.hot))
     counts = np.array([sums[k][0] for k in range(len(plan.hot))])
     start_at = plan.hot_number(np.array([START]))[0]
@@ -612,12 +615,12 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_byte
     for sweep in range(BURN_IN + SAMPLES + 1):
         if sweep:
             known = seats.union(_kinds(seating, "seating")).union(_kinds(root, "answer"))
-            last, seating = seating, keep(known.groupBy("bucket").applyInArrow(sweep_step(plan, sweep, before), SCHEMA), "seating")
+            last, seating = seating, keep(each(known, sweep_step(plan, sweep, before)), "seating")
             if sweep <= BURN_IN + 1:  # was not kept
                 drop(last, "seating")
                 drop(root, "answer")
         asked = _kinds(seating, "request") if root is None else _kinds(seating, "request").union(_kinds(root, "root"))
-        last, root = root, keep(asked.groupBy("bucket").applyInArrow(root_step(plan, sweep, before, outcomes), SCHEMA), "root")
+        last, root = root, keep(each(asked, root_step(plan, sweep, before, outcomes)), "root")
         drop(seating, "request")
         if last is not None:
             drop(last, "root")
@@ -630,7 +633,7 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_byte
     parts = rows.mapInArrow(ship(plan, True), SCHEMA)
     for seated_, answers, _ in kept:
         parts = parts.union(seated_).union(answers)
-    scores = parts.groupBy("bucket").applyInArrow(score(plan, [t for *_, t in kept], counts, tokens, outcomes), SCHEMA)
+    scores = each(parts, score(plan, [t for *_, t in kept], counts, tokens, outcomes))
     out = scores.groupBy("chunk").applyInArrow(add_up(trained_docs, tokens, outcomes), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(tokens)).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

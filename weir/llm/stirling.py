@@ -24,7 +24,8 @@ GRID = 512
 LOST = 10.0
 #: Weights below exp(-FAR) of the largest are negligible.
 FAR = 45.0
-CELLS = 1 << 20
+#: Numbers that one step works on, and tables that are tried before all are.
+CELLS, FEW = 1 << 18, 48
 
 
 @lru_cache(maxsize=4)
@@ -144,13 +145,22 @@ def draw(c: np.ndarray, strength: np.ndarray, p: np.ndarray, d: float, u: np.nda
             for i in order[lo:hi].tolist():
                 out[i] = _many(n, float(strength[i]), float(p[i]), d, float(u[i]))
         else:
-            step = max(1, CELLS // n)
-            for at in range(lo, hi, step):
-                i = order[at : min(at + step, hi)]
-                w = np.log((strength[i, None] + d * np.arange(n)) * p[i, None])
-                w[:, 0] = 0.0
-                w = np.cumsum(w, axis=1) + logs[n, 1 : n + 1]
-                upto = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-                out[i] = 1 + (upto[:, :-1] <= u[i, None] * upto[:, -1:]).sum(axis=1)
+            rest, m = order[lo:hi], n if n <= FEW else FEW
+            while len(rest):
+                again = []
+                step = max(1, CELLS // m)
+                for at in range(0, len(rest), step):
+                    i = rest[at : at + step]
+                    w = np.log((strength[i, None] + d * np.arange(m)) * p[i, None])
+                    w[:, 0] = 0.0
+                    w = np.cumsum(w, axis=1) + logs[n, 1 : m + 1]
+                    top = w.max(axis=1)
+                    if m < n:  # weights are log-concave: what is negligible and falls stays so
+                        done = w[:, -1] < top - FAR
+                        again.append(i[~done])
+                        i, w, top = i[done], w[done], top[done]
+                    upto = np.cumsum(np.exp(w - top[:, None]), axis=1)
+                    out[i] = 1 + (upto[:, :-1] <= u[i, None] * upto[:, -1:]).sum(axis=1)
+                rest, m = np.concatenate(again) if again else rest[:0], n
         lo = hi
     return out
