@@ -12,10 +12,11 @@ the bytes before it that its windows reach.
    the leading bytes of suffixes. Suffixes that start with the same GRAM bytes
    meet in one bucket, as a splitter cuts only between different leading bytes:
    no comparison is left across a boundary.
-   Leads that are frequent in the sample are dealt window by window instead, by
-   the hash of the window (64 bits and the bucket, from a second hash), so that a
-   line or passage of a great many documents is spread over all buckets and
-   equal windows of a chunk are one entry.
+   Leads that are frequent in the sample would fill a bucket: their windows are
+   dealt one by one, by the hash of the window, so that a line or passage of a
+   great many documents is spread over all buckets and equal windows of a chunk
+   are one entry. The sample decides only where bytes meet; what meets is sorted
+   and compared byte by byte either way.
 3. Each bucket sorts its suffixes (multikey, eight bytes at a time, only ties go
    on), sorts the bytes before them likewise, and takes common prefix lengths of
    neighbours. For each distance of a window to its anchor, the runs of long
@@ -28,7 +29,10 @@ first, and only that of the smallest document is shuffled.
 
 Defined results: null and empty texts have no bytes; texts shorter than SIZE
 stay whole; a document without an id is not compared and stays whole; repeats
-within a document and rows that share an id are no duplicates of each other.
+within a document and rows that share an id are no duplicates of each other, so
+repeated rows stay alike; texts may be long, they are worked on piece by piece;
+columns named like a result or ``removed`` are replaced; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm import packed as P
-from weir.llm.common import chunks, partitions
+from weir.llm.common import bucket_count, chunks, per_bucket, saved
 from weir.llm.substring_dedup import by_id, intervals
 
 SIZE = 50
@@ -115,7 +119,7 @@ def common_prefixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(n, np.int64)
     differ = shared < words.shape[1]
     x = np.flatnonzero(differ & (np.arange(n) > 0))
-    a, b = full[order[x]].reshape(len(x), -1, 8), full[order[x - 1]].reshape(len(x), -1, 8)
+    a, b = (full[order[y]].reshape(len(x), words.shape[1], 8) for y in (x, x - 1))
     cell = shared[x]
     pick = np.arange(len(x))
     out[x] = cell * 8 + np.argmax(a[pick, cell] != b[pick, cell], axis=1)
@@ -154,16 +158,23 @@ def match_windows(context: np.ndarray, low: np.ndarray, high: np.ndarray, docs:
     return out
 
 
-def in_smaller(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which entries have an equal key in a smaller document."""
-    order = np.lexsort((docs, keys))
-    k, d = keys[order], docs[order]
-    head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    out = np.zeros(len(keys), bool)
-    out[order] = d > np.repeat(d[head], np.diff(np.append(head, len(k))))
+def in_smaller(order: np.ndarray, new: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which entries have an equal one in a smaller document: in ``order`` equal ones are neighbours, ``new`` says where others begin."""
+    out = np.zeros(len(docs), bool)
+    if len(docs):
+        head = np.flatnonzero(new)
+        out[order] = docs[order] > np.repeat(np.minimum.reduceat(docs[order], head), np.diff(np.append(head, len(docs))))
     return out
 
 
+def equal_windows(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which windows, rows of bytes, are also in a smaller document."""
+    if not len(rows):
+        return np.zeros(0, bool)
+    order, shared = common_prefixes(rows)
+    return in_smaller(order, shared < rows.shape[1], docs)
+
+
 def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
     """Anchors have small hashes, so the hash is mixed again."""
     return (P.mixed(h ^ P.STEP_B) % P.U(buckets)).astype(np.int64)
@@ -220,7 +231,8 @@ def repeated_anchors(docs: DataFrame, size: int, gram: int, buckets: int) -> Dat
         return pa.Table.from_arrays([pa.array(d[head]), pa.array(cells, pa.binary())], schema=fields)
 
     rows = docs.where("key is not null and text is not null")
-    return rows.mapInArrow(hash_chunk, P.SCHEMA).groupBy("bucket").applyInArrow(count, P.SCHEMA).groupBy("bucket").applyInArrow(gather, "key long, grams binary")
+    counted = per_bucket(rows.mapInArrow(hash_chunk, P.SCHEMA), buckets, count, P.SCHEMA)
+    return saved(per_bucket(counted, buckets, gather, "key long, grams binary"), "grams")
 
 
 def _all_leads(size: int, gram: int):
@@ -241,7 +253,7 @@ def frequent_leads(sample: DataFrame, size: int, gram: int) -> np.ndarray:
 
 
 def splitters(sample: DataFrame, buckets: int, size: int, gram: int) -> np.ndarray:
-    """Up to buckets - 1 leading strings that cut a sample of suffixes into equal shares; each document gives at most 8 suffixes."""
+    """Up to buckets - 1 leading strings that cut a sample of suffixes into equal shares; each batch gives at most 8 suffixes for each of its documents."""
 
     def leading(batches):
         for batch in chunks(batches, "text"):
@@ -255,10 +267,10 @@ def splitters(sample: DataFrame, buckets: int, size: int, gram: int) -> np.ndarr
     return np.array(cuts, f"S{gram}")
 
 
-def marked_windows(texts: DataFrame, size: int = SIZE, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Packed rows of kind 1, grouped by document: starts of windows that a smaller document has."""
-    buckets = partitions(texts.sparkSession)
+def marked_windows(texts: DataFrame, size: int = SIZE, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, int]:
+    """Packed rows of kind 1, grouped by document: starts of windows that a smaller document has; and the number of buckets."""
     docs = texts.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    buckets = bucket_count(docs)
     before = size - gram
     width = before + size + 2
     some = docs.where("text is not null").select("text").sample(min(1.0, SAMPLED_DOCS / max(docs.count(), 1)), seed=11)
@@ -313,21 +325,29 @@ def marked_windows(texts: DataFrame, size: int = SIZE, gram: int = GRAM, text: s
         n = (low - high + 1)[k]
         starts = np.repeat((at - low)[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         row = np.repeat(rows[k], n)
-        a, b = (np.zeros(len(starts), P.U) for _ in range(2))
+        h = np.zeros(len(starts), P.U)
         for i in range(0, len(starts), STEP_SUFFIXES):
             x = P.BYTE[data[starts[i : i + STEP_SUFFIXES, None] + np.arange(size)]]
-            a[i : i + STEP_SUFFIXES] = P.mixed((x * P.powers(P.STEP_A, size)).sum(axis=1, dtype=np.uint64))
-            b[i : i + STEP_SUFFIXES] = P.mixed((x * P.powers(P.STEP_B, size)).sum(axis=1, dtype=np.uint64))
+            h[i : i + STEP_SUFFIXES] = P.mixed((x * P.powers(P.STEP_A, size)).sum(axis=1, dtype=np.uint64))
         d, p = ids[row], starts - offsets[row]
-        gone = in_smaller(a, d)
-        yield P.pack((b % P.U(buckets)).astype(np.int64)[~gone], a[~gone], d[~gone], p[~gone], kind=2)
+        order = np.argsort(h, kind="stable")
+        new = np.concatenate(([True], h[order[1:]] != h[order[:-1]])) if len(h) else np.zeros(0, bool)
+        for i in range(0, len(order), STEP_SUFFIXES):  # equal hashes, equal bytes: then one of a chunk is enough
+            j = np.arange(max(i, 1), min(i + STEP_SUFFIXES, len(order)))
+            differ = (data[starts[order[j], None] + np.arange(size)] != data[starts[order[j - 1], None] + np.arange(size)]).any(axis=1)
+            new[j] |= differ
+        gone = in_smaller(order, new, d)
+        stay = np.flatnonzero(~gone)
+        for i in range(0, len(stay), STEP):
+            s = stay[i : i + STEP]
+            yield P.pack((h[s] % P.U(buckets)).astype(np.int64), data[starts[s, None] + np.arange(size)], d[s], p[s], kind=2)
         yield P.pack(_home(d[gone], buckets), None, d[gone], p[gone], kind=1)
 
     def compare(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
         out = [table.filter(pa.array(kinds == 1))]
-        h, d, p = P.unpack(table.filter(pa.array(kinds == 2)))
-        gone = in_smaller(h, d)
+        record, d, p = P.unpack(table.filter(pa.array(kinds == 2)), width=size)
+        gone = equal_windows(record, d)
         if gone.any():
             d, p = d[gone], p[gone]
             order = np.lexsort((p, d))
@@ -343,7 +363,8 @@ def marked_windows(texts: DataFrame, size: int = SIZE, gram: int = GRAM, text: s
 
     # a left join, as the last step has one of the same texts: Spark shuffles them once for both
     joined = texts.join(repeated_anchors(docs, size, gram, buckets).withColumnRenamed("key", key), key, "left")
-    return joined.select(F.col(key).alias("key"), F.col(text).alias("text"), "grams").mapInArrow(suffixes, P.SCHEMA).groupBy("bucket").applyInArrow(compare, P.SCHEMA)
+    shipped = joined.select(F.col(key).alias("key"), F.col(text).alias("text"), "grams").mapInArrow(suffixes, P.SCHEMA)
+    return per_bucket(shipped, buckets, compare, P.SCHEMA), buckets
 
 
 def deduplicated(docs: DataFrame, size: int = SIZE, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -352,7 +373,7 @@ def deduplicated(docs: DataFrame, size: int = SIZE, gram: int = GRAM, text: str
     keep = [c for c in docs.columns if c not in (*names, "removed")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in names[:3]] + [T.StructField("kept", T.BinaryType())])
     texts = docs.select(*keep)
-    removed = intervals(marked_windows(texts, size, gram, text, key), size, "key")
+    removed = intervals(*marked_windows(texts, size, gram, text, key), size, "key")
     joined = texts.join(removed.withColumnRenamed("key", key), key, "left").select(*keep, "removed")
 
     def cut(batches):
