@@ -9,10 +9,13 @@ their documents, where they merge into maximal intervals of words.
 
 Windows are equal if a 64-bit hash and the bucket, taken from a second hash,
 are; with B buckets and n windows some n**2 / (B * 2**65) pairs are equal by chance.
+Buckets are by the bytes of the texts: 10**13 windows of 100 TB have 1.5 million,
+and so some two such pairs.
 
 Defined results: a null or empty text has no words; a document without an id is
 not compared and stays whole; rows that share an id and a text stay alike;
-documents shorter than N words stay whole.
+documents shorter than N words stay whole; texts may be long; columns named like
+a result or ``removed`` are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm import packed as P
-from weir.llm.common import chunks, partitions
+from weir.llm.common import bucket_count, chunks, per_bucket
 
 N_WORDS = 20
 INTERVALS = "array<struct<start:int,stop:int>>"
@@ -51,9 +54,9 @@ def by_id(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
 
 
-def starts_removed(docs: DataFrame, n_words: int, text: str, key: str) -> DataFrame:
-    """Packed rows of kind 1, grouped by document: the starts of windows that are not the earliest."""
-    buckets = partitions(docs.sparkSession)
+def starts_removed(docs: DataFrame, n_words: int, text: str, key: str) -> tuple[DataFrame, int]:
+    """Packed rows of kind 1, grouped by document: the starts of windows that are not the earliest; and the number of buckets."""
+    buckets = bucket_count(docs, text)
 
     def hash_chunk(batches):
         for batch in chunks(batches, "text"):
@@ -82,10 +85,10 @@ def starts_removed(docs: DataFrame, n_words: int, text: str, key: str) -> DataFr
         return pa.Table.from_batches([P.pack((P.mixed(d.astype(P.U)) % P.U(buckets)).astype(np.int64), None, d, p, kind=1)])
 
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(hash_chunk, P.SCHEMA).groupBy("bucket").applyInArrow(compare, P.SCHEMA)
+    return per_bucket(rows.mapInArrow(hash_chunk, P.SCHEMA), buckets, compare, P.SCHEMA), buckets
 
 
-def intervals(marks: DataFrame, size: int, key: str) -> DataFrame:
+def intervals(marks: DataFrame, buckets: int, size: int, key: str) -> DataFrame:
     """(key, removed): the maximal intervals that windows of ``size`` at the marked starts cover."""
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("removed", T._parse_datatype_string(INTERVALS))])
     arrow = pa.schema([(key, pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
@@ -103,12 +106,12 @@ def intervals(marks: DataFrame, size: int, key: str) -> DataFrame:
         offsets = np.append(np.searchsorted(heads, np.flatnonzero(new_doc)), len(heads)).astype(np.int32)
         return pa.Table.from_arrays([pa.array(d[new_doc]), pa.ListArray.from_arrays(pa.array(offsets), cells)], schema=arrow)
 
-    return marks.groupBy("bucket").applyInArrow(merge, schema)
+    return per_bucket(marks, buckets, merge, schema)
 
 
 def removed_words(docs: DataFrame, n_words: int = N_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, removed): intervals of word numbers to remove, for documents that have any."""
-    return intervals(starts_removed(docs, n_words, text, key), n_words, key)
+    return intervals(*starts_removed(docs, n_words, text, key), n_words, key)
 
 
 def deduplicated(docs: DataFrame, n_words: int = N_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
