@@ -26,7 +26,8 @@ bucket count more bits), within one pair of documents.
 
 Defined results: documents without words have an empty set and link with
 nothing; a text of fewer than N words is one shingle; rows without an id are
-returned with null numbers; rows that share an id must share the text.
+returned with null numbers; rows that share an id are one document, of the text
+with the least hash if their texts differ; texts may be long; columns of other names play no part; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm import packed as P
-from weir.llm.common import chunks, partitions, saved
+from weir.llm.common import bucket_count, chunks, per_bucket, saved
 from weir.llm.substring_dedup import by_id
 
 N_WORDS = 5
@@ -71,7 +72,7 @@ def _home(ids: np.ndarray, buckets: int) -> np.ndarray:
 def sets(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row per id: doc_id, n, sig1, sig2 (equal for equal sets), and for documents that may link with others
     shared (the shingles of two or more sets, rare first) and cells (how many of them fall in each hash cell)."""
-    buckets = partitions(docs.sparkSession)
+    buckets = bucket_count(docs, text)
 
     def hash_chunk(batches):
         for batch in chunks(batches, "text"):
@@ -134,9 +135,18 @@ def sets(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str =
         cell_lists = pa.ListArray.from_arrays(pa.array(_with_nulls(np.where(may, CELLS, 0), may), pa.int32()), pa.array(cells))
         return pa.Table.from_arrays([pa.array(ids), pa.array(size), pa.array(sig1[at].view(np.int64)), pa.array(sig2[at].view(np.int64)), lists, cell_lists], schema=pa.schema(fields))
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    counted = rows.mapInArrow(hash_chunk, P.SCHEMA).groupBy("bucket").applyInArrow(count, P.SCHEMA)
-    return counted.groupBy("bucket").applyInArrow(gather, schema)
+    rows = one_text_each(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")))
+    counted = per_bucket(rows.mapInArrow(hash_chunk, P.SCHEMA), buckets, count, P.SCHEMA)
+    return per_bucket(counted, buckets, gather, schema)
+
+
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, text) without those whose key has another text with a smaller hash. Texts are only moved if there are such keys."""
+    h = F.xxhash64("text")
+    several = saved(rows.groupBy("key").agg(F.min(h).alias("least"), F.max(h).alias("most")).where("least <> most").select("key", "least"), "several")
+    if several.isEmpty():
+        return rows
+    return rows.join(several, "key", "left").where(F.col("least").isNull() | (h == F.col("least"))).select("key", "text")
 
 
 def _with_nulls(sizes: np.ndarray, valid: np.ndarray) -> list:
@@ -155,8 +165,8 @@ def _length_fits(nx: Column, ny: Column, percent: int) -> Column:
 
 
 def _bin(n: Column) -> Column:
-    """Sizes within a tenth of each other share a bin or have neighbouring ones."""
-    return F.floor(F.log(F.greatest(n, F.lit(1.0))) / F.log(F.lit(1.1))).cast("int")
+    """Sizes within some hundredths of each other share a bin or have neighbouring ones."""
+    return F.floor(F.log(F.greatest(n, F.lit(1.0))) / F.log(F.lit(1.03))).cast("int")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -225,12 +235,13 @@ def linked(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     by_shingle = out_of.select("pivot", "shingle", at("a")).join(out_of.select("pivot", "shingle", at("b")), ["pivot", "shingle"])
     by_shingle = by_shingle.where(apart & (a["doc_id"] < b["doc_id"]) & (by_place >= need)).select(*ordered)
     # ... or all they share is in the pivot, and the smaller share of the two is enough for their sizes
+    # for both, so the smaller set has at least 2 p / (100 + p) of itself in the pivot, and the larger (a) allows only so large a smaller one
     inside = open_.where(100 * F.col("common") >= percent * F.col("n"))
-    far = inside.where(F.col("common") < _at_least(F.col("n"), F.col("pivot_n"), percent))
-    most = F.least(100 * F.col("n") / percent, (100 + percent) * F.col("common") / percent - F.col("n"))
-    bins = F.sequence(_bin(percent * F.col("n") / 100), F.greatest(_bin(percent * F.col("n") / 100), _bin(most)))
-    by_size = side(far.withColumn("bin", F.explode(bins)), "a", "pivot", "bin").join(side(inside.withColumn("bin", _bin(F.col("n"))), "b", "pivot", "bin"), ["pivot", "bin"])
-    by_size = by_size.where(apart & (F.least(a["common"], b["common"]) >= need)).select(*ordered)
+    smaller = inside.where((100 + percent) * F.col("common") >= 2 * percent * F.col("n"))
+    least, most = percent * F.col("n") / 100, F.least(F.col("n").cast("double"), (100 + percent) * F.col("common") / percent - F.col("n"))
+    larger = inside.where(most >= least).withColumn("bin", F.explode(F.sequence(_bin(least - 0.001), _bin(most + 0.001))))
+    by_size = side(larger, "a", "pivot", "bin").join(side(smaller.withColumn("bin", _bin(F.col("n"))), "b", "pivot", "bin"), ["pivot", "bin"])
+    by_size = by_size.where(apart & (b["n"] <= a["n"]) & (F.least(a["common"], b["common"]) >= need)).select(*ordered)
     rest = by_shingle.union(by_size).distinct().join(stars.select(F.least("doc_id", "pivot").alias("x"), F.greatest("doc_id", "pivot").alias("y")), ["x", "y"], "left_anti")
     more = saved(_verified(rest, reps, percent), "links")
     if not more.isEmpty():
