@@ -12,7 +12,9 @@ lists those of the tasks that succeeded; what a lost executor leaves is not in i
 
 Defined results: a null html is an empty payload; a null url has no target
 header; payloads below MIN_REVISIT bytes are always responses; rows that share
-an id and a payload are alike; a page without an id is a response, and no page refers to it.
+an id and a payload are alike; a page without an id is a response, and no page refers to it;
+a payload may be as long as a binary value; other columns are not archived; an empty
+table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -74,24 +78,43 @@ def _headers(raw: bytes) -> dict[str, str]:
     return dict(line.split(": ", 1) for line in raw.decode().split("\r\n")[1:] if ": " in line)
 
 
-def parse(member: bytes) -> dict:
-    """page_id, url, record_type, payload (None for a revisit), payload_bytes, payload_digest and refers_to of a record."""
-    head, _, rest = gzip.decompress(member).partition(b"\r\n\r\n")
+def _page(urn: str | None) -> int | None:
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    return int(found[1]) if found else None
+
+
+def _sha1(named: str | None) -> str | None:
+    """The hex form of a payload digest header, or None if it names another hash or none."""
+    kind, _, value = (named or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+
+
+def parse(member: bytes) -> dict | None:
+    """page_id, url, record_type, payload (None for a revisit), payload_bytes, payload_digest and refers_to of a record.
+
+    Records of other types than response and revisit are None. What other writers leave out is None: an id
+    that is no page's, and the length of a revisited payload; a digest that they leave out is computed."""
+    raw = gzip.decompress(member) if member[:2] == b"\x1f\x8b" else member
+    head, _, rest = raw.partition(b"\r\n\r\n")
     warc = _headers(head)
+    if warc.get("WARC-Type") not in ("response", "revisit"):
+        return None
     http, _, payload = rest[: int(warc["Content-Length"])].partition(b"\r\n\r\n")
-    number = lambda urn: int(urn[len("<urn:page:") : -1]) if len(urn) > len("<urn:page:>") else None
-    digest = base64.b32decode(warc["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+    digest = _sha1(warc.get("WARC-Payload-Digest"))
     revisit = warc["WARC-Type"] == "revisit"
-    if not revisit and hashlib.sha1(payload).hexdigest() != digest:
+    if not revisit and digest not in (None, hashlib.sha1(payload).hexdigest()):
         raise ValueError(f"payload of {warc['WARC-Record-ID']} does not have its digest")
+    length = _headers(b"\r\n" + http).get("Content-Length")
     return {
-        "page_id": number(warc["WARC-Record-ID"]),
+        "page_id": _page(warc.get("WARC-Record-ID")),
         "url": warc.get("WARC-Target-URI"),
         "record_type": warc["WARC-Type"],
         "payload": None if revisit else payload,
-        "payload_bytes": int(_headers(b"\r\n" + http)["Content-Length"]) if revisit else len(payload),
-        "payload_digest": digest,
-        "refers_to": number(warc["WARC-Refers-To"]) if revisit else None,
+        "payload_bytes": (int(length) if length else None) if revisit else len(payload),
+        "payload_digest": digest if revisit or digest else hashlib.sha1(payload).hexdigest(),
+        "refers_to": _page(warc.get("WARC-Refers-To")) if revisit else None,
     }
 
 
@@ -124,7 +147,7 @@ ReadAt = Callable[[int, int], bytes]
 
 
 def directory(read: ReadAt, size: int) -> dict[str, tuple[int, int]]:
-    """Data offset and length of each stored member, from the central directory."""
+    """Data offset and length of each stored member, from the central directory. A data or index member that is compressed is an error, as no range of it can be read."""
     tail_at = max(0, size - 22 - 0xFFFF - 20)
     tail = read(tail_at, size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
@@ -157,6 +180,8 @@ def directory(read: ReadAt, size: int) -> dict[str, tuple[int, int]]:
         if method == 0:
             n_, m_ = struct.unpack("<HH", read(local + 26, 4))
             members[name] = (local + 30 + n_ + m_, packed)
+        elif name.startswith(("archive/", "indexes/")) and not name.endswith("/"):
+            raise ValueError(f"{name} is not stored but compressed")
         at += 46 + n + m + k
     return members
 
@@ -173,20 +198,63 @@ def ranges(entries: list[tuple[int, int]], most: int = FETCH_BYTES) -> Iterator[
         yield run
 
 
+def indexed(lines: list[bytes], only: str) -> dict[str, set[tuple[int, int]]]:
+    """(offset, length) by data member: of lines of JSON, alone or behind a key and a time; ``only`` is the data member of lines that name none."""
+    found: dict[str, set[tuple[int, int]]] = {}
+    for line in lines:
+        if b"{" not in line or line.startswith(b"!"):
+            continue
+        x = json.loads(line[line.index(b"{") :])
+        name = x.get("filename", only)
+        found.setdefault(name if name.startswith("archive/") else f"archive/{name}", set()).add((int(x["offset"]), int(x["length"])))
+    return found
+
+
+def scanned(read: ReadAt, start: int, size: int, most: int = FETCH_BYTES) -> Iterator[bytes]:
+    """The gzip members of a data member that no index lists, one after another."""
+    opened, kept, at = zlib.decompressobj(31), b"", 0
+    while at < size or opened.unused_data:
+        chunk = opened.unused_data
+        if not chunk:
+            chunk = read(start + at, min(most, size - at))
+            at += len(chunk)
+        elif opened.eof:
+            opened = zlib.decompressobj(31)
+        kept += opened.decompress(chunk)
+        if opened.eof:
+            yield kept
+            kept = b""
+            if not opened.unused_data:
+                opened = zlib.decompressobj(31)
+
+
 def records(path: str) -> Iterator[dict]:
-    """The records of an archive, read by ranges."""
+    """The records of an archive, read by the ranges that its indexes list; data members without any are read through."""
     fs, local = pyarrow.fs.FileSystem.from_uri(path)
     with fs.open_input_file(local) as f:
         read = lambda at, n: f.read_at(n, at)
         members = directory(read, f.size())
-        start, _ = members[DATA]
-        lines = read(members[INDEX][0], members[INDEX][1]).splitlines()
-        entries = [(x["offset"], x["length"]) for x in map(json.loads, lines)]
-        for run in ranges(entries):
-            first, last = run[0][0], sum(run[-1])
-            block = read(start + first, last - first)
-            for offset, length in run:
-                yield parse(block[offset - first : offset - first + length])
+        data = [n for n in members if n.startswith("archive/") and n.endswith((".warc.gz", ".warc"))]
+        lines: list[bytes] = []
+        for name, (start, size) in members.items():
+            if name.startswith("indexes/") and not name.endswith(".idx"):
+                raw = read(start, size)
+                lines += (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).splitlines()
+        listed = indexed(lines, data[0] if data else DATA)
+        if missing := set(listed) - set(data):
+            raise ValueError(f"{path} lists records of {', '.join(sorted(missing))}, which it does not have")
+        for name in data:
+            start, size = members[name]
+            for run in ranges(list(listed.get(name, ()))):
+                first, last = run[0][0], sum(run[-1])
+                block = read(start + first, last - first)
+                for offset, length in run:
+                    if found := parse(block[offset - first : offset - first + length]):
+                        yield found
+            if name not in listed:
+                if not name.endswith(".gz"):
+                    raise ValueError(f"{name} is neither compressed by record nor indexed")
+                yield from filter(None, map(parse, scanned(read, start, size)))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
