@@ -1,5 +1,6 @@
 """WARC archives, preference formatting, the registered queries and the pipeline."""
 
+import gzip
 import hashlib
 import importlib.util
 import io
@@ -41,6 +42,45 @@ def test_archives_roll_and_ranges(spark, tmp_path):
     assert [[o for o, _ in run] for run in warc.ranges([(0, 5), (5, 5), (20, 1), (10, 5)], 12)] == [[0, 5], [10], [20]]
 
 
+def test_archives_of_other_writers(tmp_path):
+    """Several data members, one indexed by key, time and JSON in a compressed index, one without index, records of other types."""
+
+    def member(kind, uri, body, digest="", gz=True):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body if kind == "response" else body
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{uri}>\r\nWARC-Target-URI: {uri}\r\n{digest}Content-Length: {len(block)}\r\n\r\n"
+        return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+    parts = [member("warcinfo", "i", b"x: y"), member("response", "u1", b"one"), member("request", "u1", b"GET"), member("response", "u2", b"two" * 999, "WARC-Payload-Digest: sha256:00\r\n")]
+    offsets = [sum(map(len, parts[:k])) for k in range(4)]
+    index = "".join(f'com,a)/{k} 2020 {{"url": "u", "offset": "{offsets[k]}", "length": "{len(parts[k])}", "filename": "a.warc.gz"}}\n' for k in (1, 3))
+    second = [member("response", f"v{k}", b"v" * k) for k in range(5)]
+    path = f"{tmp_path}/foreign.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("archive/a.warc.gz", b"".join(parts))
+        z.writestr("archive/b.warc.gz", b"".join(second))
+        z.writestr("indexes/index.cdx.gz", gzip.compress(index.encode()))
+        z.writestr(zipfile.ZipInfo("pages/pages.jsonl"), b"{}", zipfile.ZIP_DEFLATED)
+    found = list(warc.records(f"file://{path}"))
+    assert [(x["url"], x["payload"], x["page_id"]) for x in found] == [("u1", b"one", None), ("u2", b"two" * 999, None)] + [(f"v{k}", b"v" * k, None) for k in range(5)]
+    assert found[0]["payload_digest"] == hashlib.sha1(b"one").hexdigest()
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr(zipfile.ZipInfo("archive/a.warc.gz"), b"".join(parts), zipfile.ZIP_DEFLATED)
+    with pytest.raises(ValueError, match="not stored"):
+        list(warc.records(f"file://{path}"))
+
+
+def test_scanning_across_reads():
+    parts = [gzip.compress(bytes([k]) * (k * 50)) for k in range(40)]
+    raw = b"".join(parts)
+    for most in (1, 7, 64, 10_000):
+        assert list(warc.scanned(read_at(raw), 0, len(raw), most)) == [gzip.decompress(p) for p in parts]
+
+
+def test_a_long_payload(spark):
+    pages = spark.range(2).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("long "), 2_000_000).alias("html"))
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in warc.round_trip(pages).select("page_id", "payload_bytes", "refers_to").collect()) == [(0, 10_000_000, 1), (1, 10_000_000, None)]
+
+
 def read_at(raw):
     return lambda at, n: raw[at : at + n]
 
@@ -100,13 +140,32 @@ def test_preference_pairs(spark):
             assert [text[s.start : s.stop] for s in spans] == [f"{x}<|end|>\n" for role, x in ts if role == "assistant"]
 
 
+def test_tails_part_at_varying_turns(spark):
+    rows = [(c, k, "user" if k % 2 == 0 else "assistant", "same" if k < 3 else f"{c} {k}") for c in range(12) for k in range(1 + c % 6)] + [(20, 0, "user", "w " * 300_000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("chosen", F.lit("clash"))
+    out = preference.with_foreign_tail(table)
+    own = {c: [(r, t) for x, k, r, t in rows if x == c] for c in {x[0] for x in rows}}
+    got = {r.conv_id: r for r in preference.format_pairs(out).collect()}
+    assert set(got) == set(own)
+    for c, r in got.items():
+        at = (7 * c + 3) % (len(own[c]) + 1)
+        want = own[c][:at] + own.get(c + 1, [])[at:]
+        assert [tuple(x) for x in r.chosen] == own[c] and [tuple(x) for x in r.rejected] == want
+        n = 0
+        while n < min(len(own[c]), len(want)) and own[c][n] == want[n]:
+            n += 1
+        assert r.n_common == n
+    assert len({r.n_common for r in got.values()}) > 3 and any(len(r.chosen_spans) > 1 for r in got.values())
+    assert preference.with_foreign_tail(table.where("false")).count() == 0
+
+
 def test_turns(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 0, None, "a"), (1, 0, None, "a"), (2, 0, "user", "x"), (None, 0, "user", "y"), (3, None, "user", "z")]
     table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, turns string")
     got = {r.conv_id: [(x.role, x.text) for x in r.turns] for r in preference.turns(table).collect()}
     assert got == {1: [("unknown", "a"), ("unknown", "a"), ("user", ""), ("assistant", "b")], 2: [("user", "x")]}
-    assert preference.format_pairs(preference.with_foreign_reply(table)).count() == 1
-    assert preference.with_foreign_reply(table.where("false")).count() == 0
+    assert preference.format_pairs(preference.with_foreign_tail(table)).count() == 2
+    assert preference.with_foreign_tail(table.where("false")).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))

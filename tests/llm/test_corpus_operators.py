@@ -68,6 +68,24 @@ def test_suffix_dedup_of_random_passages(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in out.collect()} == brute.suffix_dedup(texts)
 
 
+def test_suffix_dedup_of_a_whole_table(spark, sf001):
+    table = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in suffix_dedup.deduplicated(table).collect()}
+    assert got == brute.suffix_dedup({r.doc_id: r.text for r in table.collect()})
+
+
+def test_frequent_leads_are_compared_like_others(spark, monkeypatch):
+    """One line in every document, with other bytes around it: dealt window by window and in suffixes, with equal results."""
+    line = "This very line is in each and every document of the table. "
+    texts = {i: prose(i, 6) + " " + line + prose(100 + i % 7, 8) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want = brute.suffix_dedup(texts)
+    for frequent in (2, 10**9):
+        monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in suffix_dedup.deduplicated(df).collect()}
+        assert got == want
+
+
 def test_anchors_do_not_depend_on_pieces(monkeypatch):
     r = random.Random(6)
     texts = ["".join(r.choice("abc ") for _ in range(r.choice([0, 20, 49, 50, 51, 400, 900]))) for _ in range(12)] + ["z" * 300]
@@ -123,6 +141,30 @@ def test_ngram_join_of_families(spark):
     assert got == brute.components(table)
 
 
+def test_one_id_with_two_texts(spark):
+    rows = [(1, prose(1, 30)), (1, prose(2, 30)), (2, prose(1, 30)), (3, prose(2, 30)), (4, None), (4, "a b")]
+    h = {r.text: r.h for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    kept = min((prose(1, 30), prose(2, 30)), key=h.get)
+    four = min((None, "a b"), key=h.get)
+    table = {1: kept, 2: prose(1, 30), 3: prose(2, 30), 4: four}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.components(table)
+
+
+def test_documents_of_one_template(spark):
+    """Nine of ten words alike but hardly a link: work must not grow with the pairs."""
+    form = prose("form", 60).split()
+    texts = {}
+    for i in range(3000):
+        own = [f"own{i}x{j}" for j in range(9 + i % 4)]
+        texts[i] = " ".join(form[:40] + own + form[40:])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = ngram_join.linked(df).collect()
+    some = {i: texts[i] for i in range(0, 3000, 60)}
+    want = brute.components(some)
+    assert len({c for _, c in want.values()}) == len(some) and all(r.component_id == r.doc_id for r in found)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)]

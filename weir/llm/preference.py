@@ -9,7 +9,9 @@ the conversation, which is the unit that is formatted.
 Defined results: null roles are "unknown" and null texts empty; equal
 conversations have empty completions; pairs without a common turn have an empty
 prompt; turns with equal numbers are ordered by role and text; repeated turns
-stay; rows without a conversation or turn number are left out.
+stay; rows without a conversation or turn number are left out; a turn's text may be
+long; extra columns of the conversations play no part, and in ``format_pairs`` those
+named like a result are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def rendered(turn: Column) -> Column:
 
 def common_turns(a: Column, b: Column) -> Column:
     """How many leading turns are equal."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))  # the longer one's rest meets nulls
     return F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
 
 
@@ -69,16 +71,13 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     )
 
 
-def with_foreign_reply(conversations: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """(conv, chosen, rejected): each conversation up to its last learned turn, and the same with that
-    turn's text taken from the last learned turn of conversation conv + 1 (empty if there is none).
-    Conversations without a learned turn are left out."""
+def with_foreign_tail(conversations: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """(conv, chosen, rejected): each conversation, and its first turns followed by the later turns of conversation conv + 1 (none if there is none).
+
+    They part after (7 * conv + 3) mod (turns + 1) turns, or later where the other conversation goes on alike."""
     ts = turns(conversations, conv)
-    reversed_ = F.reverse(F.transform("turns", lambda t: t["role"] == LEARNED))
-    last = (F.size("turns") - F.array_position(reversed_, True) + 1).cast("int")
-    ends = ts.where(F.exists("turns", lambda t: t["role"] == LEARNED)).withColumn("last", last)
-    ends = ends.select(conv, F.slice("turns", F.lit(1), F.col("last")).alias("chosen"))
-    reply = ends.select((F.col(conv) - 1).alias(conv), F.element_at("chosen", -1)["text"].alias("reply"))
-    both = ends.join(reply, conv, "left")
-    swapped = F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array(F.struct(F.lit(LEARNED).alias("role"), F.coalesce("reply", F.lit("")).alias("text"))))
-    return both.select(conv, "chosen", swapped.alias("rejected"))
+    other = ts.select((F.col(conv) - 1).alias(conv), F.col("turns").alias("other"))
+    at = F.pmod(F.col(conv) * 7 + 3, F.size("turns") + 1).cast("int")
+    rest = F.slice("other", at + 1, F.greatest(F.size("other") - at, F.lit(0)))
+    rejected = F.concat(F.slice("turns", F.lit(1), at), F.coalesce(rest, F.slice("turns", F.lit(1), F.lit(0))))
+    return ts.join(other, conv, "left").select(conv, F.col("turns").alias("chosen"), rejected.alias("rejected"))

@@ -74,7 +74,7 @@ def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weir.llm import preference as p
 
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",").alias(c)
-    out = p.format_pairs(p.with_foreign_reply(documents(spark, sf_dir, "conversations")))
+    out = p.format_pairs(p.with_foreign_tail(documents(spark, sf_dir, "conversations")))
     return out.select("conv_id", F.col("n_common").cast("bigint").alias("n_common"), "prompt", "chosen_completion", "rejected_completion", spans("chosen_spans"), spans("rejected_spans"))
 
 
@@ -88,24 +88,23 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op7_preference_format"] = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM t),
-l AS (SELECT conv_id, max(k) FILTER (role = 'assistant') AS last FROM n GROUP BY conv_id),
-c AS (SELECT n.*, l.last FROM n JOIN l USING (conv_id) WHERE l.last IS NOT NULL AND k <= l.last),
-r AS (SELECT conv_id - 1 AS conv_id, text AS reply FROM c WHERE k = last),
-b AS (SELECT c.*, coalesce(r.reply, '') AS reply FROM c LEFT JOIN r USING (conv_id)),
-s AS (SELECT conv_id, max(last) AS last, any_value(reply) AS reply,
-             max(text) FILTER (k = last) AS own,
-             coalesce(string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY k) FILTER (k < last), '') AS before,
-             '<|assistant|>' || chr(10) || max(text) FILTER (k = last) || '<|end|>' || chr(10) AS good,
-             '<|assistant|>' || chr(10) || any_value(reply) || '<|end|>' || chr(10) AS bad
-      FROM b GROUP BY conv_id)
-SELECT conv_id, CASE WHEN own = reply THEN last ELSE last - 1 END::BIGINT AS n_common,
-       CASE WHEN own = reply THEN before || good ELSE before END AS prompt,
-       CASE WHEN own = reply THEN '' ELSE good END AS chosen_completion,
-       CASE WHEN own = reply THEN '' ELSE bad END AS rejected_completion,
-       CASE WHEN own = reply THEN '' ELSE '14-' || length(good) END AS chosen_spans,
-       CASE WHEN own = reply THEN '' ELSE '14-' || length(bad) END AS rejected_spans
-FROM s"""
+a AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM t),
+c AS (SELECT conv_id, count(*) AS n, (conv_id * 7 + 3) % (count(*) + 1) AS j FROM a GROUP BY conv_id),
+b AS (SELECT a.* FROM a JOIN c USING (conv_id) WHERE k <= j
+      UNION ALL SELECT c.conv_id, a.role, a.text, k FROM c JOIN a ON a.conv_id = c.conv_id + 1 WHERE k > j),
+d AS (SELECT conv_id, min(k) FILTER (a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text) - 1 AS m FROM a FULL JOIN b USING (conv_id, k) GROUP BY conv_id),
+p AS (SELECT conv_id, coalesce(m, n)::BIGINT AS m FROM c JOIN d USING (conv_id)),
+r AS (SELECT 'chosen' AS side, * FROM a UNION ALL SELECT 'rejected', * FROM b),
+s AS (SELECT side, conv_id, k, m, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown, 5 + length(role) AS skip FROM r JOIN p USING (conv_id)),
+q AS (SELECT *, coalesce(sum(length(shown)) FILTER (k > m) OVER (PARTITION BY side, conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+o AS (SELECT conv_id, side,
+             coalesce(string_agg(shown, '' ORDER BY k) FILTER (k <= m), '') AS prompt,
+             coalesce(string_agg(shown, '' ORDER BY k) FILTER (k > m), '') AS completion,
+             coalesce(string_agg((before + skip) || '-' || (before + length(shown)), ',' ORDER BY k) FILTER (k > m AND role = 'assistant'), '') AS spans
+      FROM q GROUP BY conv_id, side)
+SELECT p.conv_id, m AS n_common, x.prompt, x.completion AS chosen_completion, coalesce(y.completion, '') AS rejected_completion,
+       x.spans AS chosen_spans, coalesce(y.spans, '') AS rejected_spans
+FROM p JOIN o x ON x.conv_id = p.conv_id AND x.side = 'chosen' LEFT JOIN o y ON y.conv_id = p.conv_id AND y.side = 'rejected'"""
 
 ORACLE_SQL["op8_substring_dedup"] = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
