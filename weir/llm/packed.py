@@ -62,15 +62,15 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) ->
     hashes, counts, at = [np.zeros(0, U)], np.zeros(len(offsets) - 1, np.int64), 0
     while at < len(data):
         stop = _space_after(data, at + STEP_BYTES)
-        h, rows = _block_words(data[at:stop], offsets - at, lower)
+        h, starts = _block_words(data[at:stop], offsets - at, lower)
         hashes.append(h)
-        counts += np.bincount(rows, minlength=len(counts))
+        counts += np.diff(np.searchsorted(starts, offsets - at))
         at = stop
     return np.concatenate(hashes), np.concatenate(([0], np.cumsum(counts)))
 
 
 def _block_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and rows of the words of a block that begins and ends between words."""
+    """Hashes and starts of the words of a block that begins and ends between words."""
     if lower:
         data = LOWER[data]
     inside = ~IS_SPACE[data]
@@ -86,7 +86,7 @@ def _block_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np
     sizes = np.diff(np.append(place, len(where)))
     within = np.arange(len(where)) - np.repeat(place, sizes)
     h = np.add.reduceat(BYTE[data[where]] * powers(STEP_IN_WORD, int(sizes.max()))[within], place)
-    return mixed(h + sizes.astype(U) * STEP_B), np.searchsorted(offsets, starts, "right") - 1
+    return mixed(h + sizes.astype(U) * STEP_B), starts
 
 
 def window_hashes(h: np.ndarray, n: int, step: np.uint64) -> np.ndarray:

@@ -24,8 +24,8 @@ GRID = 512
 LOST = 10.0
 #: Weights below exp(-FAR) of the largest are negligible.
 FAR = 45.0
-#: Numbers that one step works on, and tables that are tried before all are.
-CELLS, FEW = 1 << 18, 48
+#: Numbers that one step works on, tables that are tried before all are, and customers whose weights need no logarithms.
+CELLS, FEW, SMALL = 1 << 18, 48, 16
 
 
 @lru_cache(maxsize=4)
@@ -130,20 +130,37 @@ def _many(c: int, strength: float, p: float, d: float, u: float) -> int:
     return min(int(t[k]) + int(within * step), c)
 
 
+def _few(numbers: np.ndarray, strength: np.ndarray, p: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """Draws for so few customers that weights need no logarithms; ``numbers`` are their Stirling numbers."""
+    upto = np.empty((len(numbers), len(p)))
+    product = np.ones(len(p))
+    upto[0] = numbers[0]
+    for t in range(1, len(numbers)):
+        product *= (strength + d * t) * p
+        np.add(upto[t - 1], numbers[t] * product, out=upto[t])
+    return 1 + (upto[:-1] <= u * upto[-1]).sum(axis=0)
+
+
 def draw(c: np.ndarray, strength: np.ndarray, p: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
     """Tables for ``c`` customers of each dish; ``u`` is uniform in (0, 1)."""
     c = np.asarray(c, np.int64)
     strength = np.broadcast_to(np.asarray(strength, float), c.shape)
     out = np.minimum(c, 1)
-    order = np.argsort(c, kind="stable")
-    lo = int(np.searchsorted(c[order], 2))
+    order = np.argsort(np.minimum(c, EXACT + 1).astype(np.uint16), kind="stable")
+    sorted_c = np.minimum(c[order], EXACT + 1)
+    lo = int(np.searchsorted(sorted_c, 2))
     logs = table(d)
     while lo < len(order):
         n = int(c[order[lo]])
-        hi = int(np.searchsorted(c[order], n, "right"))
-        if n > EXACT:
+        hi = int(np.searchsorted(sorted_c, n, "right")) if n <= EXACT else len(order)
+        if n <= SMALL:
+            numbers = np.exp(logs[n, 1 : n + 1])
+            for at in range(lo, hi, CELLS // n):
+                i = order[at : min(at + CELLS // n, hi)]
+                out[i] = _few(numbers, strength[i], p[i], d, u[i])
+        elif n > EXACT:
             for i in order[lo:hi].tolist():
-                out[i] = _many(n, float(strength[i]), float(p[i]), d, float(u[i]))
+                out[i] = _many(int(c[i]), float(strength[i]), float(p[i]), d, float(u[i]))
         else:
             rest, m = order[lo:hi], n if n <= FEW else FEW
             while len(rest):
