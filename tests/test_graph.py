@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weir.errors import AlternateNotFoundError, DuplicateError, InsufficientResourcesError, InvalidAppError, NodeNotFoundError
+from weir.errors import AlternateNotFoundError, DuplicateError, InvalidAppError, NodeNotFoundError
 from weir.operators.placement import place
 from weir.plans.compile import run_batch
 from weir.plans.graph import Graph
@@ -150,6 +150,11 @@ def test_errors(spark):
     g.nodes["b"].subscribe("c")
     with pytest.raises(InvalidAppError):
         g.order()
-    assert place(3, {"x": 2, "y": 2}, {"y": 1}) == ["y", "x", "x"]
-    with pytest.raises(InsufficientResourcesError):
-        place(3, {"x": 2})
+
+
+def test_placement(spark):
+    """A node's own containers first, the fullest before others; then empty ones; null when cores are used up."""
+    containers = spark.createDataFrame([(1, "x", 2, 0, None), (1, "y", 3, 2, "a"), (1, "z", 3, 1, "a"), (1, "w", 2, 1, "b"), (1, "full", 1, 1, "a")], "k int, container string, cores int, used int, node string")
+    requests = spark.createDataFrame([(1, "a", 4), (1, "b", 3), (2, "a", 1)], "k int, node string, instances int")
+    got = {(r.k, r.node, r.instance): r.container for r in place(requests, containers, "k").collect()}
+    assert got == {(1, "a", 1): "y", (1, "a", 2): "z", (1, "a", 3): "z", (1, "a", 4): "x", (1, "b", 1): "w", (1, "b", 2): "x", (1, "b", 3): None, (2, "a", 1): None}

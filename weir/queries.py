@@ -387,6 +387,27 @@ def placement_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.best_fit(requests, containers, "nation").select("nation", "name", "container")
 
 
+@query("""
+    WITH c AS (SELECT s_nationkey AS nation, s_name AS container, (s_suppkey % 5 + 1)::INT AS cores, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE (s_suppkey % 4)::INT END AS used FROM supplier),
+    h AS (SELECT *, CASE WHEN used > 0 THEN ['AUTOMOBILE', 'BUILDING', 'FURNITURE'][used] END AS node FROM c),
+    f AS (SELECT *, unnest(range(1, cores - used + 1)) AS core FROM h WHERE used < cores),
+    own AS (SELECT *, row_number() OVER (PARTITION BY nation, node ORDER BY used DESC, container, core) AS instance FROM f WHERE node IS NOT NULL),
+    emp AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY container, core) AS turn FROM f WHERE node IS NULL),
+    r AS (SELECT c_nationkey AS nation, c_mktsegment AS node, unnest(range(1, count(*) % 4 + 2)) AS instance FROM customer GROUP BY c_nationkey, c_mktsegment),
+    a AS (SELECT r.*, own.container AS mine FROM r LEFT JOIN own USING (nation, node, instance)),
+    t AS (SELECT *, sum((mine IS NULL)::INT) OVER (PARTITION BY nation ORDER BY node, instance) AS turn FROM a)
+    SELECT nation, t.node, t.instance::INT AS instance, coalesce(mine, emp.container) AS container
+    FROM t LEFT JOIN emp USING (nation, turn)""")
+def placement_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    used = F.when(F.col("s_suppkey") % 3 == 0, 0).otherwise(F.col("s_suppkey") % 4).cast("int")
+    runs = F.get(F.array(*map(F.lit, ["AUTOMOBILE", "BUILDING", "FURNITURE"])), F.col("used") - 1)
+    containers = s.select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("container"), (F.col("s_suppkey") % 5 + 1).cast("int").alias("cores"), used.alias("used"))
+    containers = containers.withColumn("node", F.when(F.col("used") > 0, runs))
+    requests = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("node")).agg((F.count("*") % 4 + 1).cast("int").alias("instances"))
+    return placement.place(requests, containers, "nation")
+
+
 @query("""
     SELECT edge, count(*)::BIGINT AS received, count_if(took)::BIGINT AS emitted, count_if(NOT took)::BIGINT AS dropped FROM (
       SELECT 'a' AS edge, event_type = 'click' AS took FROM events UNION ALL SELECT 'b', event_type IN ('view', 'click') FROM events) GROUP BY edge""")
