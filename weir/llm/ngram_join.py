@@ -240,7 +240,11 @@ def linked(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     smaller = inside.where((100 + percent) * F.col("common") >= 2 * percent * F.col("n"))
     least, most = percent * F.col("n") / 100, F.least(F.col("n").cast("double"), (100 + percent) * F.col("common") / percent - F.col("n"))
     larger = inside.where(most >= least).withColumn("bin", F.explode(F.sequence(_bin(least - 0.001), _bin(most + 0.001))))
-    by_size = side(larger, "a", "pivot", "bin").join(side(smaller.withColumn("bin", _bin(F.col("n"))), "b", "pivot", "bin"), ["pivot", "bin"])
+    smaller = smaller.withColumn("bin", _bin(F.col("n")))
+    # and one of them does not link with the pivot, as both would be of its component otherwise
+    far = F.col("common") < _at_least(F.col("n"), F.col("pivot_n"), percent)
+    meet = lambda x, y: side(x, "a", "pivot", "bin").join(side(y, "b", "pivot", "bin"), ["pivot", "bin"])
+    by_size = meet(larger.where(far), smaller).union(meet(larger.where(~far), smaller.where(far)))
     by_size = by_size.where(apart & (b["n"] <= a["n"]) & (F.least(a["common"], b["common"]) >= need)).select(*ordered)
     rest = by_shingle.union(by_size).distinct().join(stars.select(F.least("doc_id", "pivot").alias("x"), F.greatest("doc_id", "pivot").alias("y")), ["x", "y"], "left_anti")
     more = saved(_verified(rest, reps, percent), "links")
