@@ -223,12 +223,32 @@ def test_bpe_equals_tiktoken(docs, nothing, tricky, reference):
     assert byte_bpe.encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_bpe_random_strings(reference):
+def test_bpe_random_strings(spark, reference):
     r = random.Random(3)
-    texts = ["".join(r.choice("ab aA1!'\n\té日🎉s") for _ in range(r.randint(0, 80))) for _ in range(500)] + ["<|endoftext|>", "x" * 3000, "'s'T're"]
-    encoder = byte_bpe.Encoder(RANKS, public_tokenizers.PATTERN)
-    for _ in range(2):  # anew and from memory
-        assert [a.tolist() for a in encoder.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+    texts = ["".join(r.choice("ab aA1!'\n\té日🎉s") for _ in range(r.randint(0, 80))) for _ in range(500)] + ["<|endoftext|>", "x" * 3000, "'s'T're", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.token_ids for x in byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN, keep=["doc_id"]).collect()}
+    assert got == {i: reference.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+def test_bpe_keeps_rows_and_columns(spark, reference):
+    """Repeated rows, rows without an id, nested columns, a clashing name and a long text."""
+    rows = [(1, "twice here", [1, 2]), (1, "twice here", [1, 2]), (None, "no id", None), (2, "longwordwithoutblank" * 60_000, [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, token_ids array<int>").coalesce(1)
+    df = df.withColumn("other", F.struct("doc_id", F.lit("x").alias("y")))
+    out = byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted((r.doc_id or 0, r.token_ids == reference.encode_ordinary(r.text), r.other.y) for r in out) == [(0, True, "x"), (1, True, "x"), (1, True, "x"), (2, True, "x")]
+
+
+def test_each_distinct_piece_is_encoded_once(monkeypatch):
+    seen = []
+    replay = byte_bpe.replay
+    monkeypatch.setattr(byte_bpe, "replay", lambda pieces, vocab: seen.append(list(pieces)) or replay(pieces, vocab))
+    batches = [byte_bpe.pa.RecordBatch.from_pydict({"doc_id": [k], "text": [f"unmergeablyodd{k % 2} word"]}) for k in range(4)]
+    tables = [byte_bpe.pa.Table.from_batches(byte_bpe.cut(RANKS, public_tokenizers.PATTERN, "text", ["doc_id"], 1)([b])) for b in batches]
+    out = byte_bpe.encoded(RANKS)(byte_bpe.pa.concat_tables(tables))
+    assert len(seen) == 1 and len(seen[0]) == len(set(seen[0])) < sum(t.num_rows - 1 for t in tables) * 2
+    assert out.column("kind").to_pylist().count("texts") == 4
 
 
 @pytest.mark.parametrize("max_literal", [20_000, 0])

@@ -1,37 +1,47 @@
-"""Byte-level BPE encoding and decoding by merge replay over a corpus of pieces.
-
-The texts of a chunk are cut into pieces by the tokenizer's pattern and each
-distinct piece is encoded once. An inverted index from merge rank to the
-positions of its pairs is kept over all pieces: the lowest rank with positions
-is applied to all of them at once, and only the pairs that touch a merged
-position are looked up again. Pieces are independent, so this gives each piece
+"""Byte-level BPE encoding and decoding by merge replay over the corpus's pieces.
+
+The texts of a chunk are cut into pieces by the tokenizer's pattern. Pieces that
+are tokens need no merge; the others go, once a chunk, to a bucket by their hash,
+so that each distinct piece of the corpus is encoded once, in one bucket, and its
+ids go back to the chunks that have it. The texts themselves travel as numbers of
+pieces, beside the columns that are kept, and are never cut twice.
+
+A bucket replays the merges over all its pieces: an inverted index leads from a
+merge's rank to the positions of its pairs; the lowest rank with positions is
+applied to all of them at once, and only the pairs that touch a merged position
+are looked up again. (Pairs that make the same token are one merge, as the
+leftmost of them goes first.) Pieces are independent, so this gives each piece
 what applying its own lowest-ranked pair again and again would give.
 
 The rank file is a parameter: lines of base64 token and rank, tokens of one byte
 for all 256 bytes included.
 
 Defined results: null and empty texts have no ids; special-token strings are
-ordinary text; unknown ids cannot be decoded and raise an error.
+ordinary text; unknown ids cannot be decoded and raise an error; rows are encoded
+alike, so repeated rows and rows without an id come through as they are; the
+pieces of a long text are not all listed; a column named like the result is
+replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-from collections.abc import Iterable
+import zlib
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weir.llm.common import chunks
+from weir.llm import packed as P
+from weir.llm.common import bucket_count, chunks, per_bucket
 
-#: Text of a chunk in bytes, and how many distinct pieces a worker remembers.
+#: Text of a chunk in bytes, and how many characters make a text whose pieces are not listed.
 TEXT_BYTES = 8 << 20
-MEMORY = 200_000
 LONG = 4 << 20
 
 
@@ -155,52 +165,110 @@ class Pieces(dict):
         return n
 
 
-class Encoder:
-    """Encodes texts of many chunks; keeps the ids of some MEMORY distinct pieces."""
+ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("chunk", pa.binary()), ("data", pa.binary()), ("kept", pa.binary())])
+SCHEMA = "kind string, bucket int, chunk binary, data binary, kept binary"
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [()] * len(ARROW)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW.types, strict=True)], schema=ARROW)
+
 
-    def __init__(self, path: str, pattern: str):
+def cut(path: str, pattern: str, text: str, keep: list[str], buckets: int):
+    """Of each chunk its texts as numbers of pieces, and for each bucket the pieces that are no token themselves."""
+
+    def run(batches):
         import regex
 
-        self.vocab, self.pattern = vocabulary(path), regex.compile(pattern)
-        self.forget()
-
-    def find(self, text: str) -> Iterable[str]:
-        """The pieces of a text; those of a long one are not all held at once."""
-        return self.pattern.findall(text) if len(text) < LONG else (m[0] for m in self.pattern.finditer(text))
-
-    def forget(self) -> None:
-        self.pieces, self.ids, self.starts = Pieces(), np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        if len(self.pieces) > MEMORY:
-            self.forget()
-        old, number = len(self.pieces), self.pieces.__getitem__
-        cut = [np.fromiter(map(number, self.find(t) if t else ()), np.int32) for t in texts]
-        self._learn([p.encode() for p in islice(self.pieces, old, None)])
-        sizes, out = np.diff(self.starts), []
-        for row in cut:
-            n = sizes[row]
-            ends = np.cumsum(n)
-            out.append(self.ids[np.repeat(self.starts[row] - ends + n, n) + np.arange(ends[-1] if len(row) else 0)])
-        return out
-
-    def _learn(self, raw: list[bytes]) -> None:
-        whole = np.array([self.vocab.ranks.get(b, -1) for b in raw], np.int32)
-        rest = np.flatnonzero(whole < 0)
-        sizes = np.ones(len(raw), np.int64)
-        if len(rest):
-            ids, starts = replay([raw[k] for k in rest.tolist()], self.vocab)
-            sizes[rest] = np.diff(starts)
-        ends = np.cumsum(sizes)
-        new = np.zeros(ends[-1] if len(raw) else 0, np.int32)
-        new[(ends - sizes)[whole >= 0]] = whole[whole >= 0]
-        if len(rest):
-            new[np.repeat((ends - sizes)[rest] - starts[:-1], sizes[rest]) + np.arange(len(ids))] = ids
-        self.starts = np.concatenate((self.starts, self.starts[-1] + ends))
-        self.ids = np.concatenate((self.ids, new))
-
-
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+        find, ranks = regex.compile(pattern), vocabulary(path).ranks
+        for batch in chunks(batches, text, TEXT_BYTES):
+            pieces = Pieces()
+            number = pieces.__getitem__
+            rows = []
+            for v in batch.column(text):
+                t = v.as_py() or ""
+                found = find.findall(t) if len(t) < LONG else (m[0] for m in find.finditer(t))
+                rows.append(np.fromiter(map(number, found), np.int32))
+            raw = [p.encode() for p in pieces]
+            whole = np.array([ranks.get(p, -1) for p in raw], np.int64)
+            kept = pa.BufferOutputStream()
+            with pa.ipc.new_stream(kept, batch.select(keep).schema) as out:
+                out.write_batch(batch.select(keep))
+            kept = kept.getvalue().to_pybytes()
+            sequence = P.blob(np.concatenate([np.zeros(0, np.int32), *rows]), np.array([len(r) for r in rows], np.int64), whole + 1)
+            chunk = hashlib.blake2b(kept + sequence + b"\0".join(raw), digest_size=16).digest()
+            shipped = [("texts", int.from_bytes(chunk[:4]) % buckets, chunk, sequence, kept)]
+            rest = np.flatnonzero(whole < 0)
+            home = np.array([zlib.crc32(raw[k]) % buckets for k in rest.tolist()], np.int64)
+            order = np.argsort(home, kind="stable")
+            rest, home = rest[order], home[order]
+            bounds = np.flatnonzero(np.diff(home, prepend=-1))
+            for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(rest)][: len(bounds)], strict=True):
+                some = [raw[k] for k in rest[lo:hi].tolist()]
+                data = P.blob(rest[lo:hi], np.array([len(p) for p in some], np.int64), np.frombuffer(b"".join(some), np.uint8))
+                shipped.append(("pieces", int(home[lo]), chunk, data, b""))
+            yield from _rows(shipped).to_batches()
+
+    return run
+
+
+def encoded(path: str):
+    """The ids of the pieces of a bucket, each distinct one encoded once, for the chunks that have them. Texts pass."""
+
+    def run(table: pa.Table) -> pa.Table:
+        texts = pa.array([k == "texts" for k in table.column("kind").to_pylist()], pa.bool_())
+        asked = table.filter(pc.invert(texts))
+        pieces, numbers, of = Pieces(), [], []
+        for data in asked.column("data").to_pylist():
+            number, sizes, raw = P.unblob(data)
+            raw, ends = raw.tobytes(), np.cumsum(sizes.astype(np.int64))
+            numbers.append(number)
+            of.append(np.fromiter((pieces[raw[a:b]] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), np.int64, len(ends)))
+        if not pieces:
+            return table.filter(texts)
+        ids, starts = replay(list(pieces), vocabulary(path))
+        sizes = np.diff(starts)
+        out = []
+        for chunk, number, k in zip(asked.column("chunk").to_pylist(), numbers, of, strict=True):
+            out.append(("ids", 0, chunk, P.blob(number, sizes[k], ids[expanded(starts[k], sizes[k])]), b""))
+        return pa.concat_tables([table.filter(texts), _rows(out)])
+
+    return run
+
+
+def expanded(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def joined(ids_type: pa.Schema):
+    """The rows of a chunk with the ids of their pieces. Chunks of equal content meet here; their rows are given as often."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = np.array(table.column("kind").to_pylist())
+        texts = np.flatnonzero(kinds == "texts")
+        sequence, lengths, whole = P.unblob(table.column("data")[int(texts[0])].as_py())
+        size = (whole > 0).astype(np.int64)
+        start = np.cumsum(size) - size
+        flat, n = [whole[whole > 0].astype(np.int64) - 1], int(size.sum())
+        for k in np.flatnonzero(kinds == "ids").tolist():
+            number, sizes, ids = P.unblob(table.column("data")[k].as_py())
+            sizes = sizes.astype(np.int64)
+            size[number] = sizes
+            start[number] = n + np.cumsum(sizes) - sizes
+            flat.append(ids.astype(np.int64))
+            n += len(ids)
+        tokens = size[sequence]
+        ids = np.concatenate(flat).astype(np.int32)[expanded(start[sequence], tokens)]
+        ends = np.concatenate(([0], np.cumsum(tokens)))[np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))]
+        with pa.ipc.open_stream(table.column("kept")[int(texts[0])].as_py()) as kept:
+            columns = kept.read_all()
+        cells = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+        out = columns.append_column(ids_type.field(0), cells.cast(ids_type.field(0).type)) if columns.num_columns else pa.table([cells], schema=ids_type)
+        return pa.concat_tables([out] * len(texts))
+
+    return run
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
@@ -208,18 +276,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     keep = [c for c in (docs.columns if keep is None else keep) if c != ids]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
     docs = docs.select(*dict.fromkeys([*keep, text]))
-
-    def run(batches):
-        encoder = _ENCODERS.setdefault((path, pattern), None) or Encoder(path, pattern)
-        _ENCODERS[path, pattern] = encoder
-        for batch in chunks(batches, text, TEXT_BYTES):
-            rows = encoder.encode(v.as_py() for v in batch.column(text))
-            offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int32), *rows])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*keep, ids])
-        encoder.forget()  # workers wait idle after a task
-
-    return docs.mapInArrow(run, schema)
+    buckets = bucket_count(docs, text)
+    shipped = docs.mapInArrow(cut(path, pattern, text, keep, buckets), SCHEMA)
+    answered = per_bucket(shipped, buckets, encoded(path), SCHEMA)
+    return answered.groupBy("chunk").applyInArrow(joined(pa.schema([(ids, pa.list_(pa.int32()))])), schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,10 @@ rows it covers leave, and the next rule is grown. The list becomes one
 Defined results: a null or empty text has no words, all counts 0, and fails the
 base rule; a null label is ignored, several labels of a document count as the
 lowest; without labels the list is empty and only the base rule rejects; extra
-columns pass through, and the statistics' names win over clashing ones.
+columns pass through, and the statistics' names win over clashing ones; rows are
+judged one by one, so repeated rows are judged alike and rows without an id too;
+a text may have as many words as an array has room for; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
