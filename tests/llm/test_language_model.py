@@ -24,7 +24,7 @@ def hash_of(word):
     if word in (START, END):
         return np.array([pitman_yor.START if word == START else pitman_yor.END])
     raw = np.frombuffer(word.encode(), np.uint8)
-    return P.hashed_words(raw, np.array([0, len(raw)]))[0]
+    return P.hashed_words(raw, np.array([0, len(raw)]))[0] & pitman_yor.WORD
 
 
 def stirling_numbers(c, d):

@@ -77,6 +77,11 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def grouped(rows: DataFrame, buckets: int, run: Callable[[pa.Table], pa.Table], schema, in_a_task: int = 4) -> DataFrame:
+    """``run`` of all rows of each bucket together, a few small buckets one after another in a task."""
+    return rows.repartition(max(1, -(-buckets // in_a_task)), "bucket").groupBy("bucket").applyInArrow(run, schema)
+
+
 #: Spark's setting that removes a query's shuffle files when the query has ended.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -4,8 +4,8 @@ The restaurant of a context (the two words before) seats the words that follow;
 a word that opens a table there sends a customer to the restaurant of the last
 word alone, which all contexts that end in it share, and tables there send
 customers to the root, which all words share and which seats over a uniform base
-of the known words and one unknown. Contexts are the words themselves (64-bit
-hashes); there are as many restaurants as the training texts have contexts.
+of the known words and one unknown. Contexts are the words themselves (by
+48 bits of a hash); there are as many restaurants as the training texts have contexts.
 
 Seating is kept as the number of tables of each type, a dish in a restaurant. A
 Gibbs sweep draws each type's tables anew from their exact conditional given all
@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm import packed as P
-from weir.llm.common import chunks, discard, per_bucket, saved
+from weir.llm.common import chunks, discard, grouped, saved
 from weir.llm.stirling import draw
 
 #: Discounts and strengths of the root, of one word and of two.
@@ -64,7 +64,10 @@ SEED = 20240501
 BUCKET_BYTES, HOT_TOKENS = 8 << 20, 2_000_000
 #: Share of the rows that words are counted in for that estimate.
 HOT_SHARE = 0.02
-END, START = P.U(0xE2D0E2D0E2D0E2D0), P.U(0x57A2757A2757A275)
+#: Words are the low 48 bits of a hash: of 100 million words some 18 pairs are taken for one.
+BITS = 48
+WORD = P.U((1 << BITS) - 1)
+END, START = P.U(0xE2D0E2D0E2D0), P.U(0x57A2757A2757)
 #: Scores are added up in units of 2**-32, as whole numbers, so that no order of adding matters.
 UNIT = 2.0**32
 #: Types that are scored in one step, and bytes of text that make a chunk.
@@ -109,7 +112,7 @@ class Plan:
 
     def home(self, w: np.ndarray) -> np.ndarray:
         """The bucket of a word at the root; rises with the hash."""
-        return ((w >> P.U(32)) * P.U(self.buckets) >> P.U(32)).astype(np.int64)
+        return ((w >> P.U(BITS - 32)) * P.U(self.buckets) >> P.U(32)).astype(np.int64)
 
 
 def heads(*keys: np.ndarray) -> np.ndarray:
@@ -146,7 +149,7 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     word = np.full(len(row) + 1, END, P.U)
     inside = np.ones(len(row), bool)
     inside[last] = False
-    word[:-1][inside] = h
+    word[:-1][inside] = h & WORD
     word[-1] = START
     names, number = np.unique(word, return_inverse=True)
     number = number.astype(np.int32)
@@ -600,7 +603,7 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_byte
     keep = lambda df, what: saved(df, what, by="kind")
     drop = lambda table, *kinds: [discard(table, f"kind={k}") for k in kinds]
 
-    each = lambda df, step: per_bucket(df, plan.buckets, step, SCHEMA)
+    each = lambda df, step: grouped(df, plan.buckets, step, SCHEMA)
 
     first = keep(each(rows.mapInArrow(ship(plan, False), SCHEMA), start(plan)), "seats")
     sums = _sums(first, len(plan.hot))
