@@ -204,7 +204,8 @@ def test_control_from_another_process(spark, folder, tmp_path, capsys):
     engine.submit("app", engine.apps["app"].graph, {"words": stream(spark, path)}, {"plain": lambda df, i: seen.extend(r.out for r in df.collect())}, f"{path}/cp", ONCE, {"greet": signals.append})
     engine.wait("app")
     assert seen[-1] == "Welcome z" and signals == ["hi"] and engine.apps["app"].graph.nodes["greet"].instances == 2
+    engine.submit("app", engine.apps["app"].graph, {"words": stream(spark, path)}, {"plain": lambda df, i: None}, f"{path}/cp", {"processingTime": "1 second"})
     cli.main(["kill", control, "app"])
-    engine.poll("app")
+    engine.wait("app", 60)
     assert engine.status("app") is Status.TERMINATED and engine.control.reported("app") == "TERMINATED"
     assert cli.main(["status", control, "none"]) == 1

@@ -18,7 +18,9 @@ Such a sink cannot also read a source that is not a stream.
 from __future__ import annotations
 
 import enum
+import math
 import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -149,7 +151,7 @@ class Engine:
         return run
 
     def poll(self, name: str) -> None:
-        """Take the control rows that other processes sent; batches do it too. Restarts what has a fixed plan."""
+        """Take the control rows that other processes sent; ``wait`` does it all the time. Restarts what has a fixed plan."""
         app = self._app(name)
         for row in self.control.receive(name):
             if row.kind == "kill":
@@ -231,9 +233,13 @@ class Engine:
         return Status.RUNNING if any(q.lastProgress for q in app.queries.values()) else Status.STARTING
 
     def wait(self, name: str, timeout_s: float | None = None) -> None:
-        """Until all queries end, as those with ``availableNow`` do."""
-        for q in self._app(name).queries.values():
-            q.awaitTermination(timeout_s)
+        """Until all queries end, as those with ``availableNow`` do; takes control rows of other processes meanwhile."""
+        app, end = self._app(name), time.monotonic() + timeout_s if timeout_s else math.inf
+        for key in list(app.queries):
+            while not app.queries[key].awaitTermination(0.5):
+                self.poll(name)
+                if app.stopped or time.monotonic() > end:
+                    return
 
     def kill(self, name: str) -> None:
         """Stop the queries, then run the nodes' teardown hooks."""
