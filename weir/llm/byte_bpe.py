@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by merge replay over the corpus's pieces.
 
 The texts of a chunk are cut into pieces by the tokenizer's pattern. Pieces that
-are tokens need no merge; the others go, once a chunk, to a bucket by their hash,
-so that each distinct piece of the corpus is encoded once, in one bucket, and its
-ids go back to the chunks that have it. The texts themselves travel as numbers of
+are tokens need no merge; the others go, once a group of chunks, to a bucket by
+their hash, so that each distinct piece of the corpus is encoded once, in one
+bucket, and its ids go back to the groups that have it. The texts themselves travel as numbers of
 pieces, beside the columns that are kept, and are never cut twice.
 
 A bucket replays the merges over all its pieces: an inverted index leads from a
@@ -40,8 +40,9 @@ from pyspark.sql import types as T
 from weir.llm import packed as P
 from weir.llm.common import bucket_count, chunks, per_bucket
 
-#: Text of a chunk in bytes, and how many characters make a text whose pieces are not listed.
+#: Text of a chunk in bytes, characters of a group of chunks that number their pieces together, and of a text whose pieces are not listed.
 TEXT_BYTES = 8 << 20
+GROUP = 16 << 20
 LONG = 4 << 20
 
 
@@ -175,62 +176,79 @@ def _rows(rows: list[tuple]) -> pa.Table:
 
 
 def cut(path: str, pattern: str, text: str, keep: list[str], buckets: int):
-    """Of each chunk its texts as numbers of pieces, and for each bucket the pieces that are no token themselves."""
+    """Of each group of chunks its texts as numbers of pieces, and for each bucket the pieces that are no token themselves."""
 
     def run(batches):
         import regex
 
         find, ranks = regex.compile(pattern), vocabulary(path).ranks
+
+        def close(pieces: Pieces, group: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> pa.Table:
+            frequent = np.argsort(-sum(np.bincount(flat, minlength=len(pieces)) for _, flat, _ in group), kind="stable")
+            number = np.empty(len(frequent), np.int32)  # small numbers for frequent pieces
+            number[frequent] = np.arange(len(frequent))
+            raw = list(pieces)
+            raw = [raw[k].encode() for k in frequent.tolist()]
+            whole = np.array([ranks.get(p, -1) for p in raw], np.int64)
+            digest, texts = hashlib.blake2b(b"\0".join(raw), digest_size=16), []
+            for batch, flat, lengths in group:
+                kept = pa.BufferOutputStream()
+                with pa.ipc.new_stream(kept, batch.schema) as out:
+                    out.write_batch(batch)
+                texts.append((P.blob(number[flat], lengths), kept.getvalue().to_pybytes()))
+                for part in texts[-1]:
+                    digest.update(part)
+            chunk = digest.digest()
+            home = int.from_bytes(chunk[:4]) % buckets
+            rows = [("texts", home, chunk, data, kept) for data, kept in texts] + [("whole", home, chunk, P.blob(whole + 1), b"")]
+            rest = np.flatnonzero(whole < 0)
+            to = np.array([zlib.crc32(raw[k]) % buckets for k in rest.tolist()], np.int64)
+            order = np.argsort(to, kind="stable")
+            rest, to = rest[order], to[order]
+            bounds = np.flatnonzero(np.diff(to, prepend=-1))
+            for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(rest)][: len(bounds)], strict=True):
+                some = [raw[k] for k in rest[lo:hi].tolist()]
+                data = P.blob(np.diff(rest[lo:hi], prepend=0), np.array([len(p) for p in some], np.int64), np.frombuffer(b"".join(some), np.uint8))
+                rows.append(("pieces", int(to[lo]), chunk, data, b""))
+            return _rows(rows)
+
+        pieces, group, held = Pieces(), [], 0
         for batch in chunks(batches, text, TEXT_BYTES):
-            pieces = Pieces()
-            number = pieces.__getitem__
-            rows = []
+            number, rows = pieces.__getitem__, []
             for v in batch.column(text):
                 t = v.as_py() or ""
                 found = find.findall(t) if len(t) < LONG else (m[0] for m in find.finditer(t))
                 rows.append(np.fromiter(map(number, found), np.int32))
-            raw = [p.encode() for p in pieces]
-            whole = np.array([ranks.get(p, -1) for p in raw], np.int64)
-            kept = pa.BufferOutputStream()
-            with pa.ipc.new_stream(kept, batch.select(keep).schema) as out:
-                out.write_batch(batch.select(keep))
-            kept = kept.getvalue().to_pybytes()
-            sequence = P.blob(np.concatenate([np.zeros(0, np.int32), *rows]), np.array([len(r) for r in rows], np.int64), whole + 1)
-            chunk = hashlib.blake2b(kept + sequence + b"\0".join(raw), digest_size=16).digest()
-            shipped = [("texts", int.from_bytes(chunk[:4]) % buckets, chunk, sequence, kept)]
-            rest = np.flatnonzero(whole < 0)
-            home = np.array([zlib.crc32(raw[k]) % buckets for k in rest.tolist()], np.int64)
-            order = np.argsort(home, kind="stable")
-            rest, home = rest[order], home[order]
-            bounds = np.flatnonzero(np.diff(home, prepend=-1))
-            for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(rest)][: len(bounds)], strict=True):
-                some = [raw[k] for k in rest[lo:hi].tolist()]
-                data = P.blob(rest[lo:hi], np.array([len(p) for p in some], np.int64), np.frombuffer(b"".join(some), np.uint8))
-                shipped.append(("pieces", int(home[lo]), chunk, data, b""))
-            yield from _rows(shipped).to_batches()
+                held += len(t)
+            group.append((batch.select(keep), np.concatenate([np.zeros(0, np.int32), *rows]), np.array([len(r) for r in rows], np.int64)))
+            if held >= GROUP:
+                yield from close(pieces, group).to_batches()
+                pieces, group, held = Pieces(), [], 0
+        if group:
+            yield from close(pieces, group).to_batches()
 
     return run
 
 
 def encoded(path: str):
-    """The ids of the pieces of a bucket, each distinct one encoded once, for the chunks that have them. Texts pass."""
+    """The ids of the pieces of a bucket, each distinct one encoded once, for the groups that have them. Other rows pass."""
 
     def run(table: pa.Table) -> pa.Table:
-        texts = pa.array([k == "texts" for k in table.column("kind").to_pylist()], pa.bool_())
+        texts = pa.array([k != "pieces" for k in table.column("kind").to_pylist()], pa.bool_())
         asked = table.filter(pc.invert(texts))
         pieces, numbers, of = Pieces(), [], []
         for data in asked.column("data").to_pylist():
-            number, sizes, raw = P.unblob(data)
+            steps, sizes, raw = P.unblob(data)
             raw, ends = raw.tobytes(), np.cumsum(sizes.astype(np.int64))
-            numbers.append(number)
+            numbers.append(steps)
             of.append(np.fromiter((pieces[raw[a:b]] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), np.int64, len(ends)))
         if not pieces:
             return table.filter(texts)
         ids, starts = replay(list(pieces), vocabulary(path))
         sizes = np.diff(starts)
         out = []
-        for chunk, number, k in zip(asked.column("chunk").to_pylist(), numbers, of, strict=True):
-            out.append(("ids", 0, chunk, P.blob(number, sizes[k], ids[expanded(starts[k], sizes[k])]), b""))
+        for chunk, steps, k in zip(asked.column("chunk").to_pylist(), numbers, of, strict=True):
+            out.append(("ids", 0, chunk, P.blob(steps, sizes[k], ids[expanded(starts[k], sizes[k])]), b""))
         return pa.concat_tables([table.filter(texts), _rows(out)])
 
     return run
@@ -243,30 +261,32 @@ def expanded(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def joined(ids_type: pa.Schema):
-    """The rows of a chunk with the ids of their pieces. Chunks of equal content meet here; their rows are given as often."""
+    """The rows of a group with the ids of their pieces. Groups of equal content meet here; their rows are given as often."""
 
     def run(table: pa.Table) -> pa.Table:
-        kinds = np.array(table.column("kind").to_pylist())
-        texts = np.flatnonzero(kinds == "texts")
-        sequence, lengths, whole = P.unblob(table.column("data")[int(texts[0])].as_py())
+        of_kind = lambda kind: [k for k, x in enumerate(table.column("kind").to_pylist()) if x == kind]
+        whole = P.unblob(table.column("data")[of_kind("whole")[0]].as_py())[0].astype(np.int64)
         size = (whole > 0).astype(np.int64)
         start = np.cumsum(size) - size
-        flat, n = [whole[whole > 0].astype(np.int64) - 1], int(size.sum())
-        for k in np.flatnonzero(kinds == "ids").tolist():
-            number, sizes, ids = P.unblob(table.column("data")[k].as_py())
-            sizes = sizes.astype(np.int64)
+        flat, n = [whole[whole > 0] - 1], int(size.sum())
+        for k in of_kind("ids"):
+            steps, sizes, ids = P.unblob(table.column("data")[k].as_py())
+            number, sizes = np.cumsum(steps.astype(np.int64)), sizes.astype(np.int64)
             size[number] = sizes
             start[number] = n + np.cumsum(sizes) - sizes
             flat.append(ids.astype(np.int64))
             n += len(ids)
-        tokens = size[sequence]
-        ids = np.concatenate(flat).astype(np.int32)[expanded(start[sequence], tokens)]
-        ends = np.concatenate(([0], np.cumsum(tokens)))[np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))]
-        with pa.ipc.open_stream(table.column("kept")[int(texts[0])].as_py()) as kept:
-            columns = kept.read_all()
-        cells = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-        out = columns.append_column(ids_type.field(0), cells.cast(ids_type.field(0).type)) if columns.num_columns else pa.table([cells], schema=ids_type)
-        return pa.concat_tables([out] * len(texts))
+        every, out = np.concatenate(flat).astype(np.int32), []
+        for k in of_kind("texts"):
+            sequence, lengths = P.unblob(table.column("data")[k].as_py())
+            tokens = size[sequence]
+            ids = every[expanded(start[sequence], tokens)]
+            ends = np.concatenate(([0], np.cumsum(tokens)))[np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))]
+            cells = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)).cast(ids_type.field(0).type)
+            with pa.ipc.open_stream(table.column("kept")[k].as_py()) as kept:
+                columns = kept.read_all()
+            out.append(columns.append_column(ids_type.field(0), cells) if columns.num_columns else pa.table([cells], schema=ids_type))
+        return pa.concat_tables(out)
 
     return run
 
