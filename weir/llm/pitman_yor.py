@@ -61,7 +61,7 @@ DISCOUNTS, STRENGTHS = (0.6, 0.75, 0.8), (10.0, 1.0, 1.0)
 BURN_IN, SAMPLES = 2, 2
 SEED = 20240501
 #: Bytes of text whose types make a bucket, and estimated tokens that split a last word.
-BUCKET_BYTES, HOT_TOKENS = 8 << 20, 2_000_000
+BUCKET_BYTES, HOT_TOKENS = 6 << 20, 2_000_000
 #: Share of the rows that words are counted in for that estimate.
 HOT_SHARE = 0.02
 #: Words are the low 48 bits of a hash: of 100 million words some 18 pairs are taken for one.
@@ -71,7 +71,7 @@ END, START = P.U(0xE2D0E2D0E2D0), P.U(0x57A2757A2757)
 #: Scores are added up in units of 2**-32, as whole numbers, so that no order of adding matters.
 UNIT = 2.0**32
 #: Types that are scored in one step, and bytes of text that make a chunk.
-STEP, CHUNK = 1 << 18, 8 << 20
+STEP, CHUNK = 1 << 18, 6 << 20
 
 ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("source", pa.int32()), ("a", pa.float64()), ("b", pa.float64()), ("data", pa.binary()), ("chunk", pa.binary())])
 SCHEMA = "kind string, bucket int, source int, a double, b double, data binary, chunk binary"
@@ -174,8 +174,9 @@ def ship(plan: Plan, with_rows: bool):
             key, row = key[order], row[order]
             head = heads(key)
             count = np.add.reduceat(train[row].astype(np.int64), head) if len(head) else head
-            many = sizes(head, len(key))
+            many = sizes(head, len(row))
             v, w, x = v[order][head], w[order][head], x[order][head]
+            del key, order
             bucket = plan.bucket(names[v], names[x])
             by = np.argsort(bucket.astype(np.uint16) if plan.buckets < 65536 else bucket, kind="stable")
             rank = np.zeros(len(names), np.int32)
